@@ -1,0 +1,50 @@
+"""End-to-end jobs: from the loyalty tables to features, encoded frames and cluster scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import clusters, encode, factors, features, joins
+from ..operators.aggregates import sums_by_category
+from ..sources.shop import CUTOFF, Shop
+
+
+def priced_features(shop: Shop, cutoff: str = CUTOFF) -> DataFrame:
+    """Feature table joined to the statistics of the item on offer."""
+    table = features.feature_table(shop.transactions, shop.history_train, shop.history_test, shop.offers)
+    stats = features.price_ratios(features.items_with_categories(
+        features.item_history(shop.transactions, cutoff),
+        features.category_history(shop.transactions, cutoff)))
+    return features.features_with_item_stats(table, stats)
+
+
+def model_frames(shop: Shop) -> tuple[DataFrame, DataFrame]:
+    sums = sums_by_category(shop.transactions)
+    return (
+        encode.model_frame(shop.history_train, shop.offers, sums),
+        encode.model_frame(shop.history_test, shop.offers, sums),
+    )
+
+
+def factor_rows(shop: Shop, history: DataFrame) -> DataFrame:
+    """History with the factors of the customer and of the item on offer."""
+    numbered = joins.history_with_offers_outer(history, shop.offers.select("offer")).withColumns({
+        "u_id": 2 * F.pmod("id", shop.half_vectors()),
+        "v_id": 2 * F.col("offer") + 1,
+    })
+    return factors.with_factors(numbered, shop.user_factors, shop.item_factors)
+
+
+def labelled_clusters(shop: Shop, history: DataFrame) -> DataFrame:
+    """History with the given cluster of each customer: the label of their vector."""
+    vectors = shop.user_factors.select(F.col("vec_id").alias("u_id"), F.col("label").alias("cluster"))
+    return history.withColumn("u_id", 2 * F.pmod("id", shop.half_vectors())).join(vectors, "u_id").drop("u_id")
+
+
+def cluster_job(shop: Shop, k: int = 75) -> DataFrame:
+    """Cluster train and test by factor products, calibrate on train, and hand the rates to both."""
+    rows = factors.products(factor_rows(shop, shop.history_base))
+    assigned = clusters.fit_assign(rows, k)
+    train = shop.history_train.join(assigned, "id")
+    return clusters.outputs(train, shop.history_test.join(assigned, "id"), clusters.calibrate(train))
