@@ -96,12 +96,6 @@ def key_subsets() -> list[tuple[str, ...]]:
     return [c for size in range(4) for c in combinations(GROUP_ATTRIBUTES, size)]
 
 
-def median_column(prefix: str, bin_index: int | None, subset_index: int) -> str:
-    if bin_index is None:
-        return f"{prefix}_{subset_index}"
-    return f"{prefix}_{RECENCY_NAMES[bin_index]}_{subset_index}"
-
-
 def group_medians(
     transactions: DataFrame, history: DataFrame, offers: DataFrame, heavy_rows: int = 1_000_000
 ) -> DataFrame:
@@ -127,14 +121,13 @@ def group_medians(
     )
     groups = grouped_medians(
         rows, ["id", "subset", "bin"], ["productsize", "purchasequantity", "purchaseamount"], heavy_rows)
-    wide = groups.groupBy("id").agg(*[
-        F.max(F.when((F.col("subset") == i) & (F.col("bin") == (-1 if b is None else b)), F.col(column)))
-        .alias(median_column(prefix, b, i))
-        for i in range(len(subsets))
-        for b in (None, *range(len(RECENCY_NAMES)))
-        for prefix, column in MEDIAN_PREFIXES.items()
-    ])
-    return history.select("id").join(wide, "id", "left")
+    bins = {-1: None, **dict(enumerate(RECENCY_NAMES))}
+    tags = {(i, b): f"{i}" if name is None else f"{name}_{i}" for i in range(len(subsets)) for b, name in bins.items()}
+    tag = F.concat_ws("_", F.get(F.array(*[F.lit(n) for n in bins.values()]), F.col("bin") + 1), "subset")
+    wide = groups.withColumn("tag", tag).groupBy("id").pivot("tag", list(tags.values())).agg(*[
+        F.max(column).alias(prefix) for prefix, column in MEDIAN_PREFIXES.items()])
+    named = wide.toDF("id", *[f"{prefix}_{t}" for t in tags.values() for prefix in MEDIAN_PREFIXES])
+    return history.select("id").join(named, "id", "left")
 
 
 def _all_match(subset: tuple[str, ...]) -> Column:

@@ -18,7 +18,7 @@ def value_bucket(x: Column, per_e: int = 64) -> Column:
     x = x.cast("double")
     base = 800 * per_e
     size = F.floor(F.log(F.abs(x)) * per_e) + base
-    return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0).cast("bigint")).cast("bigint")
+    return F.coalesce(F.when(x > 0, size).when(x < 0, -size).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def running_totals(
@@ -33,6 +33,10 @@ def running_totals(
 
     ``order`` must refine the order of ``buckets``; both go down when ``descending``.
     """
+    # The join below would infer these filters on one side only; stated here, both uses of ``runs``
+    # have the same plan and share one exchange.
+    for c in (*keys, *buckets):
+        runs = runs.where(F.col(c).isNotNull())
     totals = runs.groupBy(*keys, *buckets).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     go = (lambda c: c.desc()) if descending else (lambda c: c.asc())
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

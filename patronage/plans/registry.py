@@ -45,7 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _offered(s: Shop) -> DataFrame:
-    return s.history_train.join(s.offers, "offer")
+    return s.saved_train.join(s.offers, "offer")
 
 
 # ---- sources
@@ -405,7 +405,7 @@ def anti_missing_ids(s):
 
 @query
 def cluster_lookup(s):
-    rows = pipeline.labelled_clusters(s, s.history_train)
+    rows = pipeline.labelled_clusters(s, s.saved_train)
     stats = K.calibrate(rows)
     return rounded(J.cluster_lookup(rows.select("id", "cluster"), stats), ["frac_repeater"], 6)
 
@@ -566,7 +566,7 @@ def distinct_counts(s):
 
 @query
 def repeat_score_stats(s):
-    rows = M.factor_columns(pipeline.factor_rows(s, s.history_train)).select("repeattrips", "score")
+    rows = M.factor_columns(pipeline.factor_rows(s, s.saved_train)).select("repeattrips", "score")
     return rounded(K.repeat_score_stats(rows), ["score_mean", "scaled_trips", "score_mean_err"], 6)
 
 
@@ -602,7 +602,7 @@ def dept_first_match(s):
 
 def _scored(s):
     """(score, actual) of the train customers under the factor score."""
-    rows = M.factor_columns(pipeline.factor_rows(s, s.history_train))
+    rows = M.factor_columns(pipeline.factor_rows(s, s.saved_train))
     return rounded(rows.select("score", (F.col("repeater") == "t").cast("int").alias("actual")), ["score"], 6)
 
 
@@ -613,7 +613,7 @@ def cumulative_tp_fp(s):
 
 @query
 def sorted_lists(s):
-    return rounded(K.ordered(K.calibrate(pipeline.labelled_clusters(s, s.history_train))), ["frac_repeater"], 6)
+    return rounded(K.ordered(K.calibrate(pipeline.labelled_clusters(s, s.saved_train))), ["frac_repeater"], 6)
 
 
 @query
@@ -630,7 +630,7 @@ def union_train_test(s):
 
 @query
 def union_classes(s):
-    rows = s.history_train.select("id", "offer", "repeater")
+    rows = s.saved_train.select("id", "offer", "repeater")
     return rows.where("repeater = 't'").unionByName(rows.where("repeater = 'f'"))
 
 
@@ -674,7 +674,7 @@ def bayes_rollup(s):
 
 @query
 def bayes_shrink(s):
-    return rounded(B.shrink(s.history_train), ["p_raw", "p"], 6)
+    return rounded(B.shrink(s.saved_train), ["p_raw", "p"], 6)
 
 
 @query
@@ -684,7 +684,7 @@ def nb_item(s):
 
 @query
 def nb_score(s):
-    customers = J.stack(s.history_train.select(F.lit("train").alias("part"), "id", "offer"),
+    customers = J.stack(s.saved_train.select(F.lit("train").alias("part"), "id", "offer"),
                         s.history_test.select(F.lit("test").alias("part"), "id", "offer"))
     scored = B.score_items(customers.join(s.offers, "offer"), _offered(s))
     return rounded(scored.select("part", "id", "p_repeat"), ["p_repeat"], 6)
@@ -784,7 +784,7 @@ def model_frame(s):
 
 @query
 def balance_classes(s):
-    return W.balanced(s.history_train).select("id", "repeater", "shuffle_key")
+    return W.balanced(s.saved_train).select("id", "repeater", "shuffle_key")
 
 
 # ---- models
@@ -905,7 +905,7 @@ def kmeans_calibrate(s):
 
 @query
 def kmeans_random_control(s):
-    rows = pipeline.labelled_clusters(s, s.history_train).select("id", "cluster", "repeater")
+    rows = pipeline.labelled_clusters(s, s.saved_train).select("id", "cluster", "repeater")
     return rounded(K.random_control(rows), ["frac_repeater"], 6)
 
 
@@ -917,13 +917,13 @@ def cluster_error(s):
 
 @query
 def cluster_score_roc(s):
-    rows = pipeline.labelled_clusters(s, s.history_train)
+    rows = pipeline.labelled_clusters(s, s.saved_train)
     scored = rounded(K.cluster_scores(rows, K.calibrate(rows)), ["score"], 6)
     return rounded(V.roc_curve(scored), ["tpr", "fpr", "precision", "recall", "f_score"])
 
 
 @query
 def cluster_outputs(s):
-    train = pipeline.labelled_clusters(s, s.history_train)
+    train = pipeline.labelled_clusters(s, s.saved_train)
     rows = K.outputs(train, pipeline.labelled_clusters(s, s.history_test), K.calibrate(train))
     return rounded(rows, ["frac_repeater", "repeatProbability"])

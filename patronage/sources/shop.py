@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import configure
+from ..session import configure, materialise
 
 _BASE = {
     "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
@@ -128,6 +128,11 @@ class Shop:
     def history_train(self) -> DataFrame:
         return self.history.where("pmod(id, 3) <> 0")
 
+    @cached_property
+    def saved_train(self) -> DataFrame:
+        """``history_train`` written once, for jobs that read it more than once."""
+        return materialise(self.history_train, "history_train")
+
     @cached_property
     def history_test(self) -> DataFrame:
         return self.history_base.where("pmod(id, 3) = 0").select("id", "chain", "offer", "market", "offerdate")
