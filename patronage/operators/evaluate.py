@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .order_stats import running_totals, value_bucket
 
 EPSILON = 1e-11
@@ -24,7 +25,11 @@ def score_counts(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def cumulative(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per distinct score, highest first: tp and fp up to and including it, and the class totals."""
-    runs = score_counts(scored, keys).withColumn("_bucket", value_bucket(F.col("score"), 4096))
+    return _cumulated(score_counts(scored, keys), keys)
+
+
+def _cumulated(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    runs = counts.withColumn("_bucket", value_bucket(F.col("score"), 4096))
     out = running_totals(runs, keys, ["_bucket"], [F.col("score")], ["pos", "neg"], descending=True)
     return out.drop("_bucket").withColumns({
         "tp": F.col("before_pos") + F.col("pos"),
@@ -57,11 +62,14 @@ def auroc(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def auc_bootstrap(scored: DataFrame, replicates: int = 5, seed: int = 42) -> DataFrame:
     """mean(score of a positive > score of a negative) in resamples with replacement."""
+    scored = materialise(scored.select("score", "actual"), "scored")
     resamples = None
     for r in range(replicates):
         sample = scored.sample(True, 1.0, seed + r).withColumn("replicate", F.lit(r))
         resamples = sample if resamples is None else resamples.unionByName(sample)
-    points = cumulative(resamples, ["replicate"])
+    # A resample is drawn once: written as counts per score before anything reads it twice.
+    counts = materialise(score_counts(resamples, ["replicate"]), "resamples")
+    points = _cumulated(counts, ["replicate"])
     wins = F.sum(F.col("neg") * F.col("before_pos").cast("double"))
     return points.groupBy("replicate").agg(
         F.try_divide(wins, F.max("all_pos").cast("double") * F.max("all_neg")).alias("auc"))

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp_score, dot, item_ccb, log_scale, product
-from ..session import shared_dir
+from ..functions.columns import clamp_score, dot, log_scale, product
+from ..session import materialise, shared_dir
 from .order_stats import ranked, value_bucket
 
 DIM = 10
+ITEM_KEYS = ("category", "company", "brand")
 
 
 def user_numbers(counts: DataFrame) -> DataFrame:
@@ -20,19 +23,22 @@ def user_numbers(counts: DataFrame) -> DataFrame:
         "id", (F.col("rank0") + 1).cast("int").alias("user_idx"))
 
 
-def item_numbers(counts: DataFrame) -> DataFrame:
-    """(category, company, brand, item_idx): dense numbers from 1 in key order."""
-    items = counts.select("category", "company", "brand").distinct()
-    return ranked(items, {"_b": F.col("category")}, [F.col("category"), F.col("company"), F.col("brand")]).select(
-        "category", "company", "brand", (F.col("rank0") + 1).cast("int").alias("item_idx"))
+def item_numbers(counts: DataFrame, keys: Sequence[str] = ITEM_KEYS) -> DataFrame:
+    """(keys, item_idx): dense numbers from 1 in key order, over the distinct items of the catalogue."""
+    items = counts.select(*keys).distinct()
+    return ranked(items, {"_b": F.col(keys[0])}, [F.col(k) for k in keys]).select(
+        *keys, (F.col("rank0") + 1).cast("int").alias("item_idx"))
+
+
+def numbered(counts: DataFrame, keys: Sequence[str] = ITEM_KEYS) -> DataFrame:
+    """Per (id, keys) rows with their user_idx and item_idx."""
+    return counts.join(user_numbers(counts), "id").join(item_numbers(counts, keys), list(keys))
 
 
-def pair_counts(transactions: DataFrame, only_count: int | None = None) -> DataFrame:
+def pair_counts(transactions: DataFrame, keys: Sequence[str] = ITEM_KEYS, only_count: int | None = None) -> DataFrame:
     """(user_idx, item_idx, n, value): purchases per pair and their log scale."""
-    keys = ["category", "company", "brand"]
     counts = transactions.groupBy("id", *keys).agg(F.count(F.lit(1)).alias("n"))
-    pairs = counts.join(user_numbers(counts), "id").join(item_numbers(counts), keys).select(
-        "user_idx", "item_idx", "n", log_scale("n").alias("value"))
+    pairs = numbered(counts, keys).select("user_idx", "item_idx", "n", log_scale("n").alias("value"))
     return pairs if only_count is None else pairs.where(F.col("n") == only_count)
 
 
@@ -55,6 +61,8 @@ def als_explicit(
     The bias is the user mean plus the item mean less the overall mean; the factors fit what is left,
     shifted to start at 0.
     """
+    # The split must not change when a lost executor's rows are computed again.
+    ratings = materialise(ratings, "ratings")
     shared_dir(ratings.sparkSession)
     train, test = ratings.randomSplit([1 - holdout, holdout], seed)
     by_user = train.groupBy("user_idx").agg(F.avg("rating").alias("b_u"))
@@ -65,7 +73,8 @@ def als_explicit(
         return rows.join(by_user, "user_idx", "left").join(by_item, "item_idx", "left").withColumn(
             "bias", F.coalesce("b_u", F.lit(mean)) + F.coalesce("b_i", F.lit(mean)) - F.lit(mean))
 
-    residuals = with_bias(train).withColumn("residual", F.col("rating") - F.col("bias"))
+    residuals = materialise(
+        with_bias(train).select("user_idx", "item_idx", (F.col("rating") - F.col("bias")).alias("residual")), "residuals")
     shift = residuals.agg(F.min("residual")).first()[0]
     model = ALS(rank=rank, maxIter=iterations, regParam=reg, nonnegative=True, seed=seed, coldStartStrategy="nan",
                 userCol="user_idx", itemCol="item_idx", ratingCol="residual").fit(
@@ -123,12 +132,3 @@ def factor_columns(rows: DataFrame, dim: int = DIM) -> DataFrame:
 
 def clamped_scores(rows: DataFrame) -> DataFrame:
     return products(rows).select("id", clamp_score(raw_score()).alias("score"))
-
-
-def known_items(customers: DataFrame, pairs_users: DataFrame, pairs_items: DataFrame) -> DataFrame:
-    """Customers with the factor numbers of themselves and the item on offer."""
-    return (
-        customers.join(pairs_users.withColumnRenamed("user_idx", "u_id"), "id", "left")
-        .join(pairs_items.withColumnRenamed("item_idx", "v_id"), ["category", "company", "brand"], "left")
-        .withColumn("item", item_ccb())
-    )

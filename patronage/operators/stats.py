@@ -34,7 +34,7 @@ def value_counts(frame: DataFrame, features: Sequence[str], positive: Column) ->
 def entropy_importance(frame: DataFrame, features: Sequence[str] = ENTROPY_FEATURES) -> DataFrame:
     """-sum P ln P with P = positives of the value / all rows, and the same per distinct value."""
     counts = value_counts(frame, features, F.col("repeater") == "t")
-    total = F.sum("n").over(Window.partitionBy("feature"))
+    total = frame.agg(F.count(F.lit(1))).scalar()
     p = counts.withColumn("p", F.col("pos") / total)
     term = F.when(F.col("p") > 0, -F.col("p") * F.log("p")).otherwise(0.0)
     return p.groupBy("feature").agg(
@@ -42,21 +42,20 @@ def entropy_importance(frame: DataFrame, features: Sequence[str] = ENTROPY_FEATU
     ).withColumn("normalized", F.col("entropy") / F.col("n_values"))
 
 
-def _expected(counts: DataFrame) -> DataFrame:
-    """Adds expected positives and negatives; the windows run over distinct values only."""
-    by_feature = Window.partitionBy("feature")
-    out = counts.withColumns({
-        "all_n": F.sum("n").over(by_feature),
-        "all_pos": F.sum("pos").over(by_feature),
-    })
-    return out.withColumns({
-        "e_pos": F.col("n") * F.col("all_pos") / F.col("all_n"),
-        "e_neg": F.col("n") * (F.col("all_n") - F.col("all_pos")) / F.col("all_n"),
-    })
+def _expected(frame: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows and positives per value with the expected positives and negatives."""
+    positive = F.col("repeater") == "t"
+    totals = frame.agg(F.struct(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(positive, 1)).alias("pos"))).scalar()
+    rate = F.col("_all.pos") / F.col("_all.n")
+    return value_counts(frame, features, positive).withColumn("_all", totals).withColumns({
+        "e_pos": F.col("n") * rate,
+        "e_neg": F.col("n") * (1 - rate),
+    }).drop("_all")
 
 
 def chi_square(frame: DataFrame, features: Sequence[str] = CHI_FEATURES) -> DataFrame:
-    rows = _expected(value_counts(frame, features, F.col("repeater") == "t"))
+    rows = _expected(frame, features)
     part = (
         F.try_divide((F.col("pos") - F.col("e_pos")) ** 2, F.col("e_pos"))
         + F.try_divide((F.col("n") - F.col("pos") - F.col("e_neg")) ** 2, F.col("e_neg"))
@@ -67,7 +66,7 @@ def chi_square(frame: DataFrame, features: Sequence[str] = CHI_FEATURES) -> Data
 
 def chi_residuals(frame: DataFrame, features: Sequence[str] = CHI_FEATURES) -> DataFrame:
     """Pearson residual of the positives of every value."""
-    return _expected(value_counts(frame, features, F.col("repeater") == "t")).select(
+    return _expected(frame, features).select(
         "feature", "value",
         F.try_divide(F.col("pos") - F.col("e_pos"), F.sqrt("e_pos")).alias("residual"))
 
@@ -98,9 +97,10 @@ def chi_simulated(
     """(feature, p_simulated): tables with the observed margins, drawn without touching the rows.
 
     A label permutation gives a 2-column table with fixed margins, so it is enough to draw such
-    tables from the contingency counts. Chunks of replicates are independent tasks.
+    tables from the contingency counts: one cell per offer, chain, date or other catalogue value.
+    Chunks of replicates are independent tasks.
     """
-    counts = value_counts(frame, features, F.col("repeater") == "t").withColumn("feature", F.col("feature"))
+    counts = value_counts(frame, features, F.col("repeater") == "t")
     tables = counts.groupBy("feature").agg(
         F.sort_array(F.collect_list(F.struct("value", "n", "pos"))).alias("cells")
     ).select("feature", F.col("cells.n").alias("n"), F.col("cells.pos").alias("pos"))
@@ -146,7 +146,7 @@ def dependence_pairs(frame: DataFrame, columns: Sequence[str] = DEPENDENCE_COLUM
     margins = cells.withColumns({
         "n_a": F.sum("n").over(Window.partitionBy(*pair, "val_a")),
         "n_b": F.sum("n").over(Window.partitionBy(*pair, "val_b")),
-        "n_all": F.sum("n").over(Window.partitionBy(*pair)),
+        "n_all": combos.agg(F.sum("n")).scalar(),
     })
     information = (F.col("n") / F.col("n_all")) * F.log(
         F.col("n").cast("double") * F.col("n_all") / (F.col("n_a").cast("double") * F.col("n_b")))

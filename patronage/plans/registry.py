@@ -861,11 +861,8 @@ def als_implicit(s):
 
 @query
 def als_explicit(s):
-    counts = A.quantity_by(s.transactions, "id", "category", "company", "brand")
-    rows = counts.join(M.user_numbers(counts), "id").join(
-        M.item_numbers(counts), ["category", "company", "brand"]).select(
-        "user_idx", "item_idx", F.col("sum_pq").cast("double").alias("rating"))
-    return M.als_explicit(rows)
+    quantities = s.reduced.groupBy("id", "brand").agg(F.avg("purchasequantity").alias("rating"))
+    return M.als_explicit(M.numbered(quantities, ["brand"]).select("user_idx", "item_idx", "rating"))
 
 
 _MF = [f"MF{i}" for i in range(M.DIM)]
