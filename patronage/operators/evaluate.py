@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import dot
 from ..session import materialise
 from .order_stats import running_totals, value_bucket
 
@@ -115,7 +116,7 @@ def pairs_above(
         F.col("u_block_norm") * F.col("v_block_norm") * (1 + 1e-9) > thresholds[0]
     ) if thresholds[0] > 0 else u.join(v, "v_block")
     levels = np.asarray(thresholds)
-    dim = len(users.select("features").first()[0])
+    dim = _dimension(users)
 
     def count(batches):
         for pdf in batches:
@@ -137,46 +138,55 @@ def pairs_above(
 
 def _observed(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Observed pairs (u_id, v_id) with the model value ``m`` of each."""
-    dot = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return (
         pairs.join(users.select(F.col("vec_id").alias("u_id"), F.col("features").alias("u")), "u_id")
         .join(items.select(F.col("vec_id").alias("v_id"), F.col("features").alias("v")), "v_id")
-        .select(dot.alias("m"))
+        .select(dot("u", "v").alias("m"))
     )
 
 
+def _observed_sums(pairs: DataFrame, users: DataFrame, items: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """(threshold, n_data, sum_dm, n_cross): one pass over the observed pairs."""
+    sums = _observed(pairs, users, items).agg(
+        F.count(F.lit(1)).alias("n_data"),
+        F.coalesce(F.sum("m"), F.lit(0.0)).alias("sum_dm"),
+        F.array(*[
+            F.struct(F.lit(float(t)).alias("threshold"), F.count(F.when(F.col("m") > t, 1)).alias("n_cross"))
+            for t in thresholds
+        ]).alias("cross"),
+    )
+    return sums.select("n_data", "sum_dm", F.inline("cross"))
+
+
 def sparse_threshold_stats(
     pairs: DataFrame, users: DataFrame, items: DataFrame, thresholds: Sequence[float] = (0.5,)
 ) -> DataFrame:
-    """mean_data, mean_model, mean_cross per threshold over the full matrix, from its ones and the factors."""
-    thresholds = list(thresholds)
-    observed = _observed(pairs, users, items).agg(
-        F.count(F.lit(1)).alias("n_data"),
-        *[F.count(F.when(F.col("m") > t, 1)).alias(f"c{i}") for i, t in enumerate(thresholds)],
-    )
-    cross = observed.select("n_data", F.explode(F.arrays_zip(
-        F.array(*[F.lit(float(t)) for t in thresholds]).alias("threshold"),
-        F.array(*[F.col(f"c{i}") for i in range(len(thresholds))]).alias("n_cross"))).alias("x")).select(
-        "n_data", "x.threshold", "x.n_cross")
+    """mean_data, mean_sim, mean_cross per threshold over the full matrix, from its ones and the factors."""
     n_users = users.agg(F.count(F.lit(1))).scalar()
     n_items = items.agg(F.count(F.lit(1))).scalar()
     total = (n_users * n_items).cast("double")
-    return cross.join(pairs_above(users, items, thresholds), "threshold").select(
+    sums = _observed_sums(pairs, users, items, thresholds)
+    return sums.join(pairs_above(users, items, thresholds), "threshold").select(
         "threshold",
         (F.col("n_data") / total).alias("mean_data"),
         (F.col("n_above") / total).alias("mean_sim"),
         (F.col("n_cross") / total).alias("mean_cross"),
+        (F.col("sum_dm") / total).alias("mean_dm"),
     )
 
 
-def _moments(factors: DataFrame, dim: int, name: str) -> DataFrame:
-    """Row count, column sums and the Gram matrix of a factor table, as one row."""
+def _dimension(factors: DataFrame) -> int:
+    return factors.select(F.size("features")).first()[0]
+
+
+def _moments(factors: DataFrame, dim: int) -> DataFrame:
+    """Row count, column sums and Gram matrix of a factor table, as one struct."""
     x = [F.get("features", F.lit(i)) for i in range(dim)]
-    return factors.agg(
-        F.count(F.lit(1)).alias(f"{name}_n"),
-        F.array(*[F.sum(c) for c in x]).alias(f"{name}_sum"),
-        F.array(*[F.sum(a * b) for a in x for b in x]).alias(f"{name}_gram"),
-    )
+    return factors.agg(F.struct(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.sum(c) for c in x]).alias("sums"),
+        F.array(*[F.sum(a * b) for a in x for b in x]).alias("gram"),
+    ))
 
 
 def confusion(
@@ -187,25 +197,16 @@ def confusion(
     Means of u.v and (u.v)^2 over all pairs come from column sums and Gram matrices, so only the
     count above the threshold looks at pairs.
     """
-    dim = len(users.select("features").first()[0])
-    inner = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    spark = users.sparkSession
-    one = spark.range(1).select(
-        _moments(users, dim, "u").select(F.struct("*")).scalar().alias("u"),
-        _moments(items, dim, "v").select(F.struct("*")).scalar().alias("v"),
-        _observed(pairs, users, items).agg(F.coalesce(F.sum("m"), F.lit(0.0))).scalar().alias("sum_dm"),
-    )
-    total = F.col("u.u_n") * F.col("v.v_n").cast("double")
-    moments = one.select(
-        total.alias("total"), "sum_dm",
-        F.aggregate(F.zip_with("u.u_sum", "v.v_sum", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("sum_m"),
-        F.aggregate(F.zip_with("u.u_gram", "v.v_gram", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("sum_m2"),
-    ).select(F.struct("*").alias("s")).scalar()
-    stats = sparse_threshold_stats(pairs, users, items, thresholds).withColumn("s", moments)
+    dim = _dimension(users)
+    stats = sparse_threshold_stats(pairs, users, items, thresholds).withColumns({
+        "u": _moments(users, dim).scalar(),
+        "v": _moments(items, dim).scalar(),
+    })
+    total = F.col("u.n") * F.col("v.n").cast("double")
     data, sim, cross = F.col("mean_data"), F.col("mean_sim"), F.col("mean_cross")
     out = stats.withColumns({
-        "mean_model": F.col("s.sum_m") / F.col("s.total"),
-        "rms": F.sqrt(data - 2 * F.col("s.sum_dm") / F.col("s.total") + F.col("s.sum_m2") / F.col("s.total")),
+        "mean_model": dot("u.sums", "v.sums") / total,
+        "rms": F.sqrt(data - 2 * F.col("mean_dm") + dot("u.gram", "v.gram") / total),
         "tp": cross,
         "tn": 1 - data - sim + cross,
         "fp": sim - cross,
@@ -220,4 +221,4 @@ def confusion(
     return out.withColumn(
         "fscore",
         F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")),
-    ).drop("s")
+    ).drop("u", "v", "mean_dm")

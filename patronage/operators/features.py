@@ -64,6 +64,10 @@ def dept_first_match(rows: DataFrame) -> DataFrame:
     return rows.where(full).groupBy("id", "dept").agg(F.min(F.struct("date", "txn_seq")).alias("first_match"))
 
 
+def _after_first() -> Column:
+    return F.struct("date", "txn_seq") > F.col("first_match")
+
+
 def first_matches(transactions: DataFrame, history: DataFrame, offers: DataFrame) -> DataFrame:
     return dept_first_match(_matched(transactions, history, offers)).select(
         "id", "dept", F.col("first_match.date").alias("first_date"), F.col("first_match.txn_seq").alias("first_seq"))
@@ -74,8 +78,7 @@ def buy_history_dept(
 ) -> DataFrame:
     """Purchases in a department after the first full match there; customers without any are absent."""
     rows = _matched(transactions, history, offers)
-    later = rows.join(dept_first_match(rows), ["id", "dept"]).where(
-        F.struct("date", "txn_seq") > F.col("first_match"))
+    later = rows.join(dept_first_match(rows), ["id", "dept"]).where(_after_first())
     return later.groupBy("id").agg(*_bought("dept", F.lit(True), windows))
 
 
@@ -131,8 +134,11 @@ def feature_table(
     """One row per customer with transactions: label, purchase features, flags and offer context."""
     history = train.select(test.columns).unionByName(test)
     windows = list(windows)
-    bought = buy_history(transactions, history, offers, windows).join(
-        buy_history_dept(transactions, history, offers, windows), "id", "left")
+    rows = _matched(transactions, history, offers)
+    # One aggregation by customer serves all attributes; rows of a department without a full match
+    # have no first match and so count for nothing there.
+    bought = rows.join(dept_first_match(rows), ["id", "dept"], "left").groupBy("id").agg(
+        *_customer_totals(windows), *_bought("dept", _after_first(), windows))
     return (
         with_flags(bought)
         .join(offer_context(history, offers), "id")

@@ -73,15 +73,28 @@ def ranked(
     return out.withColumnsRenamed({"before__one": rank, "all__one": total}).drop("_one", *buckets)
 
 
-def distribution(df: DataFrame, keys: Sequence[str], value: str, per_e: int = 64) -> DataFrame:
-    """Distinct values per group with ``n`` rows, ``before_n`` smaller rows and ``all_n`` in total."""
-    runs = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_bucket", value_bucket(F.col(value), per_e))
+def distribution(
+    df: DataFrame, keys: Sequence[str], value: str, per_e: int = 64, heavy_rows: int = 1_000_000
+) -> DataFrame:
+    """Distinct values per group with ``n`` rows, ``before_n`` smaller rows and ``all_n`` in total.
+
+    One window serves the groups of up to ``heavy_rows`` rows; only larger ones pay for the bucketed
+    totals, and AQE drops that branch when there are none. All branches read the same exchange.
+    """
+    runs = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    for c in keys:
+        runs = runs.where(F.col(c).isNotNull())
+    heavy = runs.groupBy(*keys).agg(F.sum("n").alias("_n")).where(F.col("_n") > heavy_rows).select(*keys)
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    light = runs.join(heavy, list(keys), "left_anti").select(
+        *keys, value, "n",
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before_n"),
+        F.sum("n").over(group).alias("all_n"),
     )
-    return running_totals(runs, keys, ["_bucket"], [F.col(value)], ["n"]).drop("_bucket")
+    hot = runs.join(heavy, list(keys), "left_semi").withColumn("_bucket", value_bucket(F.col(value), per_e))
+    spread = running_totals(hot, keys, ["_bucket"], [F.col(value)], ["n"])
+    return light.unionByName(spread.select(light.columns))
 
 
 def _holds(rank: Column) -> Column:
@@ -104,8 +117,10 @@ def trimmed_mean_of(value: str, trim: float) -> Column:
     return F.sum(F.col(value).cast("double") * kept) / F.sum(kept)
 
 
-def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, trim: float, alias: str) -> DataFrame:
-    return distribution(df, keys, value).groupBy(*keys).agg(trimmed_mean_of(value, trim).alias(alias))
+def trimmed_mean(
+    df: DataFrame, keys: Sequence[str], value: str, trim: float, alias: str, heavy_rows: int = 1_000_000
+) -> DataFrame:
+    return distribution(df, keys, value, heavy_rows=heavy_rows).groupBy(*keys).agg(trimmed_mean_of(value, trim).alias(alias))
 
 
 def grouped_medians(
@@ -114,25 +129,25 @@ def grouped_medians(
     """Row count ``n_rows`` and exact medians ``med_<value>`` per group.
 
     Groups up to ``heavy_rows`` take one hash aggregation; larger ones go through
-    ``distribution`` in long form, so no task holds all values of a hot group.
+    ``distribution`` in long form, so no task holds all values of a hot group. Both read the same
+    exchange of distinct value combinations.
     """
-    heavy = df.groupBy(*keys).count().where(F.col("count") > heavy_rows).select(*keys)
-    light = (
-        df.join(heavy, list(keys), "left_anti")
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            *[F.percentile(F.col(v).cast("double"), 0.5).alias(f"med_{v}") for v in values],
-        )
-    )
-    long = (
-        df.join(heavy, list(keys), "left_semi")
-        .select(*keys, *[F.col(v).cast("double").alias(v) for v in values])
-        .unpivot(list(keys), list(values), "_measure", "_value")
-    )
-    medians = distribution(long, [*keys, "_measure"], "_value").groupBy(*keys, "_measure").agg(
-        median_of("_value").alias("m"))
-    counts = df.join(heavy, list(keys), "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    keys, values = list(keys), list(values)
+    runs = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values]).groupBy(*keys, *values).agg(
+        F.count(F.lit(1)).alias("n"))
+    for c in keys:
+        runs = runs.where(F.col(c).isNotNull())
+    heavy = runs.groupBy(*keys).agg(F.sum("n").alias("_n")).where(F.col("_n") > heavy_rows).select(*keys)
+    light = runs.join(heavy, keys, "left_anti").groupBy(*keys).agg(
+        F.sum("n").alias("n_rows"), *[F.percentile(v, 0.5, F.col("n")).alias(f"med_{v}") for v in values])
+
+    hot = runs.join(heavy, keys, "left_semi")
+    long = hot.unpivot([*keys, "n"], values, "_measure", "_value").where(F.col("_value").isNotNull())
+    cells = long.groupBy(*keys, "_measure", "_value").agg(F.sum("n").alias("n")).withColumn(
+        "_bucket", value_bucket(F.col("_value")))
+    medians = running_totals(cells, [*keys, "_measure"], ["_bucket"], [F.col("_value")], ["n"]).groupBy(
+        *keys, "_measure").agg(median_of("_value").alias("m"))
     wide = medians.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_measure") == v, F.col("m"))).alias(f"med_{v}") for v in values])
-    return light.unionByName(counts.join(wide, list(keys), "left"))
+    counts = hot.groupBy(*keys).agg(F.sum("n").alias("n_rows"))
+    return light.unionByName(counts.join(wide, keys, "left"))

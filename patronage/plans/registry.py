@@ -24,7 +24,7 @@ from ..operators import (
     stats as S,
     visits as W,
 )
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from ..sources import files, schemas, sinks
 from ..sources.shop import CUTOFF, Shop
 from . import pipeline
@@ -740,8 +740,9 @@ def threshold_sweep(s):
 
 @query
 def sparse_threshold_stats(s):
-    return rounded(V.sparse_threshold_stats(_pairs(s), s.user_factors, s.item_factors, [0.1]),
-                   ["threshold", "mean_data", "mean_sim", "mean_cross"], 6)
+    columns = ["threshold", "mean_data", "mean_sim", "mean_cross"]
+    stats = V.sparse_threshold_stats(_pairs(s), s.user_factors, s.item_factors, [0.1])
+    return rounded(stats.select(columns), columns, 6)
 
 
 # ---- encoding
@@ -819,7 +820,7 @@ def grid_search_c(s):
 
 @query
 def ml_quantile_linear(s):
-    table = pipeline.priced_features(s)
+    table = materialise(pipeline.priced_features(s), "features")
     names = [f.name for f in table.schema
              if f.name.startswith(("has_bought", "never_bought", "item_a", "item_p", "category_avg"))]
     names += ["total_spend", "offer_value"]
