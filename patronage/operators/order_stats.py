@@ -73,15 +73,19 @@ def ranked(
     return out.withColumnsRenamed({"before__one": rank, "all__one": total}).drop("_one", *buckets)
 
 
+def value_runs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values per group with ``n`` rows."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+
+
 def distribution(
-    df: DataFrame, keys: Sequence[str], value: str, per_e: int = 64, heavy_rows: int = 1_000_000
+    runs: DataFrame, keys: Sequence[str], value: str, per_e: int = 64, heavy_rows: int = 1_000_000
 ) -> DataFrame:
-    """Distinct values per group with ``n`` rows, ``before_n`` smaller rows and ``all_n`` in total.
+    """``value_runs`` rows with ``before_n`` smaller rows and ``all_n`` rows of the group.
 
     One window serves the groups of up to ``heavy_rows`` rows; only larger ones pay for the bucketed
     totals, and AQE drops that branch when there are none. All branches read the same exchange.
     """
-    runs = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     for c in keys:
         runs = runs.where(F.col(c).isNotNull())
     heavy = runs.groupBy(*keys).agg(F.sum("n").alias("_n")).where(F.col("_n") > heavy_rows).select(*keys)
@@ -120,7 +124,8 @@ def trimmed_mean_of(value: str, trim: float) -> Column:
 def trimmed_mean(
     df: DataFrame, keys: Sequence[str], value: str, trim: float, alias: str, heavy_rows: int = 1_000_000
 ) -> DataFrame:
-    return distribution(df, keys, value, heavy_rows=heavy_rows).groupBy(*keys).agg(trimmed_mean_of(value, trim).alias(alias))
+    runs = value_runs(df, keys, value)
+    return distribution(runs, keys, value, heavy_rows=heavy_rows).groupBy(*keys).agg(trimmed_mean_of(value, trim).alias(alias))
 
 
 def grouped_medians(

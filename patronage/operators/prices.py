@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import item_family, item_sku, smoothed
-from .order_stats import distribution, median_of, trimmed_mean, trimmed_mean_of
+from .order_stats import distribution, median_of, trimmed_mean_of, value_runs
 
 ALPHA_N, PRIOR_N = 10.0, 0.5
 ALPHA_ID, PRIOR_ID = 100.0, 0.1
@@ -50,7 +50,7 @@ def item_stats(prices: DataFrame, trim: float = 0.05) -> DataFrame:
         F.count("id").alias("n_unique_by_item"),
         F.sum("n").alias("n_tot_by_item"),
     )
-    typical = distribution(prices, ["item"], "price").groupBy("item").agg(
+    typical = distribution(value_runs(prices, ["item"], "price"), ["item"], "price").groupBy("item").agg(
         trimmed_mean_of("price", trim).alias("mean_price_by_item"),
         median_of("price").alias("med_price_by_item"),
     )
@@ -60,8 +60,14 @@ def item_stats(prices: DataFrame, trim: float = 0.05) -> DataFrame:
 
 def discounts(prices: DataFrame, trim: float = 0.05) -> DataFrame:
     """Per (id, item): mean price against the mean price of the item, absolute and percent."""
-    item_mean = trimmed_mean(prices, ["item"], "price", trim, "mean_price_by_item")
-    own_mean = trimmed_mean(prices, ["id", "item", "item_family"], "price", trim, "mean_price_by_id_item")
+    keys = ["id", "item", "item_family"]
+    own_runs = value_runs(prices, keys, "price")
+    # The prices of an item are those of its customers: counted again, not scanned again.
+    item_runs = own_runs.groupBy("item", "price").agg(F.sum("n").alias("n"))
+    own_mean = distribution(own_runs, keys, "price").groupBy(*keys).agg(
+        trimmed_mean_of("price", trim).alias("mean_price_by_id_item"))
+    item_mean = distribution(item_runs, ["item"], "price").groupBy("item").agg(
+        trimmed_mean_of("price", trim).alias("mean_price_by_item"))
     gap = F.col("mean_price_by_item") - F.col("mean_price_by_id_item")
     return own_mean.join(item_mean, "item").select(
         "id", "item", "item_family", "mean_price_by_id_item", "mean_price_by_item",
