@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import smoothed, unit_hash
 from ..session import materialise
-from .order_stats import ranked, value_bucket
+from .order_stats import ranked, trimmed_mean, value_bucket
 
 ALPHA, MU = 10.0, 0.30
 
@@ -79,8 +79,6 @@ def outputs(train: DataFrame, test: DataFrame, stats: DataFrame) -> DataFrame:
 
 def repeat_score_stats(scored: DataFrame, trim: float = 0.01, min_rows: int = 10) -> DataFrame:
     """By repeat trips: rows, trimmed mean score, scaled trips and the error sd / sqrt(N)."""
-    from .order_stats import trimmed_mean
-
     plain = scored.groupBy("repeattrips").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp("score").alias("score_sd")).where(F.col("n") > min_rows)
     mean = trimmed_mean(scored, ["repeattrips"], "score", trim, "score_mean")

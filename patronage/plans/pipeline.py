@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters, encode, factors, features, joins
 from ..operators.aggregates import sums_by_category
+from ..session import materialise
 from ..sources.shop import CUTOFF, Shop
 
 
@@ -36,6 +37,27 @@ def factor_rows(shop: Shop, history: DataFrame) -> DataFrame:
     return factors.with_factors(numbered, shop.user_factors, shop.item_factors)
 
 
+def fitted_factor_rows(shop: Shop, history: DataFrame) -> DataFrame:
+    """The same from an implicit factorization of the shop's own purchases.
+
+    Purchases per pair are counted once; customers and items below the value cutoff have no factors.
+    """
+    counts = materialise(
+        shop.transactions.groupBy("id", *factors.ITEM_KEYS).agg(F.count(F.lit(1)).alias("n")), "counts")
+    users, items = factors.user_numbers(counts), factors.item_numbers(counts)
+    pairs = factors.value_cutoff(
+        counts.join(users, "id").join(items, list(factors.ITEM_KEYS))
+        .select("user_idx", "item_idx", factors.log_scale("n").alias("value")))
+    model = factors.als_implicit(pairs)
+    offered = (
+        joins.history_with_offers_outer(history, shop.offers)
+        .join(users.withColumnRenamed("user_idx", "u_id"), "id", "left")
+        .join(items.withColumnRenamed("item_idx", "v_id"), list(factors.ITEM_KEYS), "left")
+    )
+    return factors.with_factors(
+        offered, factors.factor_table(model.userFactors), factors.factor_table(model.itemFactors))
+
+
 def labelled_clusters(shop: Shop, history: DataFrame) -> DataFrame:
     """History with the given cluster of each customer: the label of their vector."""
     vectors = shop.user_factors.select(F.col("vec_id").alias("u_id"), F.col("label").alias("cluster"))
@@ -43,8 +65,8 @@ def labelled_clusters(shop: Shop, history: DataFrame) -> DataFrame:
 
 
 def cluster_job(shop: Shop, k: int = 75) -> DataFrame:
-    """Cluster train and test by factor products, calibrate on train, and hand the rates to both."""
-    rows = factors.products(factor_rows(shop, shop.history_base))
+    """Factorize, cluster train and test by factor products, calibrate on train, and rate both."""
+    rows = factors.products(fitted_factor_rows(shop, shop.history_base))
     assigned = clusters.fit_assign(rows, k)
-    train = shop.history_train.join(assigned, "id")
+    train = shop.saved_train.join(assigned, "id")
     return clusters.outputs(train, shop.history_test.join(assigned, "id"), clusters.calibrate(train))

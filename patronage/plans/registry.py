@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,7 @@ from ..operators import (
     features as X,
     joins as J,
     models as L,
+    order_stats as O,
     prices as P,
     stats as S,
     visits as W,
@@ -590,9 +592,7 @@ def first_per_group(s):
 
 @query
 def trimmed_mean(s):
-    from ..operators.order_stats import trimmed_mean as mean
-
-    return rounded(mean(P.priced(s.transactions), ["item_family"], "price", 0.05, "mean_price"), ["mean_price"])
+    return rounded(O.trimmed_mean(P.priced(s.transactions), ["item_family"], "price", 0.05, "mean_price"), ["mean_price"])
 
 
 @query
@@ -756,8 +756,6 @@ def minmax_scale(s):
 
 @query
 def one_hot(s):
-    from pyspark.ml import Pipeline
-
     train, test = pipeline.model_frames(s)
     fitted = Pipeline(stages=N.one_hot(N.CATEGORICAL)).fit(train)
     return fitted.transform(J.stack(train.drop("label"), test)).select("id", *[f"{c}_hot" for c in N.CATEGORICAL])
@@ -893,7 +891,7 @@ def mf_score_train(s):
 
 @query
 def kmeans_fit_assign(s):
-    return K.fit_assign(M.products(pipeline.factor_rows(s, s.history_base)))
+    return K.fit_assign(M.products(pipeline.fitted_factor_rows(s, s.history_base)))
 
 
 @query

@@ -18,8 +18,21 @@ RUNTIME_CONF = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    for key, value in RUNTIME_CONF.items():
+BYTES_PER_PARTITION = 256 * 1024 ** 2
+MOST_PARTITIONS = 32768
+
+
+def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Runtime settings; with the input size, shuffles also start with enough partitions for it.
+
+    AQE merges small partitions but never adds any, so the first number has to fit the largest input.
+    """
+    conf = dict(RUNTIME_CONF)
+    if input_bytes is not None:
+        wanted = min(MOST_PARTITIONS, -(-input_bytes // BYTES_PER_PARTITION))
+        wanted = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(wanted)
+    for key, value in conf.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark

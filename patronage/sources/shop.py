@@ -29,8 +29,8 @@ CUTOFF = "2000-02-01"
 class Shop:
     """Lazy views over one data folder; every attribute is a DataFrame."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = configure(spark)
+    def __init__(self, spark: SparkSession, sf_dir: str, input_bytes: int | None = None):
+        self.spark = configure(spark, input_bytes)
         self.sf_dir = sf_dir.rstrip("/")
 
     def base(self, name: str) -> DataFrame:

@@ -100,3 +100,18 @@ def test_clusters_cover_train_and_test(shop):
     assert rows.count() == shop.history_base.count()
     assert rows.where("part = 'test' AND repeatProbability IS NULL").count() == 0
     assert rows.select("cluster").distinct().count() <= 5
+
+
+def test_partitions_follow_the_input_size(spark):
+    from patronage.session import MOST_PARTITIONS, configure
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        configure(spark, 10 * 1024 ** 3)
+        assert spark.conf.get(key) == "40"
+        configure(spark, 100 * 1024 ** 4)
+        assert int(spark.conf.get(key)) == MOST_PARTITIONS
+        configure(spark, 1)
+        assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
+    finally:
+        spark.conf.unset(key)
