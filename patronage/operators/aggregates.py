@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import RECENCY_NAMES, diff_days, recency_bin, smoothed
 from .joins import customer_offers
-from .order_stats import grouped_medians
+from .order_stats import combinations_of, grouped_medians
 
 
 def count_by(transactions: DataFrame, *keys: str, alias: str) -> DataFrame:
@@ -101,26 +101,25 @@ def group_medians(
 ) -> DataFrame:
     """Count and medians for {id} x subsets of (category, company, brand), all time and per bin.
 
-    Only rows that match the customer's own offer on a subset can join to it, so a row is
-    carried once per subset it matches instead of once per grouping set.
+    Only rows that match the customer's own offer on a subset can join to it, so a row counts once
+    per subset it matches instead of once per grouping set.
     """
     subsets = key_subsets()
     own = customer_offers(history, offers)
+    measures = ["productsize", "purchasequantity", "purchaseamount"]
     matched = transactions.join(own, "id").select(
         "id",
-        F.array_compact(F.array(*[
-            F.when(_all_match(s), F.lit(i)) for i, s in enumerate(subsets)
-        ])).alias("subsets"),
+        *[(F.col(k) == F.col(f"offer_{k}")).alias(f"on_{k}") for k in GROUP_ATTRIBUTES],
         recency_bin(diff_days("offer_date", "date")).alias("bin"),
-        "productsize", "purchasequantity", "purchaseamount",
-    )
-    rows = (
-        matched.withColumn("subset", F.explode("subsets"))
-        .withColumn("bin", F.explode(F.array_compact(F.array(F.lit(-1), F.col("bin")))))
-        .drop("subsets")
+        *measures,
     )
+    # Rows are collapsed and shuffled once, before they fan out to key sets and bins.
+    runs = combinations_of(matched, ["id", *[f"on_{k}" for k in GROUP_ATTRIBUTES], "bin"], measures)
+    fanned = runs.withColumn("subset", F.explode(F.array_compact(F.array(*[
+        F.when(_all_on(s), F.lit(i)) for i, s in enumerate(subsets)
+    ])))).withColumn("bin", F.explode(F.array_compact(F.array(F.lit(-1), F.col("bin")))))
     groups = grouped_medians(
-        rows, ["id", "subset", "bin"], ["productsize", "purchasequantity", "purchaseamount"], heavy_rows)
+        fanned.select("id", "subset", "bin", *measures, "n"), ["id", "subset", "bin"], measures, heavy_rows)
     bins = {-1: None, **dict(enumerate(RECENCY_NAMES))}
     tags = {(i, b): f"{i}" if name is None else f"{name}_{i}" for i in range(len(subsets)) for b, name in bins.items()}
     tag = F.concat_ws("_", F.get(F.array(*[F.lit(n) for n in bins.values()]), F.col("bin") + 1), "subset")
@@ -130,10 +129,10 @@ def group_medians(
     return history.select("id").join(named, "id", "left")
 
 
-def _all_match(subset: tuple[str, ...]) -> Column:
+def _all_on(subset: tuple[str, ...]) -> Column:
     out = F.lit(True)
     for k in subset:
-        out = out & (F.col(k) == F.col(f"offer_{k}"))
+        out = out & F.col(f"on_{k}")
     return out
 
 

@@ -14,13 +14,6 @@ WINDOWS = (30, 60, 90, 180)
 ATTRIBUTES = ("company", "category", "brand")
 
 
-def bought_columns(name: str, windows: Iterable[int] = WINDOWS) -> list[str]:
-    out = [f"has_bought_{name}", f"has_bought_{name}_q", f"has_bought_{name}_a"]
-    for n in windows:
-        out += [f"has_bought_{name}_{n}", f"has_bought_{name}_q_{n}", f"has_bought_{name}_a_{n}"]
-    return out
-
-
 def _bought(name: str, match: Column, windows: Iterable[int]) -> list[Column]:
     """Count, quantity and amount of matching rows, all time and per window; NULL without a match."""
     out = []

@@ -128,18 +128,21 @@ def trimmed_mean(
     return distribution(runs, keys, value, heavy_rows=heavy_rows).groupBy(*keys).agg(trimmed_mean_of(value, trim).alias(alias))
 
 
+def combinations_of(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Distinct combinations of keys and values with ``n`` rows."""
+    return df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values]).groupBy(*keys, *values).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def grouped_medians(
-    df: DataFrame, keys: Sequence[str], values: Sequence[str], heavy_rows: int = 1_000_000
+    runs: DataFrame, keys: Sequence[str], values: Sequence[str], heavy_rows: int = 1_000_000
 ) -> DataFrame:
-    """Row count ``n_rows`` and exact medians ``med_<value>`` per group.
+    """Row count ``n_rows`` and exact medians ``med_<value>`` per group of rows weighted by ``n``.
 
-    Groups up to ``heavy_rows`` take one hash aggregation; larger ones go through
-    ``distribution`` in long form, so no task holds all values of a hot group. Both read the same
-    exchange of distinct value combinations.
+    Groups up to ``heavy_rows`` rows take one hash aggregation; larger ones go through bucketed
+    totals in long form, so no task holds all values of a hot group. Both read the same exchange.
     """
     keys, values = list(keys), list(values)
-    runs = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values]).groupBy(*keys, *values).agg(
-        F.count(F.lit(1)).alias("n"))
     for c in keys:
         runs = runs.where(F.col(c).isNotNull())
     heavy = runs.groupBy(*keys).agg(F.sum("n").alias("_n")).where(F.col("_n") > heavy_rows).select(*keys)

@@ -182,7 +182,7 @@ SELECT *, CAST(item_total AS DOUBLE) / category_total AS item_popularity, item_a
        (item_amount / item_total) / (category_amount / category_total) AS item_avg_cost_div_by_category_avg_cost
 FROM items_categories""",
 }
-_PIPELINE = {
+_PRICED_FEATURES = {
     **_FEATURES,
     **_ITEMS,
     "priced_features": "SELECT * FROM feature_table JOIN ratios ON offer_item_id = item_id",
@@ -441,7 +441,7 @@ _q("src_history_test", "SELECT * FROM history_test")
 
 _q("sink_shard_by_customer", f"SELECT CAST({_digits('id')} % 100 AS INT) AS bucket, count(*) AS n_rows, "
    "count(DISTINCT id) AS n_customers FROM transactions GROUP BY 1")
-_q("sink_sparse_text", f"SELECT {_LINE} AS line FROM priced_features", _PIPELINE)
+_q("sink_sparse_text", f"SELECT {_LINE} AS line FROM priced_features", _PRICED_FEATURES)
 _q("sink_routed", """
 SELECT CASE WHEN label = 0.5 THEN 'test' WHEN offer_date < DATE '2000-02-01' THEN 'train_early' ELSE 'train_late' END AS split,
        count(*) AS n_rows FROM feature_table GROUP BY 1""", _FEATURES)
@@ -452,7 +452,7 @@ UNION ALL SELECT 'category', category_id, category_total, category_amount, categ
    _ITEMS)
 _q("sink_submission", f"SELECT id, {_r('p', 'repeatProbability', 6)} FROM ("
    + _nb_scored("SELECT h.id, f.category, f.company, f.brand FROM history_test h JOIN offers f ON h.offer = f.offer") + ")", _NB)
-_q("sink_labels", "SELECT id, label FROM priced_features", _PIPELINE)
+_q("sink_labels", "SELECT id, label FROM priced_features", _PRICED_FEATURES)
 
 _q("item_cat_brand", f"SELECT offer, {_CB} AS item FROM offers")
 _q("item_ccb", f"SELECT offer, {_CCB} AS item FROM offers")
@@ -511,7 +511,7 @@ FROM offered h LEFT JOIN sums s ON s.id = h.id AND s.category = h.category""", {
 _q("join_item_category_stats", "SELECT * FROM items_categories", _ITEMS)
 _q("join_features_item_stats", f"""
 SELECT id, label, total_spend, offer_item_id, item_total, category_total, {_r('item_popularity', 'item_popularity', 6)}
-FROM priced_features""", _PIPELINE)
+FROM priced_features""", _PRICED_FEATURES)
 _q("join_scores_default", f"SELECT t.id, {_r('coalesce(p, 0)', 'repeatProbability', 6)} FROM history_test t LEFT JOIN ("
    + _nb_scored("SELECT h.id, f.category, f.company, f.brand FROM history_test h JOIN offers f ON h.offer = f.offer "
                 "WHERE h.id IN (SELECT id FROM reduced)") + ") s ON s.id = t.id", _NB)

@@ -29,7 +29,7 @@ from ..operators import (
 from ..session import materialise, scratch_path
 from ..sources import files, schemas, sinks
 from ..sources.shop import CUTOFF, Shop
-from . import pipeline
+from . import jobs
 
 _QUERIES: dict[str, Callable[[Shop], DataFrame]] = {}
 
@@ -139,7 +139,7 @@ def sink_shard_by_customer(s):
 @query
 def sink_sparse_text(s):
     path = scratch_path(s.spark, "lines")
-    lines = sinks.sparse_lines(pipeline.priced_features(s))
+    lines = sinks.sparse_lines(jobs.priced_features(s))
     sinks.write_lines(lines, path)
     return s.spark.read.text(path).withColumnRenamed("value", "line")
 
@@ -176,7 +176,7 @@ def sink_submission(s):
 @query
 def sink_labels(s):
     path = scratch_path(s.spark, "lines")
-    sinks.write_lines(sinks.sparse_lines(pipeline.priced_features(s)), path)
+    sinks.write_lines(sinks.sparse_lines(jobs.priced_features(s)), path)
     return sinks.labels_of_lines(s.spark.read.text(path).withColumnRenamed("value", "line"))
 
 
@@ -326,7 +326,7 @@ def drop_reorder(s):
 
 @query
 def score_clamp(s):
-    rows = M.products(pipeline.factor_rows(s, s.history_base))
+    rows = M.products(jobs.factor_rows(s, s.history_base))
     return rounded(rows.select("id", C.clamp_score(M.raw_score()).alias("score")), ["score"], 6)
 
 
@@ -385,7 +385,7 @@ def join_item_category_stats(s):
 @query
 def join_features_item_stats(s):
     return rounded(
-        pipeline.priced_features(s).select(
+        jobs.priced_features(s).select(
             "id", "label", "total_spend", "offer_item_id", "item_total", "category_total", "item_popularity"),
         ["item_popularity"], 6)
 
@@ -407,7 +407,7 @@ def anti_missing_ids(s):
 
 @query
 def cluster_lookup(s):
-    rows = pipeline.labelled_clusters(s, s.saved_train)
+    rows = jobs.labelled_clusters(s, s.saved_train)
     stats = K.calibrate(rows)
     return rounded(J.cluster_lookup(rows.select("id", "cluster"), stats), ["frac_repeater"], 6)
 
@@ -568,7 +568,7 @@ def distinct_counts(s):
 
 @query
 def repeat_score_stats(s):
-    rows = M.factor_columns(pipeline.factor_rows(s, s.saved_train)).select("repeattrips", "score")
+    rows = M.factor_columns(jobs.factor_rows(s, s.saved_train)).select("repeattrips", "score")
     return rounded(K.repeat_score_stats(rows), ["score_mean", "scaled_trips", "score_mean_err"], 6)
 
 
@@ -602,7 +602,7 @@ def dept_first_match(s):
 
 def _scored(s):
     """(score, actual) of the train customers under the factor score."""
-    rows = M.factor_columns(pipeline.factor_rows(s, s.saved_train))
+    rows = M.factor_columns(jobs.factor_rows(s, s.saved_train))
     return rounded(rows.select("score", (F.col("repeater") == "t").cast("int").alias("actual")), ["score"], 6)
 
 
@@ -613,7 +613,7 @@ def cumulative_tp_fp(s):
 
 @query
 def sorted_lists(s):
-    return rounded(K.ordered(K.calibrate(pipeline.labelled_clusters(s, s.saved_train))), ["frac_repeater"], 6)
+    return rounded(K.ordered(K.calibrate(jobs.labelled_clusters(s, s.saved_train))), ["frac_repeater"], 6)
 
 
 @query
@@ -749,35 +749,35 @@ def sparse_threshold_stats(s):
 
 @query
 def minmax_scale(s):
-    train, test = pipeline.model_frames(s)
+    train, test = jobs.model_frames(s)
     scaled = N.minmax_scale(J.stack(train.drop("label"), test), N.CONTINUOUS)
     return rounded(scaled.select("id", *N.CONTINUOUS), N.CONTINUOUS, 6)
 
 
 @query
 def one_hot(s):
-    train, test = pipeline.model_frames(s)
+    train, test = jobs.model_frames(s)
     fitted = Pipeline(stages=N.one_hot(N.CATEGORICAL)).fit(train)
     return fitted.transform(J.stack(train.drop("label"), test)).select("id", *[f"{c}_hot" for c in N.CATEGORICAL])
 
 
 @query
 def interact_hash(s):
-    train, test = pipeline.model_frames(s)
+    train, test = jobs.model_frames(s)
     rows = N.interactions(J.stack(train.drop("label"), test))
     return rows.select("id", *N.interaction_columns())
 
 
 @query
 def assemble(s):
-    train, test = pipeline.model_frames(s)
+    train, test = jobs.model_frames(s)
     (train_x, test_x), _ = L.encoded(train, test)
     return J.stack(train_x, test_x).select("id", "label", "features")
 
 
 @query
 def model_frame(s):
-    train, _ = pipeline.model_frames(s)
+    train, _ = jobs.model_frames(s)
     return N.sorted_frame(train)
 
 
@@ -789,7 +789,7 @@ def balance_classes(s):
 # ---- models
 
 def _encoded(s):
-    return L.encoded(*pipeline.model_frames(s))
+    return L.encoded(*jobs.model_frames(s))
 
 
 def _model_query(name):
@@ -818,7 +818,7 @@ def grid_search_c(s):
 
 @query
 def ml_quantile_linear(s):
-    table = materialise(pipeline.priced_features(s), "features")
+    table = materialise(jobs.priced_features(s), "features")
     names = [f.name for f in table.schema
              if f.name.startswith(("has_bought", "never_bought", "item_a", "item_p", "category_avg"))]
     names += ["total_spend", "offer_value"]
@@ -869,57 +869,57 @@ _MF = [f"MF{i}" for i in range(M.DIM)]
 
 @query
 def mf_features(s):
-    return rounded(M.factor_columns(pipeline.factor_rows(s, s.history_base)).select("id", "unknown", *_MF), _MF, 6)
+    return rounded(M.factor_columns(jobs.factor_rows(s, s.history_base)).select("id", "unknown", *_MF), _MF, 6)
 
 
 @query
 def mf_super_features(s):
-    rows = M.super_features(pipeline.factor_rows(s, s.history_base))
+    rows = M.super_features(jobs.factor_rows(s, s.history_base))
     return rows.select("id", F.concat_ws(",", F.transform("super", C.fixed6)).alias("super_features"))
 
 
 @query
 def mf_add_columns(s):
-    rows = M.factor_columns(pipeline.factor_rows(s, s.history_base))
+    rows = M.factor_columns(jobs.factor_rows(s, s.history_base))
     return rows.select("id", "offer", *[C.fixed6(c).alias(c) for c in (*_MF, "score")])
 
 
 @query
 def mf_score_train(s):
-    return rounded(M.clamped_scores(pipeline.factor_rows(s, s.history_train)), ["score"], 6)
+    return rounded(M.clamped_scores(jobs.factor_rows(s, s.history_train)), ["score"], 6)
 
 
 @query
 def kmeans_fit_assign(s):
-    return K.fit_assign(M.products(pipeline.fitted_factor_rows(s, s.history_base)))
+    return K.fit_assign(M.products(jobs.fitted_factor_rows(s, s.history_base)))
 
 
 @query
 def kmeans_calibrate(s):
-    return rounded(K.calibrate(pipeline.labelled_clusters(s, s.history_train)), ["frac_repeater"], 6)
+    return rounded(K.calibrate(jobs.labelled_clusters(s, s.history_train)), ["frac_repeater"], 6)
 
 
 @query
 def kmeans_random_control(s):
-    rows = pipeline.labelled_clusters(s, s.saved_train).select("id", "cluster", "repeater")
+    rows = jobs.labelled_clusters(s, s.saved_train).select("id", "cluster", "repeater")
     return rounded(K.random_control(rows), ["frac_repeater"], 6)
 
 
 @query
 def cluster_error(s):
-    rows = K.with_error(K.calibrate(pipeline.labelled_clusters(s, s.history_train)))
+    rows = K.with_error(K.calibrate(jobs.labelled_clusters(s, s.history_train)))
     return rounded(rows.select("cluster", "frac_repeat", "frac_err"), ["frac_repeat", "frac_err"], 6)
 
 
 @query
 def cluster_score_roc(s):
-    rows = pipeline.labelled_clusters(s, s.saved_train)
+    rows = jobs.labelled_clusters(s, s.saved_train)
     scored = rounded(K.cluster_scores(rows, K.calibrate(rows)), ["score"], 6)
     return rounded(V.roc_curve(scored), ["tpr", "fpr", "precision", "recall", "f_score"])
 
 
 @query
 def cluster_outputs(s):
-    train = pipeline.labelled_clusters(s, s.saved_train)
-    rows = K.outputs(train, pipeline.labelled_clusters(s, s.history_test), K.calibrate(train))
+    train = jobs.labelled_clusters(s, s.saved_train)
+    rows = K.outputs(train, jobs.labelled_clusters(s, s.history_test), K.calibrate(train))
     return rounded(rows, ["frac_repeater", "repeatProbability"])

@@ -48,8 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
         path = configured
     elif spark.sparkContext.master.startswith("local"):
         app = spark.sparkContext.applicationId
-        path = _LOCAL_DIR.setdefault(app, "") or tempfile.mkdtemp(prefix="patronage-")
-        _LOCAL_DIR[app] = path
+        if app not in _LOCAL_DIR:
+            _LOCAL_DIR[app] = tempfile.mkdtemp(prefix="patronage-")
+        path = _LOCAL_DIR[app]
     else:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if spark.sparkContext.getCheckpointDir() is None:

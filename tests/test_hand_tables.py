@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions import columns as C
 from patronage.operators import bayes, evaluate, features, order_stats, stats, visits
+from patronage.sources import files, sinks
 
 
 def day(text):
@@ -137,3 +138,26 @@ def test_clean_number(spark):
 def test_item_sku_needs_both_columns(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], "category int, brand int, company int, chain int")
     assert C.item_sku(df) is None
+
+
+def test_catalog_paths():
+    assert files.data_path("/data/", "history") == "/data/trainHistory.csv"
+    assert files.data_path("/data", "transactions", 7) == "/data/transactions_7.csv"
+
+
+def test_exported_lines_and_labels(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(1.0, 11, 2.5, None, "a b", 3), (0.5, 12, None, 4, "c", 5)],
+        "label double, id long, z double, a int, m string, item_id int")
+    lines = sinks.sparse_lines(rows)
+    assert {r["id"]: r["line"] for r in lines.collect()} == {
+        11: "1 '11 |f m:a_b z:2.500000", 12: "0.5 '12 |f a:4 m:c"}
+    sinks.labels_of_lines(lines).write.csv(str(tmp_path / "labels"))
+    got = {r["id"]: r["label"] for r in files.read_labels(spark, str(tmp_path / "labels")).collect()}
+    assert got == {11: 1.0, 12: 0.5}
+
+
+def test_row_cap_of_the_shards(spark, tmp_path):
+    rows = spark.range(100).select("id")
+    sinks.write_shards(rows, str(tmp_path / "capped"), 10, nmax=30)
+    assert spark.read.parquet(str(tmp_path / "capped")).count() == 30

@@ -4,18 +4,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from patronage.operators import encode, evaluate, factors, joins, models, stats
-from patronage.plans import pipeline, registry
+from patronage.plans import jobs, registry
 from patronage.plans.registry import _scored
 from patronage.session import materialise
 
 
 @pytest.fixture(scope="module")
 def encoded(shop):
-    return models.encoded(*pipeline.model_frames(shop))
+    return models.encoded(*jobs.model_frames(shop))
 
 
 def test_quantile_model_is_no_worse_than_the_constant(shop):
-    table = materialise(pipeline.priced_features(shop), "features").where("label <> 0.5")
+    table = materialise(jobs.priced_features(shop), "features").where("label <> 0.5")
     scored, losses = models.quantile_linear(table, table, ["total_spend", "offer_value", "item_popularity"], passes=10)
     assert losses["loss"] <= losses["constant_loss"]
     assert scored.count() == table.count()
@@ -96,7 +96,7 @@ def test_reductions_are_nested(shop):
 
 
 def test_clusters_cover_train_and_test(shop):
-    rows = pipeline.cluster_job(shop, k=5)
+    rows = jobs.cluster_job(shop, k=5)
     assert rows.count() == shop.history_base.count()
     assert rows.where("part = 'test' AND repeatProbability IS NULL").count() == 0
     assert rows.select("cluster").distinct().count() <= 5
