@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, token_files, url_rules
+from . import mixing, packing, quality, repeats, token_files, url_rules
 from .common import scratch_path, table
 from .tokens import public_file
 
@@ -19,6 +19,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents"), length=400)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -39,7 +43,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filters, op6_source_mix, op8_quality_rules, op9_packing, op10_token_files)
+    f.__name__: f for f in (op2_url_filters, op4_repeated_strings, op6_source_mix, op8_quality_rules, op9_packing, op10_token_files)
 }
 
 ORACLES = {
