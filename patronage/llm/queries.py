@@ -6,28 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, repeats, token_files, url_rules
+from . import html_text, mixing, near_copies, neighbours, packing, quality, repeats, token_files, toxicity, url_rules
 from .common import scratch_path, table
 from .tokens import public_file
 
 URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_rules.apply_rules(pages, url_rules.rule_table(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(table(spark, sf_dir, "documents"), length=400)
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents")).drop("clean_text")
 
@@ -43,7 +60,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filters, op4_repeated_strings, op6_source_mix, op8_quality_rules, op9_packing, op10_token_files)
+    f.__name__: f for f in (
+        op1_html_text, op2_url_filters, op3_near_copies, op4_repeated_strings, op5_nearest_vectors,
+        op6_source_mix, op7_toxicity, op8_quality_rules, op9_packing, op10_token_files)
 }
 
 ORACLES = {
