@@ -51,6 +51,9 @@ LABELLED_PAGES = (
     (*_MENU, (0, 100, 5, 0, -1), (1, 200, 0, 0, 2), (1, 20, 2, 0, 2), (1, 9, 9, 0, 2), (1, 70, 0, 0, 2), (0, 6, 0, 1, -1), (0, 45, 0, 0, -1), (0, 30, 0, 0, -1)),
     ((1, 6, 0, 1, 2), (1, 15, 0, 0, 2)), ((1, 4, 4, 1, 2), (1, 90, 1, 0, 2), (1, 11, 5, 0, 2), (0, 3, 3, 0, 0), (0, 90, 0, 0, 0)),
     ((0, 14, 0, 0, 0), (1, 25, 8, 0, 2), (1, 100, 30, 0, 2), (1, 3, 3, 0, 2), (0, 9, 0, 0, 0), (0, 200, 0, 0, -1), (0, 70, 0, 0, -1), (0, 2, 0, 1, -1)),
+    # short last words of an article
+    (*_MENU, (1, 70, 0, 0, 2), (1, 5, 0, 0, 2), (0, 2, 0, 0, -1)), ((1, 8, 0, 1, 2), (1, 40, 0, 0, 2), (1, 6, 0, 0, 2)), ((1, 30, 0, 0, 2), (1, 8, 0, 0, 2), (0, 1, 1, 0, 0)),
+    ((0, 3, 0, 0, 0), (1, 4, 0, 1, 2), (1, 7, 0, 0, 2), (1, 5, 0, 0, 2), (0, 2, 2, 0, -1)), ((1, 6, 0, 0, 2),), ((1, 90, 9, 0, 2), (1, 4, 1, 0, 2), (0, 1, 0, 0, -1)),
     # a list of links inside the article is a menu
     ((1, 7, 0, 1, 2), (1, 55, 0, 0, 2), (0, 5, 5, 0, 2), (0, 6, 6, 0, 2), (0, 4, 4, 0, 2), (0, 7, 7, 0, 2), (1, 48, 0, 0, 2)),
     ((1, 9, 0, 1, 2), (0, 2, 2, 0, 2), (0, 3, 3, 0, 2), (0, 2, 2, 0, 2), (1, 65, 3, 0, 2), (1, 80, 0, 0, 2), (0, 1, 1, 0, -1), (0, 1, 1, 0, -1)),
