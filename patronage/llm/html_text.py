@@ -54,6 +54,9 @@ LABELLED_PAGES = (
     # short last words of an article
     (*_MENU, (1, 70, 0, 0, 2), (1, 5, 0, 0, 2), (0, 2, 0, 0, -1)), ((1, 8, 0, 1, 2), (1, 40, 0, 0, 2), (1, 6, 0, 0, 2)), ((1, 30, 0, 0, 2), (1, 8, 0, 0, 2), (0, 1, 1, 0, 0)),
     ((0, 3, 0, 0, 0), (1, 4, 0, 1, 2), (1, 7, 0, 0, 2), (1, 5, 0, 0, 2), (0, 2, 2, 0, -1)), ((1, 6, 0, 0, 2),), ((1, 90, 9, 0, 2), (1, 4, 1, 0, 2), (0, 1, 0, 0, -1)),
+    # an article of short lines, some with links
+    (*_MENU, (1, 3, 0, 0, 2), (1, 1, 0, 0, 2), (1, 12, 0, 0, 2), (1, 1, 0, 0, 2), (1, 4, 1, 0, 2), (1, 2, 0, 0, 2), (1, 2, 0, 0, 2), (1, 20, 5, 0, 2), (1, 1, 0, 0, 2), (1, 5, 2, 0, 2), (1, 3, 0, 0, 2),
+     (1, 14, 0, 0, 2), (1, 1, 0, 0, 2), (1, 35, 0, 0, 2), (1, 2, 0, 0, 2), (1, 7, 0, 0, 2), (1, 3, 1, 0, 2), (1, 9, 3, 0, 2), (1, 1, 0, 0, 2), (0, 6, 1, 0, -1)),
     # a list of links inside the article is a menu
     ((1, 7, 0, 1, 2), (1, 55, 0, 0, 2), (0, 5, 5, 0, 2), (0, 6, 6, 0, 2), (0, 4, 4, 0, 2), (0, 7, 7, 0, 2), (1, 48, 0, 0, 2)),
     ((1, 9, 0, 1, 2), (0, 2, 2, 0, 2), (0, 3, 3, 0, 2), (0, 2, 2, 0, 2), (1, 65, 3, 0, 2), (1, 80, 0, 0, 2), (0, 1, 1, 0, -1), (0, 1, 1, 0, -1)),
@@ -64,6 +67,7 @@ LABELLED_PAGES = (
     ((0, 4, 4, 0, 0), (0, 3, 0, 0, 0), (0, 6, 6, 0, 0), (0, 2, 0, 0, 0), (0, 5, 5, 0, 0), (0, 7, 4, 0, 0), (0, 3, 3, 0, 0)),
     ((1, 50, 0, 0, 0), (1, 16, 0, 0, 0), (1, 33, 8, 0, 0), (0, 3, 3, 0, 0), (0, 2, 2, 0, 0)),
     (*_BARE_MENU, (1, 9, 0, 1, 0), (1, 75, 0, 0, 0), (1, 42, 0, 0, 0)), ((1, 30, 2, 0, 0), (1, 110, 0, 0, 0)), (*_MENU, (1, 65, 3, 0, 0), (0, 2, 2, 0, 0)),
+    ((1, 60, 0, 0, 0), (1, 2, 0, 0, 0), (1, 70, 0, 0, 0), (1, 3, 0, 0, 0), (1, 50, 0, 0, 0), (1, 1, 0, 0, 0), (1, 65, 0, 0, 0)),
     (*_BARE_MENU, (1, 28, 0, 0, 0), (1, 36, 1, 0, 0), (0, 2, 0, 0, 0)), ((1, 45, 0, 0, 0), (1, 21, 0, 0, 0), (0, 7, 0, 0, -1)),
 )
 

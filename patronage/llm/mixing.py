@@ -18,6 +18,10 @@ def word_count(column) -> F.Column:
     return F.regexp_count(text_or_empty(column), F.lit(WORD)).cast("bigint")
 
 
+def _dealt(seed: int, id_col: str, text_col: str, source_col: str) -> F.Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col).cast("bigint"), F.col(text_col).cast("string"), F.col(source_col).cast("string"))
+
+
 def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
     """``target`` of each source of (source, source_size).
 
@@ -85,7 +89,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     """
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).alias("dealt"))
+        word_count(F.col(text_col)).alias("size"), _dealt(seed, id_col, text_col, source_col).alias("dealt"))
     rows = saved(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     sizes = saved(sizes, "sources")
@@ -118,3 +122,33 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     return out.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + more).alias("taken"),
         "passes", F.lit(0).cast("bigint").alias("from_word"), more.alias("to_word"), "dealt")
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id",
+                    text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
+    """Rows of ``docs`` as the mix takes them, with all columns: a document once for each pass, and its first words for the rest.
+
+    The words taken of a document are those of its rows. A document that the mix does not take has no row. The text of a shorter
+    copy ends behind its last word; ``chars_col`` follows it. Repeated rows are matched one to one with what the mix says of them.
+    """
+    names = docs.columns
+    plan = mix(docs, weights, share, most, seed, id_col=id_col, text_col=text_col, source_col=source_col).where("taken > 0")
+    null_id = F.lit(-1 << 63)
+    copy = Window.partitionBy("_doc", "_dealt")
+    plan = plan.select(F.coalesce("doc_id", null_id).alias("_doc"), F.col("dealt").alias("_dealt"), "passes", "to_word")
+    plan = plan.withColumn("_nth", F.row_number().over(copy.orderBy("passes", "to_word")))
+    keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("bigint"), null_id), "_dealt": _dealt(seed, id_col, text_col, source_col)})
+    keyed = keyed.withColumn("_nth", F.row_number().over(copy.orderBy("_dealt")))
+    a, b = keyed.alias("a"), plan.alias("b")
+    same = (F.col("a._doc") == F.col("b._doc")) & (F.col("a._dealt") == F.col("b._dealt")) & (F.col("a._nth") - F.col("b._nth") == 0)
+    taken = a.join(b, same).select("a.*", "b.passes", "b.to_word")
+    taken = taken.withColumn("_until", F.explode(F.concat(
+        F.array_repeat(F.lit(None).cast("bigint"), F.col("passes").cast("int")), F.when(F.col("to_word") > 0, F.array("to_word")).otherwise(F.array().cast("array<bigint>")))))
+    # Split at each word's end, the first parts are the first words with what stands between them.
+    parts = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    part = F.array_join(F.slice(parts, 1, F.greatest(F.col("_until"), F.lit(1)).cast("int")), "")
+    taken = taken.withColumn("_cut", F.when(F.col("_until").isNull(), F.col(text_col)).otherwise(part))
+    changed = {text_col: F.col("_cut").cast(docs.schema[text_col].dataType)}
+    if chars_col in names:
+        changed[chars_col] = F.when(F.col("_until").isNull(), F.col(chars_col)).otherwise(F.length("_cut")).cast(docs.schema[chars_col].dataType)
+    return taken.withColumns(changed).select(*names)
