@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -188,14 +188,21 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
             return classes
 
 
+def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs whose texts are similar. A text travels once to its pairs as ``b`` and the pair then to its ``a``."""
+    second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+    both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
+    return both.mapInArrow(_links(least), "a binary, b binary")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``doc_id, node, class, class_id``: a row per document, with the least id of its class of copies.
 
-    Equal texts are one node (the digest of the text) and are not compared. In each bucket of a sketch the other nodes are
-    compared to one leader, never all with all; what has not joined the leader's class meets another leader in the next
-    round, until a round finds no new link. After the first round leaders differ from bucket to bucket, so a link that one
-    bucket misses is found in others. No bucket, partner or candidate is capped. Buckets, links and classes stay distributed; a hot bucket is joined by
-    its key, which adaptive execution splits.
+    Equal texts are one node (the digest of the text) and are not compared. In each bucket of a sketch the nodes of other
+    classes are compared to one leader, which then leaves the bucket; buckets that still hold several classes go on with more
+    leaders, until none does. So all nodes of different classes that share a bucket are compared, and none of the same class. No
+    bucket, partner or candidate is capped. Buckets, links and classes stay distributed; a hot bucket is joined by its key, which
+    adaptive execution splits.
 
     A null text is a class of its own (``class_id`` is its id); texts without a word are copies only if they are equal. Repeated
     rows share a class. Long texts are sketched whole, in parts. An empty table gives no rows; other columns are not read.
@@ -206,36 +213,40 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = rows.where("node is not null")
     buckets = saved(known.select("node", "text").mapInArrow(_sketch_rows, "key bigint, node binary"), "sketches")
 
-    classes, links, tested, texts, turn = None, None, None, None, 0
+    # First the least node of each bucket, which many buckets share. Copies of a text collapse before the shuffle.
+    heads = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("key", "a")
+    opened = buckets.join(heads, "key").where("node != a")
+    pairs = opened.select("a", F.col("node").alias("b")).distinct()
+    rest = saved(opened.select("key", "node").distinct(), "open-buckets")
+    pairs = saved(pairs, "pairs")
+    # Every node that shares a bucket is in the first pairs, so their texts serve all rounds.
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = saved(known.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    classes, tested, turn = None, pairs, 0
     while True:
-        # First the least node, which many buckets share; then one that differs from bucket to bucket and round to round.
-        # Copies of a text collapse before the shuffle.
-        chance = F.xxhash64("node", "key", F.lit(turn)) if turn else F.lit(0).cast("bigint")
-        member = F.struct(chance.alias("chance"), "node", "class")
-        sorted_in = buckets.withColumn("class", F.col("node")) if classes is None else buckets
-        heads = sorted_in.groupBy("key").agg(F.min(member).alias("head"), F.min("class").alias("low"), F.max("class").alias("high"))
-        heads = heads.where("low != high").select("key", F.col("head.node").alias("a"), F.col("head.class").alias("a_class"))
-        open_rows = sorted_in.join(heads, "key")
-        pairs = open_rows.where("class != a_class").select("a", F.col("node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        if texts is None:
-            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            texts = saved(known.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-        second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-        both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
-        links = saved(both.mapInArrow(_links(least), "a binary, b binary"), "links")
-        if links.isEmpty():
+        links = saved(_compared(pairs, texts, least), "links")
+        if not links.isEmpty():
+            classes = components(links, classes)
+        # Buckets that still hold nodes of different classes go on, without the leaders they had.
+        if classes is not None:
+            rest = rest.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        else:
+            rest = rest.withColumn("class", F.col("node"))
+        several = rest.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key")
+        rest = saved(rest.join(several, "key", "left_semi"), "open-buckets")
+        if rest.isEmpty():
             break
-        classes = components(links, classes)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        # Only buckets that still hold nodes of different classes go on.
-        rest = open_rows.select("key", "node").distinct().join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        buckets = saved(rest, "open-buckets")
+        # Each round takes four times as many leaders, those of the rarest classes first.
         turn += 1
+        sizes = rest.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("n", F.xxhash64("node", "key"), "node"))
+        leaders = rest.join(sizes, ["key", "class"]).withColumn("rank", rank).where(F.col("rank") <= 4 ** turn)
+        leaders = saved(leaders.select("key", F.col("node").alias("a"), F.col("class").alias("a_class")), "leaders")
+        met = rest.join(leaders, "key").where("class != a_class")
+        pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(pairs)
+        rest = rest.join(leaders.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
 
     if classes is None:
         out = ids.withColumn("class", F.col("node"))

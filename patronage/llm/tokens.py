@@ -27,10 +27,10 @@ _LONGEST_CACHED = 48
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers.
 
-    ``cache`` bounds the remembered words; when it is full, the older half is forgotten.
+    ``cache`` bounds the remembered words, about 200 bytes each; when it is full, the older half is forgotten.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -83,7 +83,7 @@ class Encoder:
         pieces = self.model.tokenize(word.encode().decode("latin-1").translate(_ALPHABET))
         ids = b"".join([p.id.to_bytes(4, "little") for p in pieces])
         if len(word) <= _LONGEST_CACHED:
-            if len(self.words) >= self.half:
+            if len(self.words) >= self.half // 2:
                 self.words.clear()
             self.words[word] = ids
         return ids

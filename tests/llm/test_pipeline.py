@@ -20,7 +20,7 @@ from test_search_mix import plain_targets
 def corpus(rnd):
     texts = [prose(rnd, rnd.randrange(40, 150), longest=9) + "." for _ in range(40)]
     passage = prose(rnd, 110, longest=9)
-    texts += [changed(rnd, t, 2) for t in texts[:8]] + texts[8:12] + [prose(rnd, 60) + " " + passage + " " + prose(rnd, 70) for _ in range(4)]
+    texts += [changed(rnd, t, 2) for t in texts[:8]] + texts[8:12] + [prose(rnd, 60) + ". " + passage + ", " + prose(rnd, 70) for _ in range(4)]
     texts += [None, "", "Buy!! now!! " * 40, "a b c " * 50, "\n".join([prose(rnd, 70) + ".", "Home | News | Sport | About"])]
     return [(i, t, rnd.choice(["x", "x", "x", "y", None])) for i, t in enumerate(texts)]
 
