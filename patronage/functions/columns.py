@@ -13,7 +13,8 @@ def _c(col) -> Column:
 
 
 def joined(*cols) -> Column:
-    return F.concat_ws("_", *[_c(c).cast("string") for c in cols])
+    """The parts with ``_`` between them; a NULL part is empty, so its place stays."""
+    return F.concat_ws("_", *[F.coalesce(_c(c).cast("string"), F.lit("")) for c in cols])
 
 
 def item_cat_brand() -> Column:

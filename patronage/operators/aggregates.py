@@ -96,9 +96,7 @@ def key_subsets() -> list[tuple[str, ...]]:
     return [c for size in range(4) for c in combinations(GROUP_ATTRIBUTES, size)]
 
 
-def group_medians(
-    transactions: DataFrame, history: DataFrame, offers: DataFrame, heavy_rows: int = 1_000_000
-) -> DataFrame:
+def group_medians(transactions: DataFrame, history: DataFrame, offers: DataFrame) -> DataFrame:
     """Count and medians for {id} x subsets of (category, company, brand), all time and per bin.
 
     Only rows that match the customer's own offer on a subset can join to it, so a row counts once
@@ -119,7 +117,7 @@ def group_medians(
         F.when(_all_on(s), F.lit(i)) for i, s in enumerate(subsets)
     ])))).withColumn("bin", F.explode(F.array_compact(F.array(F.lit(-1), F.col("bin")))))
     groups = grouped_medians(
-        fanned.select("id", "subset", "bin", *measures, "n"), ["id", "subset", "bin"], measures, heavy_rows)
+        fanned.select("id", "subset", "bin", *measures, "n"), ["id", "subset", "bin"], measures)
     bins = {-1: None, **dict(enumerate(RECENCY_NAMES))}
     tags = {(i, b): f"{i}" if name is None else f"{name}_{i}" for i in range(len(subsets)) for b, name in bins.items()}
     tag = F.concat_ws("_", F.get(F.array(*[F.lit(n) for n in bins.values()]), F.col("bin") + 1), "subset")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import smoothed, unit_hash
 from ..session import materialise
-from .order_stats import ranked, trimmed_mean, value_bucket
+from .order_stats import ranked, trimmed_mean
 
 ALPHA, MU = 10.0, 0.30
 
@@ -32,14 +32,9 @@ def calibrate(assigned: DataFrame, cluster: str = "cluster", label="repeater") -
 def permuted(assigned: DataFrame) -> DataFrame:
     """Adds ``random_cluster``: the same cluster sizes, handed out in md5 order of the ids."""
     key = F.md5(F.col("id").cast("string"))
-    shuffled = ranked(
-        assigned.withColumn("_md5", key), {"_slot": F.substring("_md5", 1, 3)}, [F.col("_md5"), F.col("id")],
-    ).drop("_md5", "total")
-    ordered = ranked(
-        assigned.select("id", "cluster"),
-        {"_cluster": F.col("cluster"), "_id": value_bucket(F.col("id"))},
-        [F.col("cluster"), F.col("id")],
-    ).select("rank0", F.col("cluster").alias("random_cluster"))
+    shuffled = ranked(assigned.withColumn("_md5", key), [F.col("_md5"), F.col("id")]).drop("_md5", "total")
+    ordered = ranked(assigned.select("id", "cluster"), [F.col("cluster"), F.col("id")]).select(
+        "rank0", F.col("cluster").alias("random_cluster"))
     return shuffled.join(ordered, "rank0").drop("rank0")
 
 

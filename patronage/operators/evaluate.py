@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import dot
 from ..session import materialise
-from .order_stats import running_totals, value_bucket
+from .order_stats import running_totals, spread
 
 EPSILON = 1e-11
 
@@ -30,9 +30,9 @@ def cumulative(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def _cumulated(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    runs = counts.withColumn("_bucket", value_bucket(F.col("score"), 4096))
-    out = running_totals(runs, keys, ["_bucket"], [F.col("score")], ["pos", "neg"], descending=True)
-    return out.drop("_bucket").withColumns({
+    order = [F.col("score").desc()]
+    out = running_totals(spread(counts, [*keys, *order]), keys, order, ["pos", "neg"])
+    return out.withColumns({
         "tp": F.col("before_pos") + F.col("pos"),
         "fp": F.col("before_neg") + F.col("neg"),
     })
@@ -61,7 +61,7 @@ def auroc(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.try_divide(area, F.max("all_pos").cast("double") * F.max("all_neg")).alias("auroc"))
 
 
-def auc_bootstrap(scored: DataFrame, replicates: int = 5, seed: int = 42) -> DataFrame:
+def auc_bootstrap(scored: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """mean(score of a positive > score of a negative) in resamples with replacement."""
     scored = materialise(scored.select("score", "actual"), "scored")
     resamples = None

@@ -10,29 +10,30 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp_score, dot, log_scale, product
 from ..session import materialise, shared_dir
-from .order_stats import ranked, value_bucket
+from .order_stats import join_on, ranked
 
-DIM = 10
+RANK = 10  # of the fits
 ITEM_KEYS = ("category", "company", "brand")
 
 
 def user_numbers(counts: DataFrame) -> DataFrame:
     """(id, user_idx): dense numbers from 1 in id order."""
     users = counts.select("id").distinct()
-    return ranked(users, {"_b": value_bucket(F.col("id"), 4096)}, [F.col("id")]).select(
+    return ranked(users, [F.col("id")]).select(
         "id", (F.col("rank0") + 1).cast("int").alias("user_idx"))
 
 
 def item_numbers(counts: DataFrame, keys: Sequence[str] = ITEM_KEYS) -> DataFrame:
     """(keys, item_idx): dense numbers from 1 in key order, over the distinct items of the catalogue."""
     items = counts.select(*keys).distinct()
-    return ranked(items, {"_b": F.col(keys[0])}, [F.col(k) for k in keys]).select(
+    return ranked(items, [F.col(k) for k in keys]).select(
         *keys, (F.col("rank0") + 1).cast("int").alias("item_idx"))
 
 
 def numbered(counts: DataFrame, keys: Sequence[str] = ITEM_KEYS) -> DataFrame:
-    """Per (id, keys) rows with their user_idx and item_idx."""
-    return counts.join(user_numbers(counts), "id").join(item_numbers(counts, keys), list(keys))
+    """Per (id, keys) rows with their user_idx and item_idx. The counts are written once, as all three read them."""
+    counts = materialise(counts, "counts")
+    return join_on(join_on(counts, user_numbers(counts), ["id"]), item_numbers(counts, keys), keys)
 
 
 def pair_counts(transactions: DataFrame, keys: Sequence[str] = ITEM_KEYS, only_count: int | None = None) -> DataFrame:
@@ -46,7 +47,7 @@ def value_cutoff(pairs: DataFrame, cutoff: float = 1.5) -> DataFrame:
     return pairs.where(F.col("value") > cutoff)
 
 
-def als_implicit(pairs: DataFrame, rank: int = DIM, iterations: int = 4, reg: float = 0.02, alpha: float = 1.0,
+def als_implicit(pairs: DataFrame, rank: int = RANK, iterations: int = 4, reg: float = 0.02, alpha: float = 1.0,
                  seed: int = 42) -> ALSModel:
     shared_dir(pairs.sparkSession)
     return ALS(rank=rank, maxIter=iterations, regParam=reg, implicitPrefs=True, alpha=alpha, seed=seed,
@@ -54,7 +55,7 @@ def als_implicit(pairs: DataFrame, rank: int = DIM, iterations: int = 4, reg: fl
 
 
 def als_explicit(
-    ratings: DataFrame, rank: int = DIM, iterations: int = 50, reg: float = 0.1, holdout: float = 0.2, seed: int = 42
+    ratings: DataFrame, rank: int = RANK, iterations: int = 50, reg: float = 0.1, holdout: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Holdout predictions of a non-negative factorization of (user_idx, item_idx, rating) with bias.
 
@@ -89,12 +90,12 @@ def factor_table(factors: DataFrame) -> DataFrame:
     return factors.select(F.col("id").cast("long").alias("vec_id"), F.col("features").cast("array<double>").alias("features"))
 
 
-def _zeros(dim: int):
-    return F.array(*[F.lit(0.0)] * dim)
+def with_factors(customers: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (u_id, v_id, ...) with their factors ``u`` and ``v``; an unknown side zeroes both, as ``unknown``.
 
-
-def with_factors(customers: DataFrame, users: DataFrame, items: DataFrame, dim: int = DIM) -> DataFrame:
-    """Rows (u_id, v_id, ...) with their factors ``u`` and ``v``; an unknown side zeroes both, as ``unknown``."""
+    The length of the zeros is that of the known factors.
+    """
+    zeros = F.array_repeat(F.lit(0.0), F.coalesce(users.agg(F.max(F.size("features"))).scalar(), F.lit(0)))
     rows = (
         customers
         .join(users.select(F.col("vec_id").alias("u_id"), F.col("features").alias("_u")), "u_id", "left")
@@ -102,8 +103,8 @@ def with_factors(customers: DataFrame, users: DataFrame, items: DataFrame, dim:
     )
     known = F.col("_u").isNotNull() & F.col("_v").isNotNull()
     return rows.withColumns({
-        "u": F.when(known, F.col("_u")).otherwise(_zeros(dim)),
-        "v": F.when(known, F.col("_v")).otherwise(_zeros(dim)),
+        "u": F.when(known, F.col("_u")).otherwise(zeros),
+        "v": F.when(known, F.col("_v")).otherwise(zeros),
         "unknown": ~known,
     }).drop("_u", "_v")
 
@@ -122,7 +123,7 @@ def super_features(rows: DataFrame) -> DataFrame:
     return products(rows).withColumn("super", F.concat("u", "v", "uv", F.array(dot("u", "v"))))
 
 
-def factor_columns(rows: DataFrame, dim: int = DIM) -> DataFrame:
+def factor_columns(rows: DataFrame, dim: int = RANK) -> DataFrame:
     """MF0.. and ``score`` as columns."""
     return products(rows).withColumns({
         **{f"MF{i}": F.get("uv", F.lit(i)) for i in range(dim)},

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import TEST_LABEL, joined, label_of
+from ..session import materialise
 from .joins import customer_offers, transactions_with_offer
 
 WINDOWS = (30, 60, 90, 180)
@@ -36,6 +37,12 @@ def _matched(transactions: DataFrame, history: DataFrame, offers: DataFrame) ->
     })
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """What both the first matches and the totals read, written once."""
+    flags = [f"_m_{k}" for k in (*ATTRIBUTES, "chain")]
+    return materialise(rows.select("id", "dept", "date", "txn_seq", "purchasequantity", "purchaseamount", "_days", *flags), "matched")
+
+
 def _customer_totals(windows: Iterable[int]) -> list[Column]:
     return [
         F.sum("purchaseamount").cast("double").alias("total_spend"),
@@ -70,7 +77,7 @@ def buy_history_dept(
     transactions: DataFrame, history: DataFrame, offers: DataFrame, windows: Iterable[int] = WINDOWS
 ) -> DataFrame:
     """Purchases in a department after the first full match there; customers without any are absent."""
-    rows = _matched(transactions, history, offers)
+    rows = _written(_matched(transactions, history, offers))
     later = rows.join(dept_first_match(rows), ["id", "dept"]).where(_after_first())
     return later.groupBy("id").agg(*_bought("dept", F.lit(True), windows))
 
@@ -127,7 +134,7 @@ def feature_table(
     """One row per customer with transactions: label, purchase features, flags and offer context."""
     history = train.select(test.columns).unionByName(test)
     windows = list(windows)
-    rows = _matched(transactions, history, offers)
+    rows = _written(_matched(transactions, history, offers))
     # One aggregation by customer serves all attributes; rows of a department without a full match
     # have no first match and so count for nothing there.
     bought = rows.join(dept_first_match(rows), ["id", "dept"], "left").groupBy("id").agg(
@@ -173,7 +180,9 @@ def item_history(transactions: DataFrame, cutoff: str) -> DataFrame:
         F.sum("purchaseamount").cast("double").alias("item_amount"),
         F.sum("purchasequantity").alias("item_quantity"),
     ).select(
-        joined("category", "company", "brand").alias("item_id"), "item_total", "item_amount", "item_quantity")
+        joined("category", "company", "brand").alias("item_id"),
+        *[F.col(k).cast("string").alias(f"item_{k}") for k in ("category", "company", "brand")],
+        "item_total", "item_amount", "item_quantity")
 
 
 def category_history(transactions: DataFrame, cutoff: str) -> DataFrame:
@@ -184,19 +193,8 @@ def category_history(transactions: DataFrame, cutoff: str) -> DataFrame:
     )
 
 
-def split_item_id(items: DataFrame) -> DataFrame:
-    """Item rows with the key taken apart again."""
-    parts = F.split("item_id", "_")
-    return items.withColumns({
-        "item_category": parts[0],
-        "item_company": parts[1],
-        "item_brand": parts[2],
-    })
-
-
 def items_with_categories(items: DataFrame, categories: DataFrame) -> DataFrame:
-    split = split_item_id(items)
-    return split.join(categories, split["item_category"] == categories["category_id"].cast("string"))
+    return items.join(categories, items["item_category"].eqNullSafe(categories["category_id"].cast("string")))
 
 
 def price_ratios(items_categories: DataFrame) -> DataFrame:
@@ -212,4 +210,7 @@ def price_ratios(items_categories: DataFrame) -> DataFrame:
 
 def features_with_item_stats(features: DataFrame, stats: DataFrame) -> DataFrame:
     """Inner join on the item on offer: customers whose item has no stats drop out."""
-    return features.join(stats, features["offer_item_id"] == stats["item_id"])
+    on = F.lit(True)
+    for k in ("category", "company", "brand"):  # the parts, as a text key may join different parts to the same text
+        on = on & features[f"offer_{k}"].cast("string").eqNullSafe(stats[f"item_{k}"])
+    return features.join(stats, on)

@@ -1,8 +1,9 @@
 """Ranks, running totals and order statistics that never put a whole group in one task.
 
-Rows are first collapsed to (group, value) counts. Values fall into order-preserving buckets;
-only the bucket totals of a group are ordered in one place, and the running totals inside a
-bucket start from them. A group that holds a third of all rows is thus spread over its buckets.
+Rows are first collapsed to (group, value) counts where that is possible. They are then dealt into range
+partitions by group and value and written once with the number of their partition. A group that holds a
+third of all rows is spread over many partitions; only its totals, one per partition, are ordered in one
+place, and the running totals inside a partition start from them. NULL is a key and a value like any other.
 """
 
 from __future__ import annotations
@@ -12,65 +13,62 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 
-def value_bucket(x: Column, per_e: int = 64) -> Column:
-    """Order-preserving bucket of a number: ``per_e`` buckets per factor of e, either sign."""
-    x = x.cast("double")
-    base = 800 * per_e
-    size = F.floor(F.log(F.abs(x)) * per_e) + base
-    return F.coalesce(F.when(x > 0, size).when(x < 0, -size).cast("bigint"), F.lit(0).cast("bigint"))
 
+def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    """Null-safe equality of ``keys`` on both sides."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & a[k].eqNullSafe(b[k])
+    return out
 
-def running_totals(
-    runs: DataFrame,
-    keys: Sequence[str],
-    buckets: Sequence[str],
-    order: Sequence[Column],
-    sums: Sequence[str],
-    descending: bool = False,
-) -> DataFrame:
+
+def join_on(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Null-safe join that keeps the keys of ``a``; ``b`` gives its other columns."""
+    right = b.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return a.join(right, on, how).drop(*[f"_same_{k}" for k in keys])
+
+
+def spread(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` with ``_bucket``, the number of its range partition by ``order``.
+
+    The ranges come from a sample, so they are fixed by writing the rows once: what reads them twice, or again after
+    an executor is lost, sees the same ranges.
+    """
+    return materialise(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()), "ordered")
+
+
+def running_totals(runs: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Sequence[str]) -> DataFrame:
     """Add ``before_<c>`` (total of earlier rows) and ``all_<c>`` (group total) for each c in sums.
 
-    ``order`` must refine the order of ``buckets``; both go down when ``descending``.
+    ``runs`` comes from ``spread`` by keys and ``order``.
     """
-    # The join below would infer these filters on one side only; stated here, both uses of ``runs``
-    # have the same plan and share one exchange.
-    for c in (*keys, *buckets):
-        runs = runs.where(F.col(c).isNotNull())
-    totals = runs.groupBy(*keys, *buckets).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    go = (lambda c: c.desc()) if descending else (lambda c: c.asc())
+    totals = runs.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    earlier = group.orderBy(*[go(F.col(b)) for b in buckets]).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys,
-        *buckets,
+        *keys, "_bucket",
         *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums],
         *[F.sum(f"_t_{c}").over(group).alias(f"all_{c}") for c in sums],
     )
-    inside = (
-        Window.partitionBy(*keys, *buckets)
-        .orderBy(*[go(o) for o in order])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    out = runs.join(offsets, [*keys, *buckets])
-    out = out.withColumns({
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = join_on(runs, offsets, [*keys, "_bucket"]).withColumns({
         f"before_{c}": F.col(f"_off_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums
     })
-    return out.drop(*[f"_off_{c}" for c in sums])
+    return out.drop("_bucket", *[f"_off_{c}" for c in sums])
 
 
 def ranked(
-    df: DataFrame,
-    buckets: dict[str, Column],
-    order: Sequence[Column],
-    keys: Sequence[str] = (),
-    rank: str = "rank0",
-    total: str = "total",
+    df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), rank: str = "rank0", total: str = "total",
 ) -> DataFrame:
     """0-based rank of every row in its group, and the group size."""
-    work = df.withColumns({**buckets, "_one": F.lit(1).cast("bigint")})
-    out = running_totals(work, keys, list(buckets), order, ["_one"])
-    return out.withColumnsRenamed({"before__one": rank, "all__one": total}).drop("_one", *buckets)
+    rows = spread(df.withColumn("_one", F.lit(1).cast("bigint")), [*keys, *order])
+    out = running_totals(rows, keys, order, ["_one"])
+    return out.withColumnsRenamed({"before__one": rank, "all__one": total}).drop("_one")
 
 
 def value_runs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -78,27 +76,9 @@ def value_runs(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def distribution(
-    runs: DataFrame, keys: Sequence[str], value: str, per_e: int = 64, heavy_rows: int = 1_000_000
-) -> DataFrame:
-    """``value_runs`` rows with ``before_n`` smaller rows and ``all_n`` rows of the group.
-
-    One window serves the groups of up to ``heavy_rows`` rows; only larger ones pay for the bucketed
-    totals, and AQE drops that branch when there are none. All branches read the same exchange.
-    """
-    for c in keys:
-        runs = runs.where(F.col(c).isNotNull())
-    heavy = runs.groupBy(*keys).agg(F.sum("n").alias("_n")).where(F.col("_n") > heavy_rows).select(*keys)
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    light = runs.join(heavy, list(keys), "left_anti").select(
-        *keys, value, "n",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before_n"),
-        F.sum("n").over(group).alias("all_n"),
-    )
-    hot = runs.join(heavy, list(keys), "left_semi").withColumn("_bucket", value_bucket(F.col(value), per_e))
-    spread = running_totals(hot, keys, ["_bucket"], [F.col(value)], ["n"])
-    return light.unionByName(spread.select(light.columns))
+def distribution(runs: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``value_runs`` rows with ``before_n`` smaller rows and ``all_n`` rows of the group."""
+    return running_totals(spread(runs, [*keys, value]), keys, [F.col(value)], ["n"])
 
 
 def _holds(rank: Column) -> Column:
@@ -109,7 +89,8 @@ def median_of(value: str) -> Column:
     """Aggregate over ``distribution`` rows: the mean of the two middle values."""
     low = F.floor((F.col("all_n") - 1) / 2)
     high = F.ceil((F.col("all_n") - 1) / 2)
-    return F.sum(F.col(value).cast("double") * (_holds(low) + _holds(high))) / 2
+    middle = _holds(low) + _holds(high)
+    return F.sum(F.when(middle > 0, F.col(value).cast("double") * middle)) / 2
 
 
 def trimmed_mean_of(value: str, trim: float) -> Column:
@@ -118,14 +99,12 @@ def trimmed_mean_of(value: str, trim: float) -> Column:
     end = F.col("before_n") + F.col("n")
     kept = F.greatest(
         F.lit(0).cast("bigint"), F.least(end, F.col("all_n") - cut) - F.greatest(F.col("before_n"), cut))
-    return F.sum(F.col(value).cast("double") * kept) / F.sum(kept)
+    return F.sum(F.when(kept > 0, F.col(value).cast("double") * kept)) / F.sum(kept)
 
 
-def trimmed_mean(
-    df: DataFrame, keys: Sequence[str], value: str, trim: float, alias: str, heavy_rows: int = 1_000_000
-) -> DataFrame:
-    runs = value_runs(df, keys, value)
-    return distribution(runs, keys, value, heavy_rows=heavy_rows).groupBy(*keys).agg(trimmed_mean_of(value, trim).alias(alias))
+def trimmed_mean(df: DataFrame, keys: Sequence[str], value: str, trim: float, alias: str) -> DataFrame:
+    return distribution(value_runs(df, keys, value), keys, value).groupBy(*keys).agg(
+        trimmed_mean_of(value, trim).alias(alias))
 
 
 def combinations_of(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -134,28 +113,19 @@ def combinations_of(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -
         F.count(F.lit(1)).alias("n"))
 
 
-def grouped_medians(
-    runs: DataFrame, keys: Sequence[str], values: Sequence[str], heavy_rows: int = 1_000_000
-) -> DataFrame:
+def grouped_medians(runs: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Row count ``n_rows`` and exact medians ``med_<value>`` per group of rows weighted by ``n``.
 
-    Groups up to ``heavy_rows`` rows take one hash aggregation; larger ones go through bucketed
-    totals in long form, so no task holds all values of a hot group. Both read the same exchange.
+    One row per (group, measure, value) is ordered; the row counts go along as one more measure that has a single value.
     """
     keys, values = list(keys), list(values)
-    for c in keys:
-        runs = runs.where(F.col(c).isNotNull())
-    heavy = runs.groupBy(*keys).agg(F.sum("n").alias("_n")).where(F.col("_n") > heavy_rows).select(*keys)
-    light = runs.join(heavy, keys, "left_anti").groupBy(*keys).agg(
-        F.sum("n").alias("n_rows"), *[F.percentile(v, 0.5, F.col("n")).alias(f"med_{v}") for v in values])
-
-    hot = runs.join(heavy, keys, "left_semi")
-    long = hot.unpivot([*keys, "n"], values, "_measure", "_value").where(F.col("_value").isNotNull())
-    cells = long.groupBy(*keys, "_measure", "_value").agg(F.sum("n").alias("n")).withColumn(
-        "_bucket", value_bucket(F.col("_value")))
-    medians = running_totals(cells, [*keys, "_measure"], ["_bucket"], [F.col("_value")], ["n"]).groupBy(
-        *keys, "_measure").agg(median_of("_value").alias("m"))
-    wide = medians.groupBy(*keys).agg(
+    counted = runs.withColumn("_rows", F.lit(0.0))
+    cells = (
+        counted.unpivot([*keys, "n"], [*values, "_rows"], "_measure", "_value").where(F.col("_value").isNotNull())
+        .groupBy(*keys, "_measure", "_value").agg(F.sum("n").alias("n"))
+    )
+    medians = distribution(cells, [*keys, "_measure"], "_value").groupBy(*keys, "_measure").agg(
+        median_of("_value").alias("m"), F.max("all_n").alias("all_n"))
+    return medians.groupBy(*keys).agg(
+        F.max(F.when(F.col("_measure") == "_rows", F.col("all_n"))).alias("n_rows"),
         *[F.max(F.when(F.col("_measure") == v, F.col("m"))).alias(f"med_{v}") for v in values])
-    counts = hot.groupBy(*keys).agg(F.sum("n").alias("n_rows"))
-    return light.unionByName(counts.join(wide, keys, "left"))

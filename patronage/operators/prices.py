@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import item_family, item_sku, smoothed
+from ..session import materialise
 from .order_stats import distribution, median_of, trimmed_mean_of, value_runs
 
 ALPHA_N, PRIOR_N = 10.0, 0.5
@@ -42,15 +43,17 @@ def customer_diversity(prices: DataFrame) -> DataFrame:
 
 def item_stats(prices: DataFrame, trim: float = 0.05) -> DataFrame:
     """Per item: quantity, spend, buyers, rows, trimmed mean and median price, smoothed ratio."""
-    buyers = prices.groupBy("item", "id").agg(
-        F.sum("purchasequantity").alias("q"), F.sum("purchaseamount").alias("a"), F.count(F.lit(1)).alias("n"),
-    ).groupBy("item").agg(
+    # The rows are read once, as totals per price of a customer and item.
+    runs = materialise(prices.groupBy("item", "id", "price").agg(
+        F.sum("purchasequantity").alias("q"), F.sum("purchaseamount").alias("a"), F.count(F.lit(1)).alias("n")), "price-runs")
+    buyers = runs.groupBy("item", "id").agg(F.sum("q").alias("q"), F.sum("a").alias("a"), F.sum("n").alias("n")).groupBy("item").agg(
         F.sum("q").alias("n_all_purchases_by_item"),
         F.sum("a").cast("double").alias("spend_all_by_item"),
         F.count("id").alias("n_unique_by_item"),
         F.sum("n").alias("n_tot_by_item"),
     )
-    typical = distribution(value_runs(prices, ["item"], "price"), ["item"], "price").groupBy("item").agg(
+    by_price = runs.where("price is not null").groupBy("item", "price").agg(F.sum("n").alias("n"))
+    typical = distribution(by_price, ["item"], "price").groupBy("item").agg(
         trimmed_mean_of("price", trim).alias("mean_price_by_item"),
         median_of("price").alias("med_price_by_item"),
     )
@@ -61,7 +64,7 @@ def item_stats(prices: DataFrame, trim: float = 0.05) -> DataFrame:
 def discounts(prices: DataFrame, trim: float = 0.05) -> DataFrame:
     """Per (id, item): mean price against the mean price of the item, absolute and percent."""
     keys = ["id", "item", "item_family"]
-    own_runs = value_runs(prices, keys, "price")
+    own_runs = materialise(value_runs(prices, keys, "price"), "price-runs")
     # The prices of an item are those of its customers: counted again, not scanned again.
     item_runs = own_runs.groupBy("item", "price").agg(F.sum("n").alias("n"))
     own_mean = distribution(own_runs, keys, "price").groupBy(*keys).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import parsed_date
-from .order_stats import ranked, value_bucket
+from .order_stats import ranked
 
 LONG_GAP = 33
 
@@ -48,11 +48,7 @@ def trip_gaps(transactions: DataFrame, long_gap: int = LONG_GAP) -> DataFrame:
 
 def time_ordered_split(frame: DataFrame, fraction: float = 0.67) -> DataFrame:
     """``part`` = train for the first floor(n * fraction) rows by (offerdate, id), else cv."""
-    rows = ranked(
-        frame,
-        {"_date": F.col("offerdate"), "_id": value_bucket(F.col("id"))},
-        [F.col("offerdate"), F.col("id")],
-    )
+    rows = ranked(frame, [F.col("offerdate"), F.col("id")])
     cut = F.floor(F.col("total") * F.lit(fraction))
     return rows.withColumn("part", F.when(F.col("rank0") < cut, "train").otherwise("cv")).drop("rank0", "total")
 
@@ -63,12 +59,7 @@ def balanced(frame: DataFrame, label: str = "repeater") -> DataFrame:
     ``shuffle_key`` gives the shuffled order of the result.
     """
     key = F.md5(F.col("id").cast("string"))
-    rows = ranked(
-        frame.withColumn("shuffle_key", key),
-        {"_slot": F.substring("shuffle_key", 1, 3)},
-        [F.col("shuffle_key"), F.col("id")],
-        keys=[label],
-    )
+    rows = ranked(frame.withColumn("shuffle_key", key), [F.col("shuffle_key"), F.col("id")], keys=[label])
     sizes = frame.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     smallest = sizes.agg(F.min("n")).scalar()
     return rows.where(F.col("rank0") < smallest).drop("rank0", "total")

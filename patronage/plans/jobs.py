@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import clusters, encode, factors, features, joins
 from ..operators.aggregates import sums_by_category
 from ..session import materialise
-from ..sources.shop import CUTOFF, Shop
+from ..sources.shop import CUTOFF, UNKNOWN_KEYS, Shop
 
 
 def priced_features(shop: Shop, cutoff: str = CUTOFF) -> DataFrame:
@@ -31,8 +31,8 @@ def model_frames(shop: Shop) -> tuple[DataFrame, DataFrame]:
 def factor_rows(shop: Shop, history: DataFrame) -> DataFrame:
     """History with the factors of the customer and of the item on offer."""
     numbered = joins.history_with_offers_outer(history, shop.offers.select("offer")).withColumns({
-        "u_id": 2 * F.pmod("id", shop.half_vectors()),
-        "v_id": 2 * F.col("offer") + 1,
+        "u_id": 2 * F.pmod("id", shop.half_vectors() + UNKNOWN_KEYS),
+        "v_id": 2 * F.pmod("offer", shop.half_vectors() + UNKNOWN_KEYS) + 1,
     })
     return factors.with_factors(numbered, shop.user_factors, shop.item_factors)
 

@@ -8,7 +8,7 @@ _CTES: dict[str, str] = {
     "transactions_all": """
 SELECT o.o_custkey AS id, s.s_nationkey AS chain,
        CAST(floor((p.p_size - 1) / 10) AS INT) AS dept,
-       p.p_type AS category, CAST(l.l_suppkey % 5 AS INT) AS company, p.p_brand AS brand,
+       p.p_type AS category, CAST(l.l_suppkey % 8 AS INT) AS company, p.p_brand AS brand,
        CAST(o.o_orderdate AS DATE) AS date,
        p.p_size AS productsize, l.l_linestatus AS productmeasure,
        CAST(l.l_quantity AS INT) AS purchasequantity,
@@ -17,11 +17,12 @@ SELECT o.o_custkey AS id, s.s_nationkey AS chain,
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey""",
     "offers": """
-SELECT p_partkey AS offer, p_type AS category, 1 AS quantity, CAST(p_partkey % 5 AS INT) AS company,
-       CAST(p_size / 25.0 AS DOUBLE) AS offervalue, p_brand AS brand
-FROM part WHERE p_partkey < 8""",
+SELECT p_partkey AS offer, CASE WHEN p_type LIKE 'S%' THEN 'NEW ' || p_type ELSE p_type END AS category, 1 AS quantity,
+       CAST(p_partkey % 6 AS INT) AS company, CAST(p_size / 25.0 AS DOUBLE) AS offervalue,
+       CASE WHEN p_brand LIKE 'Brand#2_' THEN 'NEW ' || p_brand ELSE p_brand END AS brand
+FROM part""",
     "history_base": """
-SELECT c_custkey AS id, c_nationkey AS chain, c_custkey % 8 AS offer, c_mktsegment AS market,
+SELECT c_custkey AS id, c_nationkey AS chain, c_custkey % (SELECT count(*) // 20 FROM part) * 19 AS offer, c_mktsegment AS market,
        DATE '2000-01-01' + CAST(c_custkey % 60 AS INT) AS offerdate
 FROM customer""",
     "history": """
@@ -36,8 +37,7 @@ FROM history_base h LEFT JOIN (
     "history_test": "SELECT id, chain, offer, market, offerdate FROM history_base WHERE id % 3 = 0",
     "transactions": """
 SELECT t.* FROM transactions_all t JOIN history_base h ON t.id = h.id WHERE t.date < h.offerdate""",
-    "few_offers": "SELECT * FROM offers WHERE offer < 3",
-    "reduced": "SELECT * FROM transactions WHERE category IN (SELECT category FROM few_offers)",
+    "reduced": "SELECT * FROM transactions WHERE category IN (SELECT category FROM offers)",
     "offered": """
 SELECT h.*, f.category, f.company, f.brand, f.offervalue
 FROM history_train h JOIN offers f ON h.offer = f.offer""",
@@ -241,13 +241,17 @@ def _nb_scored(rows: str) -> str:
 # ---- factors
 
 _HALF = "(SELECT count(*) // 2 FROM embeddings)"
+_DIM = 64
+_ZEROS = "[x * CAST(0 AS DOUBLE) for x in range(" + str(_DIM) + ")]"
 _FACTORS = {
-    "vecs": "SELECT vec_id, CAST(embedding[1:10] AS DOUBLE[]) AS f, label FROM embeddings",
+    "vecs": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS f, label FROM embeddings",
     "mf": f"""
-SELECT h.*, u.f AS u, v.f AS v FROM history_base h JOIN offers o ON h.offer = o.offer
-JOIN vecs u ON u.vec_id = 2 * (h.id % {_HALF}) JOIN vecs v ON v.vec_id = 2 * h.offer + 1""",
+SELECT h.*, CASE WHEN u.f IS NULL OR v.f IS NULL THEN {_ZEROS} ELSE u.f END AS u,
+       CASE WHEN u.f IS NULL OR v.f IS NULL THEN {_ZEROS} ELSE v.f END AS v, u.f IS NULL OR v.f IS NULL AS unknown
+FROM history_base h JOIN offers o ON h.offer = o.offer
+LEFT JOIN vecs u ON u.vec_id = 2 * (h.id % ({_HALF} + 10)) LEFT JOIN vecs v ON v.vec_id = 2 * (h.offer % ({_HALF} + 10)) + 1""",
 }
-_DOT = "(" + " + ".join(f"u[{i}] * v[{i}]" for i in range(1, 11)) + ")"
+_DOT = "(" + " + ".join(f"u[{i}] * v[{i}]" for i in range(1, _DIM + 1)) + ")"
 _MF_TRAIN = f"""
 SELECT h.id, h.repeattrips, h.repeater, {_DOT} AS score FROM history_train h JOIN mf USING (id)"""
 _SCORED = {
@@ -492,15 +496,15 @@ _q("format_fixed", "SELECT offer, printf('%.6f', offervalue) AS value_text FROM
 _q("join_history_offers", "SELECT * EXCLUDE (repeattrips) FROM offered")
 _q("join_history_offers_outer", """
 SELECT h.*, f.category, f.quantity, f.company, f.offervalue, f.brand
-FROM history_train h LEFT JOIN few_offers f ON h.offer = f.offer""")
+FROM history_train h LEFT JOIN offers f ON h.offer = f.offer""")
 _q("reduce_category", "SELECT id, txn_seq, category FROM reduced")
 _q("reduce_cat_or_company", """
 SELECT id, txn_seq, category, company FROM transactions
-WHERE category IN (SELECT category FROM few_offers) OR company IN (SELECT company FROM few_offers)""")
+WHERE category IN (SELECT category FROM offers) OR company IN (SELECT company FROM offers)""")
 _q("reduce_any", """
 SELECT id, txn_seq, category, company, brand FROM transactions
-WHERE category IN (SELECT category FROM few_offers) OR company IN (SELECT company FROM few_offers)
-   OR brand IN (SELECT brand FROM few_offers)""")
+WHERE category IN (SELECT category FROM offers) OR company IN (SELECT company FROM offers)
+   OR brand IN (SELECT brand FROM offers)""")
 _q("join_txn_offer", """
 SELECT t.id, t.txn_seq, t.date, f.offer, h.offerdate AS offer_date, h.chain AS offer_chain, h.market AS offer_market,
        f.category AS offer_category, f.company AS offer_company, f.brand AS offer_brand, f.offervalue AS offer_value
@@ -668,11 +672,11 @@ SELECT id, repeater, k AS shuffle_key FROM (
          row_number() OVER (PARTITION BY repeater ORDER BY md5(CAST(id AS VARCHAR)), id) AS rn FROM history_train)
 WHERE rn <= (SELECT min(n) FROM (SELECT count(*) AS n FROM history_train GROUP BY repeater))""")
 
-_PRODUCTS = [f"u[{i + 1}] * v[{i + 1}]" for i in range(10)]
-_q("mf_features", "SELECT id, FALSE AS unknown, " + ", ".join(
+_PRODUCTS = [f"u[{i + 1}] * v[{i + 1}]" for i in range(_DIM)]
+_q("mf_features", "SELECT id, unknown, " + ", ".join(
     _r(p, f"MF{i}", 6) for i, p in enumerate(_PRODUCTS)) + " FROM mf", _FACTORS)
 _q("mf_super_features", "SELECT id, " + " || ',' || ".join(
-    f"printf('%.6f', {x})" for x in (*[f"u[{i}]" for i in range(1, 11)], *[f"v[{i}]" for i in range(1, 11)], *_PRODUCTS, _DOT)
+    f"printf('%.6f', {x})" for x in (*[f"u[{i}]" for i in range(1, _DIM + 1)], *[f"v[{i}]" for i in range(1, _DIM + 1)], *_PRODUCTS, _DOT)
 ) + " AS super_features FROM mf", _FACTORS)
 _q("mf_add_columns", "SELECT id, offer, " + ", ".join(
     f"printf('%.6f', {p}) AS MF{i}" for i, p in enumerate(_PRODUCTS)) + f", printf('%.6f', {_DOT}) AS score FROM mf", _FACTORS)

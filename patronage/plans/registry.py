@@ -155,7 +155,9 @@ def sink_routed(s):
 @query
 def sink_items_categories(s):
     path = scratch_path(s.spark, "items")
-    sinks.write_csv(X.split_item_id(X.item_history(s.transactions, CUTOFF)), f"{path}/items.csv")
+    items = X.item_history(s.transactions, CUTOFF).select(
+        "item_id", "item_total", "item_amount", "item_quantity", "item_category", "item_company", "item_brand")
+    sinks.write_csv(items, f"{path}/items.csv")
     sinks.write_csv(X.category_history(s.transactions, CUTOFF), f"{path}/categories.csv")
     items = files.read_csv(s.spark, f"{path}/items.csv", T.StructType.fromDDL(
         "id string, total long, amount double, quantity long, category string, company string, brand string"))
@@ -344,23 +346,23 @@ def join_history_offers(s):
 
 @query
 def join_history_offers_outer(s):
-    return J.history_with_offers_outer(s.history_train, s.few_offers)
+    return J.history_with_offers_outer(s.history_train, s.offers)
 
 
 @query
 def reduce_category(s):
-    return J.reduce_rows(s.transactions, s.few_offers, "category").select("id", "txn_seq", "category")
+    return J.reduce_rows(s.transactions, s.offers, "category").select("id", "txn_seq", "category")
 
 
 @query
 def reduce_cat_or_company(s):
-    return J.reduce_rows(s.transactions, s.few_offers, "category", "company").select(
+    return J.reduce_rows(s.transactions, s.offers, "category", "company").select(
         "id", "txn_seq", "category", "company")
 
 
 @query
 def reduce_any(s):
-    return J.reduce_rows(s.transactions, s.few_offers, "category", "company", "brand").select(
+    return J.reduce_rows(s.transactions, s.offers, "category", "company", "brand").select(
         "id", "txn_seq", "category", "company", "brand")
 
 
@@ -507,7 +509,7 @@ def discount_by_customer(s):
 
 @query
 def item_stats_window(s):
-    items = X.item_history(s.transactions, CUTOFF).toDF("key", "total", "amount", "quantity")
+    items = X.item_history(s.transactions, CUTOFF).select("item_id", "item_total", "item_amount", "item_quantity").toDF("key", "total", "amount", "quantity")
     categories = X.category_history(s.transactions, CUTOFF).toDF("key", "total", "amount", "quantity")
     return items.select(F.lit("item").alias("kind"), "*").unionByName(
         categories.select(F.lit("category").alias("kind"), "*"))
@@ -864,12 +866,14 @@ def als_explicit(s):
     return M.als_explicit(M.numbered(quantities, ["brand"]).select("user_idx", "item_idx", "rating"))
 
 
-_MF = [f"MF{i}" for i in range(M.DIM)]
+def _mf(s):
+    return [f"MF{i}" for i in range(s.dim)]
 
 
 @query
 def mf_features(s):
-    return rounded(M.factor_columns(jobs.factor_rows(s, s.history_base)).select("id", "unknown", *_MF), _MF, 6)
+    rows = M.factor_columns(jobs.factor_rows(s, s.history_base), s.dim)
+    return rounded(rows.select("id", "unknown", *_mf(s)), _mf(s), 6)
 
 
 @query
@@ -880,8 +884,8 @@ def mf_super_features(s):
 
 @query
 def mf_add_columns(s):
-    rows = M.factor_columns(jobs.factor_rows(s, s.history_base))
-    return rows.select("id", "offer", *[C.fixed6(c).alias(c) for c in (*_MF, "score")])
+    rows = M.factor_columns(jobs.factor_rows(s, s.history_base), s.dim)
+    return rows.select("id", "offer", *[C.fixed6(c).alias(c) for c in (*_mf(s), "score")])
 
 
 @query

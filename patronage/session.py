@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIR: dict[str, str] = {}
-
 # A join on a hot customer is split by AQE even where the split costs one more exchange.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,7 +16,6 @@ RUNTIME_CONF = {
 
 
 BYTES_PER_PARTITION = 256 * 1024 ** 2
-MOST_PARTITIONS = 32768
 
 
 def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
@@ -29,8 +25,7 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
     """
     conf = dict(RUNTIME_CONF)
     if input_bytes is not None:
-        wanted = min(MOST_PARTITIONS, -(-input_bytes // BYTES_PER_PARTITION))
-        wanted = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        wanted = max(-(-input_bytes // BYTES_PER_PARTITION), int(spark.conf.get("spark.sql.shuffle.partitions")))
         conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(wanted)
     for key, value in conf.items():
         if spark.conf.get(key, None) != value:
@@ -39,28 +34,19 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        path = configured
-    elif spark.sparkContext.master.startswith("local"):
-        app = spark.sparkContext.applicationId
-        if app not in _LOCAL_DIR:
-            _LOCAL_DIR[app] = tempfile.mkdtemp(prefix="patronage-")
-        path = _LOCAL_DIR[app]
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset a folder in the warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

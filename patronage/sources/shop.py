@@ -24,6 +24,10 @@ _BASE = {
 
 FIRST_OFFER_DATE = "2000-01-01"
 CUTOFF = "2000-02-01"
+# A customer's offer is part OFFER_STEP * (id mod number of parts / PARTS_PER_OFFER).
+PARTS_PER_OFFER, OFFER_STEP = 20, 19
+# So many customer and item keys have no vector.
+UNKNOWN_KEYS = 10
 
 
 class Shop:
@@ -42,26 +46,28 @@ class Shop:
         return self.base("customer").select(
             key.alias("id"),
             F.col("c_nationkey").alias("chain"),
-            F.pmod(key, F.lit(8)).alias("offer"),
+            (F.pmod(key, self._offered_parts()) * OFFER_STEP).alias("offer"),
             F.col("c_mktsegment").alias("market"),
             F.date_add(F.lit(FIRST_OFFER_DATE).cast("date"), F.pmod(key, F.lit(60)).cast("int")).alias("offerdate"),
         )
 
+    def _offered_parts(self):
+        """One part in twenty is given to customers, as a scalar subquery: the offers in use grow with the table."""
+        return self.base("part").agg(F.floor(F.count(F.lit(1)) / PARTS_PER_OFFER)).scalar()
+
     @cached_property
     def offers(self) -> DataFrame:
-        return self.base("part").where("p_partkey < 8").select(
+        """Every part is an offer. Some categories and brands are new, so nobody has bought them yet."""
+        category, brand = F.col("p_type"), F.col("p_brand")
+        return self.base("part").select(
             F.col("p_partkey").alias("offer"),
-            F.col("p_type").alias("category"),
+            F.when(category.startswith("S"), F.concat(F.lit("NEW "), category)).otherwise(category).alias("category"),
             F.lit(1).alias("quantity"),
-            F.pmod("p_partkey", F.lit(5)).cast("int").alias("company"),
+            F.pmod("p_partkey", F.lit(6)).cast("int").alias("company"),
             (F.col("p_size") / F.lit(25.0)).cast("double").alias("offervalue"),
-            F.col("p_brand").alias("brand"),
+            F.when(brand.like("Brand#2_"), F.concat(F.lit("NEW "), brand)).otherwise(brand).alias("brand"),
         )
 
-    @cached_property
-    def few_offers(self) -> DataFrame:
-        return self.offers.where("offer < 3")
-
     def _baskets(self, orders: DataFrame) -> DataFrame:
         """Lines of ``orders`` (o_orderkey, o_custkey, date) in the transaction layout."""
         return (
@@ -74,7 +80,7 @@ class Shop:
                 F.col("s_nationkey").alias("chain"),
                 F.floor((F.col("p_size") - 1) / 10).cast("int").alias("dept"),
                 F.col("p_type").alias("category"),
-                F.pmod("l_suppkey", F.lit(5)).cast("int").alias("company"),
+                F.pmod("l_suppkey", F.lit(8)).cast("int").alias("company"),
                 F.col("p_brand").alias("brand"),
                 "date",
                 F.col("p_size").alias("productsize"),
@@ -139,14 +145,19 @@ class Shop:
 
     @cached_property
     def reduced(self) -> DataFrame:
-        return self.transactions.join(self.few_offers.select("category").distinct(), "category", "left_semi").select(
+        return self.transactions.join(self.offers.select("category").distinct(), "category", "left_semi").select(
             self.transactions.columns)
 
     @cached_property
     def vectors(self) -> DataFrame:
-        """(vec_id, features, label): the first ten values of every embedding."""
-        return self.base("embeddings").select(
-            "vec_id", F.slice("embedding", 1, 10).cast("array<double>").alias("features"), "label")
+        """(vec_id, features, label): every embedding, whole."""
+        return self.base("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"), "label")
+
+    @cached_property
+    def dim(self) -> int:
+        """Length of the vectors, for queries with a column per value."""
+        row = self.vectors.select(F.size("features")).first()
+        return row[0] if row else 0
 
     @cached_property
     def user_factors(self) -> DataFrame:

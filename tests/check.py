@@ -7,6 +7,7 @@ import decimal
 import glob
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -24,6 +25,7 @@ def session(cpus: str = "8"):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.environ.get("CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="checkpoints-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -81,7 +83,7 @@ def main():
     spark, con = session(), duck(sf_dir)
     queries, sqls = entry.queries(), entry.oracle_sql()
     failed = 0
-    for name in names or queries:
+    for name in names or [n for n in queries if not n.startswith("op") and n != "pipeline"]:
         t0 = time.time()
         try:
             got = spark_rows(queries[name](spark, sf_dir))

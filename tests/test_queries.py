@@ -5,9 +5,10 @@ from check import compare, duck_rows, spark_rows
 from conftest import SF_DIR
 
 import __spark_entry__ as entry
+from patronage.plans import oracles, registry
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+SQL = oracles.oracle_sql()
+QUERIES = registry.queries()
 
 
 def test_every_sql_has_a_query():
