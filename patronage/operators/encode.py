@@ -10,7 +10,7 @@ from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, Vecto
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_number, label_of
+from ..functions.columns import clean_number, hash_digits, joined, label_of
 from .joins import history_with_offers
 
 # The six categorical and the continuous columns of the model frame.
@@ -62,7 +62,7 @@ def one_hot(columns: Sequence[str]) -> list:
 def interactions(frame: DataFrame, columns: Sequence[str] = CATEGORICAL, degree: int = 2) -> DataFrame:
     """One hash per combination of ``degree`` categorical columns, as ``a_x_b``."""
     return frame.withColumns({
-        "_x_".join(c): F.xxhash64(*c) for c in combinations(columns, degree)
+        "_x_".join(c): hash_digits(joined(*c)) for c in combinations(columns, degree)
     })
 
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot
-from ..session import materialise
-from .order_stats import running_totals, spread
+from .order_stats import ranked, running_totals, spread
 
 EPSILON = 1e-11
 
@@ -62,18 +61,47 @@ def auroc(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def auc_bootstrap(scored: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """mean(score of a positive > score of a negative) in resamples with replacement."""
-    scored = materialise(scored.select("score", "actual"), "scored")
-    resamples = None
-    for r in range(replicates):
-        sample = scored.sample(True, 1.0, seed + r).withColumn("replicate", F.lit(r))
-        resamples = sample if resamples is None else resamples.unionByName(sample)
-    # A resample is drawn once: written as counts per score before anything reads it twice.
-    counts = materialise(score_counts(resamples, ["replicate"]), "resamples")
-    points = _cumulated(counts, ["replicate"])
-    wins = F.sum(F.col("neg") * F.col("before_pos").cast("double"))
-    return points.groupBy("replicate").agg(
-        F.try_divide(wins, F.max("all_pos").cast("double") * F.max("all_neg")).alias("auc"))
+    """(replicate, auc): mean(score of a positive > score of a negative) in resamples with replacement.
+
+    Resamples are drawn as counts per score, not as rows: each count becomes a Poisson count of the same mean. A range
+    partition of the scores sums its wins, positives and negatives for all replicates; one row per partition leaves it.
+    """
+    counts = spread(score_counts(scored), [F.col("score").desc()])
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, rng, sums = None, None, None
+        for pdf in batches:
+            for number, rows in pdf.groupby("_bucket", sort=False):
+                if number != bucket:
+                    if bucket is not None:
+                        yield _drawn(bucket, sums)
+                    bucket, rng, sums = number, np.random.default_rng([seed, int(number)]), np.zeros((3, replicates))
+                for low in range(0, len(rows), 512):
+                    part = rows.iloc[low:low + 512]
+                    pos = rng.poisson(part["pos"].to_numpy()[:, None], (len(part), replicates))
+                    neg = rng.poisson(part["neg"].to_numpy()[:, None], (len(part), replicates))
+                    before = sums[0] + np.cumsum(pos, axis=0) - pos
+                    sums += [pos.sum(axis=0), neg.sum(axis=0), (neg * before).sum(axis=0)]
+        if bucket is not None:
+            yield _drawn(bucket, sums)
+
+    ordered = counts.repartition("_bucket").sortWithinPartitions("_bucket", F.col("score").desc())
+    drawn = ordered.mapInPandas(draw, "bucket int, pos array<double>, neg array<double>, wins array<double>")
+    rows = drawn.select("bucket", F.posexplode(F.arrays_zip("pos", "neg", "wins")).alias("replicate", "s")).select("bucket", "replicate", "s.*")
+    earlier = Window.partitionBy("replicate").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("wins", F.col("wins") + F.col("neg") * F.coalesce(F.sum("pos").over(earlier), F.lit(0.0)))
+    return rows.groupBy("replicate").agg(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auc"))
+
+
+def _drawn(bucket: int, sums: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"bucket": [bucket], "pos": [sums[0]], "neg": [sums[1]], "wins": [sums[2]]})
+
+
+def win_rate(scored: DataFrame) -> DataFrame:
+    """``win_rate``: share of (positive, negative) pairs with the higher score on the positive; ties are no wins."""
+    points = cumulative(scored)
+    return points.agg(F.try_divide(
+        F.sum(F.col("neg") * F.col("before_pos").cast("double")), F.max("all_pos").cast("double") * F.max("all_neg")).alias("win_rate"))
 
 
 def binary_auc(predicted: DataFrame) -> DataFrame:
@@ -85,36 +113,40 @@ def binary_auc(predicted: DataFrame) -> DataFrame:
           + F.try_divide(F.col("tn"), F.col("tn") + F.col("fp"))) / 2).alias("auc"))
 
 
-def _blocks(factors: DataFrame, n_rows: int, block_rows: int, name: str) -> DataFrame:
-    """Factor rows packed into bounded blocks: (name, flat values, largest norm)."""
-    n_blocks = max(1, -(-n_rows // block_rows))
+def _blocks(factors: DataFrame, block_rows: int, name: str) -> DataFrame:
+    """Factor rows packed into bounded blocks in order of their norm, largest first: (name, flat values, largest norm)."""
     norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x))
+    rows = ranked(factors.select("vec_id", "features", norm.alias("norm")), [F.col("norm").desc(), F.col("vec_id")])
     return (
-        factors.select("features", norm.alias("norm"),
-                       F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias(name))
-        .groupBy(name)
+        rows.withColumn(name, F.floor(F.col("rank0") / block_rows)).groupBy(name)
         .agg(F.flatten(F.collect_list("features")).alias(f"{name}_values"), F.max("norm").alias(f"{name}_norm"))
     )
 
 
+def block_pairs(users: DataFrame, items: DataFrame, lowest: float, block_rows: int = 1024) -> DataFrame:
+    """Blocks of users next to those blocks of items whose norms can reach ``lowest``.
+
+    Item blocks stand in order of their norm, so those that a user block can reach are the first few.
+    """
+    u, v = _blocks(users, block_rows, "u_block"), _blocks(items, block_rows, "v_block")
+    u = u.withColumn("_norms", v.agg(F.sort_array(F.collect_list("v_block_norm"), asc=False)).scalar())  # one number per block
+    if lowest > 0:
+        u = u.withColumn("_norms", F.filter("_norms", lambda x: x * F.col("u_block_norm") * (1 + 1e-9) > lowest))
+    reached = F.size("_norms")
+    u = u.withColumn("v_block", F.explode(F.when(reached > 0, F.sequence(F.lit(0).cast("bigint"), (reached - 1).cast("bigint"))))).drop("_norms")
+    return u.join(v, "v_block")
+
+
 def pairs_above(
     users: DataFrame, items: DataFrame, thresholds: Sequence[float], block_rows: int = 1024
 ) -> DataFrame:
     """(threshold, n_above): pairs of user and item with u.v above each threshold.
 
-    Both factor tables are packed into blocks of about ``block_rows`` vectors; a task multiplies two
-    blocks and emits only counts, so no pair is ever a row. Block pairs whose norms cannot reach the
-    lowest threshold are skipped. The item blocks are broadcast only where AQE measures them small.
+    Both factor tables are packed into blocks of ``block_rows`` vectors; a task multiplies two blocks and emits only
+    counts, so no pair is ever a row. Block pairs whose norms cannot reach the lowest threshold are never made.
     """
     thresholds = sorted(float(t) for t in thresholds)
-    n_users, n_items = users.count(), items.count()
-    n_item_blocks = max(1, -(-n_items // block_rows))
-    u = _blocks(users, n_users, block_rows, "u_block").withColumn(
-        "v_block", F.explode(F.sequence(F.lit(0), F.lit(n_item_blocks - 1))))
-    v = _blocks(items, n_items, block_rows, "v_block")
-    work = u.join(v, "v_block").where(
-        F.col("u_block_norm") * F.col("v_block_norm") * (1 + 1e-9) > thresholds[0]
-    ) if thresholds[0] > 0 else u.join(v, "v_block")
+    work = block_pairs(users, items, thresholds[0], block_rows)
     levels = np.asarray(thresholds)
     dim = _dimension(users)
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .encode import encoder, feature_names
 from .evaluate import binary_auc
+from .order_stats import ranked
 from .visits import time_ordered_split
 
 # Regularisation strengths, 15 points from 2^-4 to 2^4, evenly spaced in the exponent.
@@ -87,12 +87,13 @@ def cross_validate(
 ) -> tuple[float, float]:
     """Mean and population deviation of the AUC of binary predictions over time-ordered splits."""
     rng = np.random.default_rng(seed)
+    ordered = materialise(ranked(frame, [F.col("offerdate"), F.col("id")]).select("label", "features", "rank0", "total"), "split")
     aucs = []
     for _ in range(loops):
         part = fraction + (rng.random() * spread if loops > 1 else 0.0)
-        split = materialise(time_ordered_split(frame, part).select("label", "features", "part"), "split")
-        model = estimator.fit(split.where("part = 'train'").select("label", "features"))
-        predicted = model.transform(split.where("part = 'cv'").select("label", "features"))
+        in_train = F.col("rank0") < F.floor(F.col("total") * F.lit(part))
+        model = estimator.fit(ordered.where(in_train).select("label", "features"))
+        predicted = model.transform(ordered.where(~in_train).select("label", "features"))
         aucs.append(binary_auc(predicted.select("prediction", F.col("label").alias("actual"))).first()["auc"])
     aucs = [0.5 if a is None else a for a in aucs]
     return float(np.mean(aucs)), float(np.std(aucs))
@@ -128,26 +129,17 @@ def grid_search_c(
 
 
 def _pinball_pass(frame: DataFrame, weights: np.ndarray, tau: float) -> tuple[float, np.ndarray]:
-    """Mean pinball loss and subgradient at ``weights``: one distributed sum."""
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(weights) + 2)
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["x"].to_numpy())
-                residual = pdf["label"].to_numpy() - x @ weights
-                slope = np.where(residual > 0, -tau, 1 - tau)
-                total[:-2] += slope @ x
-                total[-2] += np.maximum(tau * residual, (tau - 1) * residual).sum()
-                total[-1] += len(pdf)
-        yield pd.DataFrame({"pos": np.arange(len(total)), "value": total})
-
-    sums = frame.select("label", "x").mapInPandas(partial, "pos int, value double").groupBy("pos").agg(
-        F.sum("value").alias("value"))
-    got = np.zeros(len(weights) + 2)
-    for row in sums.collect():  # one row per weight
-        got[row.pos] = row.value
-    return got[-2] / got[-1], got[:-2] / got[-1]
+    """Mean pinball loss and subgradient at ``weights``: one distributed sum.
+
+    The weights are one array literal, so the generated code is the same in all passes.
+    """
+    fitted = F.aggregate(F.zip_with("x", F.lit([float(w) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    rows = frame.select((F.col("label") - fitted).alias("residual"), "x")
+    slope = F.when(F.col("residual") > 0, -tau).otherwise(1 - tau)
+    loss = F.greatest(tau * F.col("residual"), (tau - 1) * F.col("residual"))
+    rows = rows.select(slope.alias("slope"), loss.alias("loss"), "x")
+    sums = rows.agg(F.avg("loss"), *[F.avg(F.col("slope") * F.col("x")[i]) for i in range(len(weights))]).first()
+    return sums[0], np.array(sums[1:])
 
 
 def quantile_linear(

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,15 +71,43 @@ def chi_residuals(frame: DataFrame, features: Sequence[str] = CHI_FEATURES) -> D
 
 
 def chi_asymptotic(frame: DataFrame, features: Sequence[str] = CHI_FEATURES) -> DataFrame:
-    """(feature, p_value) of the asymptotic test."""
-    features = list(features)
-    texts = frame.select(*[F.col(c).cast("string").alias(c) for c in features],
-                         F.when(F.col("repeater") == "t", 1.0).otherwise(0.0).alias("label"))
-    indexed = StringIndexer(inputCols=features, outputCols=[f"{c}_i" for c in features]).fit(texts).transform(texts)
-    vectors = VectorAssembler(inputCols=[f"{c}_i" for c in features], outputCol="x").transform(indexed)
-    tested = ChiSquareTest.test(vectors, "x", "label", flatten=True)
-    names = F.array(*[F.lit(c) for c in features])
-    return tested.select(F.get(names, F.col("featureIndex")).alias("feature"), F.col("pValue").alias("p_value"))
+    """(feature, p_value) of the asymptotic test: one row per feature, whatever the number of its values."""
+
+    def tail(batches):
+        for pdf in batches:
+            pdf["p_value"] = [chi_tail(s, d) for s, d in zip(pdf["statistic"], pdf["df"])]
+            yield pdf[["feature", "p_value"]]
+
+    return chi_square(frame, features).mapInPandas(tail, "feature string, p_value double")
+
+
+def chi_tail(statistic: float, df: int) -> float:
+    """P(chi-square with ``df`` degrees > ``statistic``): the regularised upper incomplete gamma Q(df / 2, statistic / 2)."""
+    if df <= 0 or not statistic > 0:
+        return 1.0
+    a, x = df / 2, statistic / 2
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:  # series of the lower part
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1 - scale * total)
+    tiny = 1e-300  # continued fraction of the upper part
+    b = x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    h, step, i = d, 0.0, 0
+    while abs(step - 1) > 1e-15:
+        i += 1
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b or tiny)
+        c = b + an / c or tiny
+        step = d * c
+        h *= step
+    return scale * h
 
 
 def _statistic(n: np.ndarray, pos: np.ndarray) -> np.ndarray:

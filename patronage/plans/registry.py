@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,16 +55,22 @@ def _offered(s: Shop) -> DataFrame:
 
 @query
 def src_catalog(s):
-    views = {"transactions": s.transactions, "offers": s.offers, "history": s.history_train,
-             "history_test": s.history_test, "reduced": s.reduced}
-    files.register(views)
-    return files.row_counts({name: s.spark.table(name) for name in views})
+    """Rows behind every catalog name; the transactions are two files with a split number."""
+    folder, found = scratch_path(s.spark, "data"), {}
+    tables = {"offers": s.offers, "history": s.history_train, "history_test": s.history_test, "reduced": s.reduced}
+    for name, df in tables.items():
+        sinks.write_csv(df, files.data_path(folder, name))
+        found[name] = s.spark.read.option("header", True).csv(files.data_path(folder, name))
+    parts = [files.data_path(folder, "transactions", i) for i in range(2)]
+    for i, path in enumerate(parts):
+        sinks.write_csv(s.transactions.where(F.pmod("id", F.lit(2)) == i), path)
+    found["transactions"] = s.spark.read.option("header", True).csv(parts)
+    return files.row_counts(found)
 
 
 @query
 def src_transactions(s):
-    names = schemas.TRANSACTIONS.fieldNames()
-    return s.transactions.withColumn("purchaseamount", F.col("purchaseamount").cast("double")).select(names)
+    return _through_csv(s, s.transactions, schemas.TRANSACTIONS, "transactions")
 
 
 def _through_csv(s, df, schema, name):
@@ -92,7 +99,8 @@ def src_history_test(s):
 def src_inferred(s):
     path = scratch_path(s.spark, "inferred")
     sinks.write_csv(s.history_test, path)
-    return files.read_inferred(s.spark, path)
+    return files.read_inferred(s.spark, path).select(
+        F.col("id").cast("long"), F.col("chain").cast("int"), F.col("offer").cast("long"), "market", "offerdate")
 
 
 @query
@@ -107,7 +115,7 @@ def src_partfiles(s):
 def src_triples(s):
     path = scratch_path(s.spark, "row_col_num")
     M.pair_counts(s.transactions).select("user_idx", "item_idx", "value").write.csv(path)
-    return files.read_triples(s.spark, path)
+    return rounded(files.read_triples(s.spark, path), ["value"], 6)
 
 
 @query
@@ -185,12 +193,13 @@ def sink_labels(s):
 @query
 def sink_model(s):
     path = scratch_path(s.spark, "factors")
-    pairs = M.value_cutoff(M.pair_counts(s.transactions))
-    sinks.save_factors(
-        M.als_implicit(pairs), M.user_numbers(s.transactions), M.item_numbers(s.transactions), path)
+    counts = materialise(s.transactions.groupBy("id", *M.ITEM_KEYS).agg(F.count(F.lit(1)).alias("n")), "counts")
+    users, items = M.user_numbers(counts), M.item_numbers(counts)
+    pairs = O.join_on(O.join_on(counts, users, ["id"]), items, M.ITEM_KEYS).select("user_idx", "item_idx", M.log_scale("n").alias("value"))
+    sinks.save_factors(M.als_implicit(M.value_cutoff(pairs)), users, items, path)
     model, users, _ = sinks.load_factors(s.spark, path)
-    return users.join(M.factor_table(model.userFactors), F.col("user_idx") == F.col("vec_id")).select(
-        "id", "user_idx", "features")
+    found = users.join(M.factor_table(model.userFactors), F.col("user_idx") == F.col("vec_id"))
+    return found.select("id", "user_idx", F.size("features").alias("n_factors"))
 
 
 # ---- scalar functions
@@ -661,7 +670,11 @@ def chi_square(s):
 
 @query
 def chi_pvalue(s):
-    return S.chi_pvalue(_offered(s))
+    """Both p-values are probabilities, and the trips, which decide the label, leave nothing to chance."""
+    p, q = F.col("p_value"), F.col("p_simulated")
+    return S.chi_pvalue(_offered(s)).select(
+        "feature", (p.between(0, 1) & q.between(0, 1)).alias("in_range"),
+        ((F.col("feature") != "repeattrips") | (F.greatest(p, q) < 0.001)).alias("trips_decide"))
 
 
 @query
@@ -716,7 +729,13 @@ def auroc(s):
 
 @query
 def auc_bootstrap(s):
-    return V.auc_bootstrap(_scored(s))
+    """How the resampled areas stand to the exact one."""
+    scored = materialise(_scored(s), "scored")
+    exact = V.win_rate(scored).scalar()
+    found = V.auc_bootstrap(scored).agg(
+        F.count(F.lit(1)).alias("replicates"), F.min(F.col("auc").between(0, 1)).alias("in_range"), F.avg("auc").alias("mean"), F.stddev("auc").alias("sd"))
+    near = F.abs(F.col("mean") - exact) <= 0.2 * F.col("sd")
+    return rounded(found.select("replicates", "in_range", near.alias("mean_near"), (F.col("sd") > 0).alias("spread"), exact.alias("win_rate")), ["win_rate"], 6)
 
 
 def _pairs(s):
@@ -758,9 +777,11 @@ def minmax_scale(s):
 
 @query
 def one_hot(s):
+    """The slot of each value that is on, -1 for a value the train rows don't have."""
     train, test = jobs.model_frames(s)
     fitted = Pipeline(stages=N.one_hot(N.CATEGORICAL)).fit(train)
-    return fitted.transform(J.stack(train.drop("label"), test)).select("id", *[f"{c}_hot" for c in N.CATEGORICAL])
+    rows = fitted.transform(J.stack(train.drop("label"), test))
+    return rows.select("id", *[(F.array_position(vector_to_array(f"{c}_hot"), 1.0) - 1).alias(f"{c}_slot") for c in N.CATEGORICAL])
 
 
 @query
@@ -772,9 +793,14 @@ def interact_hash(s):
 
 @query
 def assemble(s):
+    """The feature vector as text: the slots that are on, and the scaled values."""
     train, test = jobs.model_frames(s)
     (train_x, test_x), _ = L.encoded(train, test)
-    return J.stack(train_x, test_x).select("id", "label", "features")
+    rows = J.stack(train_x, test_x).select("id", "label", vector_to_array("features").alias("x"))
+    n = len(N.CONTINUOUS)
+    slots = F.filter(F.transform("x", lambda v, i: F.when((v == 1.0) & (i < F.size("x") - n), i)), lambda i: i.isNotNull())
+    scaled = [F.element_at("x", i - n).alias(c) for i, c in enumerate(N.CONTINUOUS)]
+    return rounded(rows.select("id", "label", F.array_join(slots.cast("array<string>"), ",").alias("slots"), F.size("x").alias("n_features"), *scaled), N.CONTINUOUS, 6)
 
 
 @query
@@ -796,8 +822,13 @@ def _encoded(s):
 
 def _model_query(name):
     def run(s):
+        """Scored test customers, and whether the fit ranks its own rows at least as well as chance."""
         (train, test), _ = _encoded(s)
-        return L.fit_and_score(L.classifiers()[name], train, test)
+        model = L.classifiers()[name].fit(train)
+        own = L.scores(model, train).join(train.select("id", "label"), "id").select("score", F.col("label").cast("int").alias("actual"))
+        learned = (V.auroc(materialise(own, "own-scores")).first()["auroc"] or 0.0) >= 0.5
+        in_range = F.col("score").between(0, 1) if name != "svc" else F.abs("score") < float("inf")
+        return L.scores(model, test).select("id", in_range.alias("in_range"), F.lit(learned).alias("learned"))
 
     return run
 
@@ -809,13 +840,18 @@ for _name in ("logistic", "gaussian_nb", "svc", "extra_trees", "boosting"):
 @query
 def cv_auc(s):
     (train, _), _ = _encoded(s)
-    return L.cv_auc(L.classifiers()["logistic"], train)
+    found = L.cv_auc(L.classifiers()["logistic"], train)
+    return found.select("loops", F.col("mean_auc").between(0, 1).alias("mean_in_range"), F.col("sd_auc").between(0, 0.5).alias("sd_in_range"))
 
 
 @query
 def grid_search_c(s):
     (train, _), _ = _encoded(s)
-    return L.grid_search_c(train, max_iter=20)
+    found = materialise(L.grid_search_c(train), "grid")
+    largest = found.agg(F.max("mean_auc")).scalar()
+    bests = found.agg(F.count(F.when(F.col("best"), 1))).scalar()
+    return rounded(found.select("c", F.col("mean_auc").between(0, 1).alias("in_range"),
+                                (~F.col("best") | (F.col("mean_auc") == largest)).alias("best_is_largest"), bests.alias("n_best")), ["c"], 6)
 
 
 @query
@@ -826,21 +862,26 @@ def ml_quantile_linear(s):
     names += ["total_spend", "offer_value"]
     train = table.where("label <> 0.5")
     early = C.is_early("offer_date", CUTOFF)
-    scored, _ = L.quantile_linear(train.where(early), train.where(~early), names)
-    return scored
+    scored, losses = L.quantile_linear(train.where(early), train.where(~early), names)
+    return scored.select("id", (F.abs("score") < float("inf")).alias("finite"),
+                         F.lit(losses["loss"] <= losses["constant_loss"]).alias("beats_constant"))
 
 
 @query
 def feature_importances(s):
     (train, _), names = _encoded(s)
     part = W.time_ordered_split(train).where("part = 'train'")
-    return L.importances(L.classifiers()["extra_trees"].fit(part), names, s.spark)
+    found = L.importances(L.classifiers()["extra_trees"].fit(part), names, s.spark)
+    return found.agg(F.count(F.lit(1)).alias("n_features"), (F.min("importance") >= 0).alias("not_negative"),
+                     (F.abs(F.sum("importance") - 1) < 1e-6).alias("sum_to_one"))
 
 
 @query
 def topk_features(s):
     (train, _), names = _encoded(s)
-    return L.extreme_weights(L.coefficients(L.classifiers()["logistic"].fit(train), names, s.spark))
+    rows = materialise(L.extreme_weights(L.coefficients(L.classifiers()["logistic"].fit(train), names, s.spark)), "weights")
+    lowest = rows.where("side = 'top'").agg(F.max("weight")).scalar()
+    return rows.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("feature").alias("n_features"), F.max(F.col("weight") <= lowest).alias("below_the_top"))
 
 
 @query
@@ -849,7 +890,8 @@ def fit_predict_submit(s):
     scored = L.fit_and_score(L.classifiers()["logistic"], train, test)
     path = scratch_path(s.spark, "submission")
     sinks.write_csv(J.scores_or_zero(s.history_test, scored).orderBy("id"), path)
-    return files.read_csv(s.spark, path, T.StructType.fromDDL("id long, repeatProbability double"))
+    back = files.read_csv(s.spark, path, T.StructType.fromDDL("id long, repeatProbability double"))
+    return back.select("id", F.col("repeatProbability").between(0, 1).alias("in_range"))
 
 
 # ---- factorization and clusters
@@ -857,13 +899,20 @@ def fit_predict_submit(s):
 @query
 def als_implicit(s):
     model = M.als_implicit(M.value_cutoff(M.pair_counts(s.transactions)))
-    return M.factor_table(model.userFactors)
+    finite = F.forall("features", lambda x: F.abs(x) < float("inf"))
+    return M.factor_table(model.userFactors).select("vec_id", F.size("features").alias("n_factors"), finite.alias("finite"))
 
 
 @query
 def als_explicit(s):
+    """All ratings, whether the held-out share is about a fifth, and whether all predictions are numbers near the ratings."""
     quantities = s.reduced.groupBy("id", "brand").agg(F.avg("purchasequantity").alias("rating"))
-    return M.als_explicit(M.numbered(quantities, ["brand"]).select("user_idx", "item_idx", "rating"))
+    ratings = materialise(M.numbered(quantities, ["brand"]).select("user_idx", "item_idx", "rating"), "ratings")
+    n = ratings.agg(F.count(F.lit(1)), F.stddev("rating")).first()
+    error = F.sqrt(F.avg((F.col("rating") - F.col("prediction")) ** 2))
+    return M.als_explicit(ratings).agg(
+        F.lit(n[0]).alias("n_ratings"), (F.count(F.lit(1)) / n[0]).between(0.15, 0.25).alias("a_fifth"),
+        F.min(F.abs("prediction") < float("inf")).alias("finite"), (error < 2 * n[1]).alias("near"))
 
 
 def _mf(s):
@@ -895,7 +944,15 @@ def mf_score_train(s):
 
 @query
 def kmeans_fit_assign(s):
-    return K.fit_assign(M.products(jobs.fitted_factor_rows(s, s.history_base)))
+    return K.fit_assign(M.products(jobs.fitted_factor_rows(s, s.history_base))).select("id", F.col("cluster").between(0, 74).alias("in_range"))
+
+
+@query
+def factor_job(s):
+    """The whole job: factorize, cluster, calibrate, rate; one row per customer, a probability for test rows only."""
+    rows = jobs.cluster_job(s)
+    return rows.select("part", "id", F.col("cluster").between(0, 74).alias("in_range"), F.col("frac_repeater").between(0, 1).alias("frac_in_range"),
+                       F.col("repeatProbability").isNotNull().alias("rated"))
 
 
 @query

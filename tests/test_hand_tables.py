@@ -155,9 +155,3 @@ def test_exported_lines_and_labels(spark, tmp_path):
     sinks.labels_of_lines(lines).write.csv(str(tmp_path / "labels"))
     got = {r["id"]: r["label"] for r in files.read_labels(spark, str(tmp_path / "labels")).collect()}
     assert got == {11: 1.0, 12: 0.5}
-
-
-def test_row_cap_of_the_shards(spark, tmp_path):
-    rows = spark.range(100).select("id")
-    sinks.write_shards(rows, str(tmp_path / "capped"), 10, nmax=30)
-    assert spark.read.parquet(str(tmp_path / "capped")).count() == 30

@@ -70,7 +70,7 @@ def test_bootstrap_is_near_the_area(shop):
 def test_factors_reach_every_user(shop):
     pairs = materialise(factors.pair_counts(shop.transactions), "pairs")
     model = factors.als_implicit(pairs)
-    assert model.rank == factors.DIM
+    assert model.rank == factors.RANK
     assert model.userFactors.count() == pairs.select("user_idx").distinct().count()
 
 
@@ -90,8 +90,8 @@ def test_files_keep_every_row(spark, shop):
 
 
 def test_reductions_are_nested(shop):
-    one = joins.reduce_rows(shop.transactions, shop.few_offers, "category")
-    three = joins.reduce_rows(shop.transactions, shop.few_offers, "category", "company", "brand")
+    one = joins.reduce_rows(shop.transactions, shop.offers, "category")
+    three = joins.reduce_rows(shop.transactions, shop.offers, "category", "company", "brand")
     assert one.select("txn_seq").subtract(three.select("txn_seq")).count() == 0
 
 
