@@ -13,15 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 
 WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 16
-LEAST = 3
+SKETCHES = 20
+LEAST = 4
+NEXT = 2  # sketches that order a bucket
 _WIDTH = 1 << 16  # items hashed at once
 
 _BASE, _P, _Q = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -138,6 +139,7 @@ def similarity(a: np.ndarray, a_order: np.ndarray, b: np.ndarray, least: float =
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sketches of each text, each with the next ones in the circle."""
     for batch in batches:
         keys, rows = [], []
         for i, text in enumerate(batch.column(1)):
@@ -146,7 +148,21 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(sketches(h))
                 rows.append(i)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.repeat(rows, SKETCHES)))], ["key", "node"])
+            found = np.stack(keys)
+            columns = [pa.array(np.roll(found, -i, axis=1).ravel()) for i in range(NEXT + 1)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(pa.array(np.repeat(rows, SKETCHES)))], ["key", "next1", "next2", "node"])
+
+
+def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours of sorted rows that share a bucket and not a class."""
+    last = None
+    for batch in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if last is not None and row[0] == last[0] and row[2] != last[2]:
+                out.append((last[1], row[1]))
+            last = row
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (list(zip(*out)) or [(), ()])], ["a", "b"])
 
 
 def _links(least: float):
@@ -198,11 +214,12 @@ def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``doc_id, node, class, class_id``: a row per document, with the least id of its class of copies.
 
-    Equal texts are one node (the digest of the text) and are not compared. In each bucket of a sketch the nodes of other
-    classes are compared to one leader, which then leaves the bucket; buckets that still hold several classes go on with more
-    leaders, until none does. So all nodes of different classes that share a bucket are compared, and none of the same class. No
-    bucket, partner or candidate is capped. Buckets, links and classes stay distributed; a hot bucket is joined by its key, which
-    adaptive execution splits.
+    Equal texts are one node (the digest of the text) and are not compared. In each bucket of a sketch all nodes of other classes
+    than its leader's are compared to the leader, and each node to its neighbour in the order of the next sketches, which
+    puts like with like. The pairs of a round grow with the rows of the buckets, not with their squares. Buckets that still hold
+    several classes go on with other leaders, until a round finds no new link. No bucket, partner or candidate is capped;
+    similar texts share about eight buckets, and each is another chance to meet. Buckets, links and classes stay
+    distributed; a hot bucket is sorted by ranges and joined by its key, which adaptive execution splits.
 
     A null text is a class of its own (``class_id`` is its id); texts without a word are copies only if they are equal. Repeated
     rows share a class. Long texts are sketched whole, in parts. An empty table gives no rows; other columns are not read.
@@ -211,42 +228,34 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("node", F.unhex(F.md5("text")))
     ids = saved(rows.select("doc_id", "node"), "nodes")
     known = rows.where("node is not null")
-    buckets = saved(known.select("node", "text").mapInArrow(_sketch_rows, "key bigint, node binary"), "sketches")
-
-    # First the least node of each bucket, which many buckets share. Copies of a text collapse before the shuffle.
-    heads = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("key", "a")
-    opened = buckets.join(heads, "key").where("node != a")
-    pairs = opened.select("a", F.col("node").alias("b")).distinct()
-    rest = saved(opened.select("key", "node").distinct(), "open-buckets")
-    pairs = saved(pairs, "pairs")
-    # Every node that shares a bucket is in the first pairs, so their texts serve all rounds.
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = saved(known.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    classes, tested, turn = None, pairs, 0
+    sketched = known.select("node", "text").mapInArrow(_sketch_rows, "key bigint, next1 bigint, next2 bigint, node binary")
+    # Copies of a text collapse before the shuffle.
+    rest = saved(sketched.distinct(), "sketches").withColumn("class", F.col("node"))
+    classes, tested, texts, turn = None, None, None, 0
+    order = ["key", "next1", "next2", "node"]
     while True:
+        # First the least node of each bucket, which many buckets share; then one that differs from bucket to bucket.
+        chance = F.xxhash64("node", "key", F.lit(turn)) if turn else F.lit(0).cast("bigint")
+        member = F.struct(chance.alias("chance"), "node", "class")
+        heads = rest.groupBy("key").agg(F.min(member).alias("head"), F.min("class").alias("low"), F.max("class").alias("high"))
+        heads = heads.where("low != high").select("key", F.col("head.node").alias("a"), F.col("head.class").alias("a_class"))
+        rest = saved(rest.join(heads, "key"), "open-buckets")
+        star = rest.where("class != a_class").select("a", F.col("node").alias("b"))
+        beside = rest.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "node", "class").mapInArrow(_adjacent, "a binary, b binary")
+        pairs = star.unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        if texts is None:  # every node that shares a bucket is in the first pairs
+            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+            texts = saved(known.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
         links = saved(_compared(pairs, texts, least), "links")
-        if not links.isEmpty():
-            classes = components(links, classes)
-        # Buckets that still hold nodes of different classes go on, without the leaders they had.
-        if classes is not None:
-            rest = rest.drop("class").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        else:
-            rest = rest.withColumn("class", F.col("node"))
-        several = rest.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key")
-        rest = saved(rest.join(several, "key", "left_semi"), "open-buckets")
-        if rest.isEmpty():
+        if links.isEmpty():
             break
-        # Each round takes four times as many leaders, those of the rarest classes first.
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        classes = components(links, classes)
+        rest = rest.select(*order).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
         turn += 1
-        sizes = rest.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("n", F.xxhash64("node", "key"), "node"))
-        leaders = rest.join(sizes, ["key", "class"]).withColumn("rank", rank).where(F.col("rank") <= 4 ** turn)
-        leaders = saved(leaders.select("key", F.col("node").alias("a"), F.col("class").alias("a_class")), "leaders")
-        met = rest.join(leaders, "key").where("class != a_class")
-        pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = saved(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        rest = rest.join(leaders.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
 
     if classes is None:
         out = ids.withColumn("class", F.col("node"))
