@@ -34,8 +34,12 @@ class Shop:
     """Lazy views over one data folder; every attribute is a DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, input_bytes: int | None = None):
-        self.spark = configure(spark, input_bytes)
-        self.sf_dir = sf_dir.rstrip("/")
+        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        configure(spark, self._bytes("lineitem") + self._bytes("orders") if input_bytes is None else input_bytes)
+
+    def _bytes(self, name: str) -> int:
+        """Size of a table as the optimizer knows it from the files."""
+        return int(str(self.base(name)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.schema(_BASE[name]).parquet(f"{self.sf_dir}/{name}.parquet")

@@ -53,8 +53,8 @@ def test_trimmed_mean_of_a_hot_group(skewed):
 @pytest.mark.parametrize("first", [0, 10 ** 12])
 def test_ranks_are_dense_ordered_and_spread(spark, first):
     """Also for a narrow band of large ids: no range partition holds more than a bounded share."""
-    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    spark.conf.set(size, "8KB")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
     ids = [first + i for i in random.sample(range(20_000), 8000)]
     df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(8)
     rows = sorted((r["rank0"], r["id"], r["total"]) for r in order_stats.ranked(df, [F.col("id")]).collect())
@@ -62,7 +62,7 @@ def test_ranks_are_dense_ordered_and_spread(spark, first):
     assert [r[0] for r in rows] == list(range(8000))
     assert {r[2] for r in rows} == {8000}
     sizes = [r["count"] for r in order_stats.spread(df, ["id"]).groupBy("_bucket").count().collect()]
-    spark.conf.unset(size)
+    spark.conf.unset(merging)
     assert len(sizes) > 4 and max(sizes) <= 8000 / 3
 
 
