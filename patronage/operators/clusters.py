@@ -67,7 +67,9 @@ def outputs(train: DataFrame, test: DataFrame, stats: DataFrame) -> DataFrame:
     """(part, id, cluster, frac_repeater, repeatProbability); the probability, in percent, for test rows."""
     both = train.select(F.lit("train").alias("part"), "id", "cluster").unionByName(
         test.select(F.lit("test").alias("part"), "id", "cluster"))
-    return both.join(stats.select("cluster", "frac_repeater"), "cluster").select(
+    # A cluster without train rows has the prior.
+    rated = both.join(stats.select("cluster", "frac_repeater"), "cluster", "left").withColumn("frac_repeater", F.coalesce("frac_repeater", F.lit(MU)))
+    return rated.select(
         "part", "id", "cluster", "frac_repeater",
         F.when(F.col("part") == "test", F.col("frac_repeater") * 100.0).alias("repeatProbability"))
 

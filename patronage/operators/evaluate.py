@@ -213,12 +213,21 @@ def _dimension(factors: DataFrame) -> int:
 
 def _moments(factors: DataFrame, dim: int) -> DataFrame:
     """Row count, column sums and Gram matrix of a factor table, as one struct."""
-    x = [F.get("features", F.lit(i)) for i in range(dim)]
-    return factors.agg(F.struct(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.sum(c) for c in x]).alias("sums"),
-        F.array(*[F.sum(a * b) for a in x for b in x]).alias("gram"),
-    ))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums, gram = 0, np.zeros(dim), np.zeros((dim, dim))
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["features"].to_numpy())
+                n, sums, gram = n + len(x), sums + x.sum(axis=0), gram + x.T @ x
+        values = np.concatenate(([float(n)], sums, gram.ravel()))
+        yield pd.DataFrame({"pos": np.arange(len(values)), "value": values})
+
+    sums = factors.select("features").mapInPandas(partial, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value"))
+    # dim * dim + dim + 1 numbers, in order.
+    found = sums.agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("m"))
+    return found.select(F.struct(
+        F.element_at("m", 1).cast("bigint").alias("n"), F.slice("m", 2, dim).alias("sums"), F.slice("m", dim + 2, dim * dim).alias("gram")))
 
 
 def confusion(

@@ -15,7 +15,8 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,17 +130,15 @@ def grid_search_c(
 
 
 def _pinball_pass(frame: DataFrame, weights: np.ndarray, tau: float) -> tuple[float, np.ndarray]:
-    """Mean pinball loss and subgradient at ``weights``: one distributed sum.
-
-    The weights are one array literal, so the generated code is the same in all passes.
-    """
+    """Mean pinball loss and subgradient at ``weights``: one distributed sum for each sign of the residual."""
     fitted = F.aggregate(F.zip_with("x", F.lit([float(w) for w in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    rows = frame.select((F.col("label") - fitted).alias("residual"), "x")
-    slope = F.when(F.col("residual") > 0, -tau).otherwise(1 - tau)
-    loss = F.greatest(tau * F.col("residual"), (tau - 1) * F.col("residual"))
-    rows = rows.select(slope.alias("slope"), loss.alias("loss"), "x")
-    sums = rows.agg(F.avg("loss"), *[F.avg(F.col("slope") * F.col("x")[i]) for i in range(len(weights))]).first()
-    return sums[0], np.array(sums[1:])
+    rows = frame.select((F.col("label") - fitted).alias("residual"), "v")
+    sums = rows.groupBy((F.col("residual") > 0).alias("above")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("residual").alias("residual"), Summarizer.sum(F.col("v")).alias("v")).collect()  # two rows
+    n = sum(r["n"] for r in sums)
+    slope = {True: -tau, False: 1 - tau}
+    return (sum(-slope[r["above"]] * r["residual"] for r in sums) / n,
+            sum(slope[r["above"]] * r["v"].toArray() for r in sums) / n)
 
 
 def quantile_linear(
@@ -153,7 +152,7 @@ def quantile_linear(
     limits = train.agg(*[F.max(F.abs(F.coalesce(c, F.lit(0)))).cast("double").alias(c) for c in columns]).first()
     x = F.array(F.lit(1.0), *[
         F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / F.lit(float(limits[c] or 1.0)) for c in columns])
-    data = materialise(train.select("id", "label", x.alias("x")), "quantile-train")
+    data = materialise(train.select("id", "label", x.alias("x"), array_to_vector(x).alias("v")), "quantile-train")
     start = data.agg(F.percentile("label", tau)).first()[0]
     weights = np.zeros(len(columns) + 1)
     weights[0] = start
