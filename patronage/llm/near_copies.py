@@ -23,6 +23,8 @@ SIMILARITY = 0.8
 SKETCHES = 20
 LEAST = 4
 NEXT = 2  # sketches that order a bucket
+LEADERS = 4  # of a bucket in each round after the first
+BESIDE = 3  # neighbours on one side
 _WIDTH = 1 << 16  # items hashed at once
 
 _BASE, _P, _Q = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -155,13 +157,14 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Neighbours of sorted rows that share a bucket and not a class."""
-    last = None
+    last: list[tuple] = []
     for batch in batches:
         out = []
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if last is not None and row[0] == last[0] and row[2] != last[2]:
-                out.append((last[1], row[1]))
-            last = row
+            if last and row[0] != last[-1][0]:
+                last = []
+            out += [(x[1], row[1]) for x in last if x[2] != row[2]]
+            last = [*last[1 - BESIDE:], row] if BESIDE > 1 else [row]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (list(zip(*out)) or [(), ()])], ["a", "b"])
 
 
@@ -187,20 +190,19 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     Every round a node takes the least class among its neighbours' and its own, and then the class of that
     class; rounds are written to the shared folder. ``start`` gives classes that are known to be connected.
     """
-    edges = links.select("a", "b").union(links.select("b", "a")).distinct()
+    edges = links.select("a", "b").union(links.select("b", "a"))
     if start is not None:
-        edges = edges.union(start.select(F.col("node").alias("a"), F.col("class").alias("b"))).union(start.select("class", "node")).distinct()
+        edges = edges.union(start.select(F.col("node").alias("a"), F.col("class").alias("b"))).union(start.select("class", "node"))
     edges = saved(edges.where("a != b"), "edges")
     classes = saved(edges.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("class")), "classes")
     while True:
-        near = edges.join(classes.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "class")
-        lower = near.unionByName(classes).groupBy("node").agg(F.min("class").alias("class"))
+        near = edges.join(classes.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "class", F.lit(None).cast("binary").alias("old"))
+        lower = near.unionByName(classes.withColumn("old", F.col("class"))).groupBy("node").agg(F.min("class").alias("class"), F.max("old").alias("old"))
         above = classes.select(F.col("node").alias("class"), F.col("class").alias("above"))
-        lower = lower.join(above, "class", "left").select("node", F.least("class", F.coalesce("above", "class")).alias("class"))
+        lower = lower.join(above, "class", "left").select("node", F.least("class", F.coalesce("above", "class")).alias("class"), "old")
         lower = saved(lower, "classes")
-        changed = lower.join(classes, ["node", "class"], "left_anti").isEmpty()
-        classes = lower
-        if changed:
+        classes = lower.select("node", "class")
+        if lower.where("class != old").isEmpty():
             return classes
 
 
@@ -215,7 +217,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, node, class, class_id``: a row per document, with the least id of its class of copies.
 
     Equal texts are one node (the digest of the text) and are not compared. In each bucket of a sketch all nodes of other classes
-    than its leader's are compared to the leader, and each node to its neighbour in the order of the next sketches, which
+    than a leader's are compared to the leader, and each node to its neighbours in the order of the next sketches, which
     puts like with like. The pairs of a round grow with the rows of the buckets, not with their squares. Buckets that still hold
     several classes go on with other leaders, until a round finds no new link. No bucket, partner or candidate is capped;
     similar texts share about eight buckets, and each is another chance to meet. Buckets, links and classes stay
@@ -234,13 +236,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes, tested, texts, turn = None, None, None, 0
     order = ["key", "next1", "next2", "node"]
     while True:
-        # First the least node of each bucket, which many buckets share; then one that differs from bucket to bucket.
-        chance = F.xxhash64("node", "key", F.lit(turn)) if turn else F.lit(0).cast("bigint")
-        member = F.struct(chance.alias("chance"), "node", "class")
-        heads = rest.groupBy("key").agg(F.min(member).alias("head"), F.min("class").alias("low"), F.max("class").alias("high"))
-        heads = heads.where("low != high").select("key", F.col("head.node").alias("a"), F.col("head.class").alias("a_class"))
-        rest = saved(rest.join(heads, "key"), "open-buckets")
-        star = rest.where("class != a_class").select("a", F.col("node").alias("b"))
+        # First the least node of each bucket, which many buckets share; then some that differ from bucket to bucket.
+        chances = [F.xxhash64("node", "key", F.lit(turn * LEADERS + i)) for i in range(LEADERS)] if turn else [F.lit(0).cast("bigint")]
+        leaders = [F.min(F.struct(c.alias("chance"), "node", "class")) for c in chances]
+        heads = rest.groupBy("key").agg(F.array(*leaders).alias("heads"), F.min("class").alias("low"), F.max("class").alias("high"))
+        rest = saved(rest.join(heads.where("low != high").select("key", "heads"), "key"), "open-buckets")
+        met = rest.select("node", "class", F.explode(F.array_distinct("heads")).alias("head")).where("class != head.class")
+        star = met.select(F.col("head.node").alias("a"), F.col("node").alias("b"))
         beside = rest.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "node", "class").mapInArrow(_adjacent, "a binary, b binary")
         pairs = star.unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")

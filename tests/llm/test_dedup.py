@@ -111,8 +111,9 @@ def test_long_text_in_parts(rnd, monkeypatch):
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (200, 201), (201, 200)] + [(300, 300 + i) for i in range(1, 30)]
-    df = spark.createDataFrame(links, "a bigint, b bigint")
-    got = dict((r[0], r[1]) for r in near_copies.components(df).collect())
+    name = lambda i: i.to_bytes(2, "big")
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in links], "a binary, b binary")
+    got = {int.from_bytes(r[0], "big"): int.from_bytes(r[1], "big") for r in near_copies.components(df).collect()}
     assert {got[i] for i in range(41)} == {0} and got[100] == got[95] == 90 and got[201] == 200 and got[329] == 300
 
 
