@@ -11,19 +11,27 @@ SQL = oracles.oracle_sql()
 QUERIES = registry.queries()
 
 
+# Plans of queries that are not written or fitted on the way.
+LAZY = [n for n in QUERIES if not n.startswith(("ml_", "sink_", "src_", "als_", "kmeans_fit")) and n not in (
+    "cv_auc", "grid_search_c", "feature_importances", "topk_features", "fit_predict_submit", "assemble", "factor_job")]
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
 def test_matches_sql(spark, con, name):
-    got = spark_rows(QUERIES[name](spark, SF_DIR))
+    df = QUERIES[name](spark, SF_DIR)
+    got = spark_rows(df)
     assert compare(got, duck_rows(con, SQL[name])) is None
+    if name in LAZY:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
-def test_has_rows(spark, name):
-    assert QUERIES[name](spark, SF_DIR).take(1)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
