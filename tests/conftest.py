@@ -6,9 +6,6 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
 @pytest.fixture(scope="session")
 def spark():
     from check import session
@@ -20,13 +17,14 @@ def spark():
 
 @pytest.fixture(scope="session")
 def con():
-    from check import duck
+    from check import SF_DIR, duck
 
     return duck(SF_DIR)
 
 
 @pytest.fixture(scope="session")
 def shop(spark):
+    from check import SF_DIR
     from patronage.sources.shop import Shop
 
     return Shop(spark, SF_DIR)

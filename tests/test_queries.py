@@ -1,8 +1,7 @@
 """Every query against its SQL; queries without SQL return rows."""
 
 import pytest
-from check import compare, duck_rows, spark_rows
-from conftest import SF_DIR
+from check import SF_DIR, compare, duck_rows, spark_rows
 
 import __spark_entry__ as entry
 from patronage.plans import oracles, registry

@@ -5,7 +5,7 @@ import statistics
 
 import numpy as np
 import pytest
-from conftest import SF_DIR
+from check import SF_DIR
 from pyspark.sql import functions as F
 
 from patronage.functions import columns as C
