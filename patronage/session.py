@@ -15,7 +15,7 @@ RUNTIME_CONF = {
 }
 
 
-BYTES_PER_PARTITION = 256 * 1024 ** 2
+BYTES_PER_PARTITION = 64 * 1024 ** 2  # of Parquet, which grows a few times in a shuffle
 
 
 def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
@@ -25,7 +25,7 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
     """
     conf = dict(RUNTIME_CONF)
     if input_bytes is not None:
-        wanted = max(-(-input_bytes // BYTES_PER_PARTITION), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        wanted = max(-(-input_bytes // BYTES_PER_PARTITION), spark.sparkContext.defaultParallelism)
         conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(wanted)
     for key, value in conf.items():
         if spark.conf.get(key, None) != value:

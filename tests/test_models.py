@@ -108,10 +108,10 @@ def test_partitions_follow_the_input_size(spark):
     key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     try:
         configure(spark, 10 * 1024 ** 3)
-        assert spark.conf.get(key) == "40"
+        assert spark.conf.get(key) == "160"
         configure(spark, 100 * 1024 ** 4)
-        assert spark.conf.get(key) == "409600"
+        assert spark.conf.get(key) == "1638400"
         configure(spark, 1)
-        assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
+        assert spark.conf.get(key) == str(spark.sparkContext.defaultParallelism)
     finally:
         spark.conf.unset(key)
