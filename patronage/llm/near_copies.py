@@ -26,6 +26,7 @@ NEXT = 2  # sketches that order a bucket
 LEADERS = 4  # of a bucket in each round after the first
 BESIDE = 3  # neighbours on one side
 _WIDTH = 1 << 16  # items hashed at once
+_REMEMBERED = 32 << 20
 
 _BASE, _P, _Q = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _SPACE = np.zeros(256, bool)
@@ -169,16 +170,32 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(least: float):
+    """The pairs (a, b) of a batch whose texts are similar. Items of recent texts are remembered, up to ``_REMEMBERED`` bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, a, order = None, None, None
+        known: dict[bytes, np.ndarray] = {}
+        held = 0
+
+        def of(name: bytes, text: pa.Scalar) -> np.ndarray:
+            nonlocal held
+            if name not in known:
+                h = items(np.frombuffer(text.as_buffer(), "u1"))
+                if held + h.nbytes > _REMEMBERED:
+                    known.clear()
+                    held = 0
+                known[name] = h
+                held += h.nbytes
+            return known[name]
+
+        last, order = None, None
         for batch in batches:
             keep = []
-            lead, lead_text, text = batch.column(0), batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                if (name := lead[i].as_py()) != last:
-                    last, a = name, items(np.frombuffer(lead_text[i].as_buffer(), "u1"))
-                    order = np.argsort(a)
-                keep.append(similarity(a, order, items(np.frombuffer(text[i].as_buffer(), "u1")), least) > 0)
+            first, second = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, (x, y) in enumerate(zip(first, second)):
+                a, b = of(x, batch.column(2)[i]), of(y, batch.column(3)[i])
+                if x != last:
+                    last, order = x, np.argsort(a)
+                keep.append(similarity(a, order, b, least) > 0)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
