@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -23,8 +23,9 @@ SIMILARITY = 0.8
 SKETCHES = 20
 LEAST = 4
 NEXT = 2  # sketches that order a bucket
-LEADERS = 4  # of a bucket in each round after the first
 BESIDE = 3  # neighbours on one side
+BLOCK = 512  # nodes of a bucket in one block
+NEAREST = 4  # close pairs of a node that are aligned before the rest
 _WIDTH = 1 << 16  # items hashed at once
 _REMEMBERED = 32 << 20
 
@@ -169,6 +170,95 @@ def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (list(zip(*out)) or [(), ()])], ["a", "b"])
 
 
+def _parities(h: np.ndarray) -> np.ndarray:
+    """For each slot of the hash whether an odd number of items falls into it; at least two slots an item, as bytes."""
+    bits = max(64, 1 << (2 * len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype("i8"), minlength=bits) & 1).astype("u1"), bitorder="little")
+
+
+def _parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [items(np.frombuffer(text.as_buffer(), "u1")) for text in batch.column(1)]
+        columns = [batch.column(0), pa.array([len(h) for h in found], pa.int64()), pa.array([_parities(h).tobytes() for h in found], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "n", "parities"])
+
+
+def _close(rows: list[tuple], one: bool, least: float) -> Iterator[tuple[bytes, bytes, int]]:
+    """The pairs of rows (node, class, block, n, parities) of different classes that can be similar; of different blocks unless ``one``.
+
+    An item that only one of two texts has changes one parity, so the texts differ in as many items as parities at least. Similar
+    texts differ in at most (n + m)(1 - s) / (1 + s) items, and no pair that is left out here is similar.
+    """
+    widths: dict[int, list[tuple]] = {}
+    for row in rows:
+        widths.setdefault(len(row[4]), []).append(row)
+    numbers: dict[bytes, int] = {}
+    tables = {}
+    for width, same in widths.items():
+        bits = np.frombuffer(b"".join(r[4] for r in same), "u8").reshape(len(same), -1)
+        tables[width] = same, bits, *(np.array(x, "i8") for x in zip(*((numbers.setdefault(r[1], len(numbers)), r[2], r[3]) for r in same)))
+    for width, (same, bits, kind, block, n) in tables.items():
+        for other in tables:
+            if other < width:
+                continue
+            others, far, far_kind, far_block, m = tables[other]
+            while far.shape[1] > bits.shape[1]:  # slots that the narrower text does not tell apart
+                far = far[:, :far.shape[1] // 2] ^ far[:, far.shape[1] // 2:]
+            for i in range(len(same)):
+                low = i + 1 if other == width else 0
+                fits = (far_kind[low:] != kind[i]) & (np.minimum(m[low:], n[i]) >= least * np.maximum(m[low:], n[i]))
+                if not one:
+                    fits &= far_block[low:] != block[i]
+                at = np.flatnonzero(fits) + low
+                if not len(at):
+                    continue
+                odd = np.bitwise_count(far[at] ^ bits[i]).sum(axis=1, dtype="i8")
+                near = odd <= (n[i] + m[at]) * (1 - least) / (1 + least) + 1e-9
+                for j, x in zip(at[near].tolist(), odd[near].tolist()):
+                    a, b = same[i][0], others[j][0]
+                    yield (a, b, x) if a < b else (b, a, x)
+
+
+def _close_rows(least: float):
+    """The close pairs of each unit: a block of a bucket or two of them, in rows that are sorted by unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows = None, []
+
+        def ended() -> pa.RecordBatch:
+            a, b, odd = list(zip(*set(_close(rows, unit[1] == unit[2], least)))) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(odd, pa.int64())], ["a", "b", "odd"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != unit:
+                    if len(rows) > 1:
+                        yield ended()
+                    unit, rows = row[:3], []
+                rows.append(row[3:])
+        if len(rows) > 1:
+            yield ended()
+
+    return run
+
+
+def _close_pairs(rest: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``a, b, odd``: the pairs of different classes in a bucket of ``rest`` (key, node, class) that can be similar.
+
+    A bucket is dealt into blocks of about ``BLOCK`` nodes, and every two of its blocks meet in a unit of their own.
+    """
+    several = rest.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
+    several = several.select("key", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
+    rest = saved(rest.join(several, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "several")
+    nodes = rest.select("node").distinct()
+    parities = saved(texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(_parity_rows, "node binary, n bigint, parities binary"), "parities")
+    met = rest.join(parities, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    unit = ["key", "one", "two"]
+    met = met.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "class", "block", "n", "parities")
+    met = met.repartition(*unit).sortWithinPartitions(*unit)
+    return met.mapInArrow(_close_rows(least), "a binary, b binary, odd bigint").distinct()
+
+
 def _links(least: float):
     """The pairs (a, b) of a batch whose texts are similar. Items of recent texts are remembered, up to ``_REMEMBERED`` bytes."""
 
@@ -233,12 +323,12 @@ def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``doc_id, node, class, class_id``: a row per document, with the least id of its class of copies.
 
-    Equal texts are one node (the digest of the text) and are not compared. In each bucket of a sketch all nodes of other classes
-    than a leader's are compared to the leader, and each node to its neighbours in the order of the next sketches, which
-    puts like with like. The pairs of a round grow with the rows of the buckets, not with their squares. Buckets that still hold
-    several classes go on with other leaders, until a round finds no new link. No bucket, partner or candidate is capped;
-    similar texts share about eight buckets, and each is another chance to meet. Buckets, links and classes stay
-    distributed; a hot bucket is sorted by ranges and joined by its key, which adaptive execution splits.
+    Equal texts are one node (the digest of the text) and are not compared. In each bucket of a sketch all nodes are compared to
+    one leader, and each to its neighbours in the order of the next sketches, which puts like with like. Then all
+    pairs of different classes in a bucket meet, in blocks of bounded size: those whose parities allow it (``_close``, which
+    leaves out no similar pair) are aligned, the nearest ones of each node first and then all that are still of different
+    classes. At the end no bucket holds a similar pair of different classes, and no bucket, partner or candidate is capped; what
+    grows with the square of a bucket are blocks of parities, not texts. Buckets, links and classes stay distributed.
 
     A null text is a class of its own (``class_id`` is its id); texts without a word are copies only if they are equal. Repeated
     rows share a class. Long texts are sketched whole, in parts. An empty table gives no rows; other columns are not read.
@@ -250,31 +340,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketched = known.select("node", "text").mapInArrow(_sketch_rows, "key bigint, next1 bigint, next2 bigint, node binary")
     # Copies of a text collapse before the shuffle.
     rest = saved(sketched.distinct(), "sketches").withColumn("class", F.col("node"))
-    classes, tested, texts, turn = None, None, None, 0
-    order = ["key", "next1", "next2", "node"]
-    while True:
-        # First the least node of each bucket, which many buckets share; then some that differ from bucket to bucket.
-        chances = [F.xxhash64("node", "key", F.lit(turn * LEADERS + i)) for i in range(LEADERS)] if turn else [F.lit(0).cast("bigint")]
-        leaders = [F.min(F.struct(c.alias("chance"), "node", "class")) for c in chances]
-        heads = rest.groupBy("key").agg(F.array(*leaders).alias("heads"), F.min("class").alias("low"), F.max("class").alias("high"))
-        rest = saved(rest.join(heads.where("low != high").select("key", "heads"), "key"), "open-buckets")
-        met = rest.select("node", "class", F.explode(F.array_distinct("heads")).alias("head")).where("class != head.class")
-        star = met.select(F.col("head.node").alias("a"), F.col("node").alias("b"))
-        beside = rest.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "node", "class").mapInArrow(_adjacent, "a binary, b binary")
-        pairs = star.unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = saved(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        if texts is None:  # every node that shares a bucket is in the first pairs
-            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            texts = saved(known.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-        links = saved(_compared(pairs, texts, least), "links")
-        if links.isEmpty():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        classes = components(links, classes)
-        rest = rest.select(*order).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        turn += 1
+    classes, order = None, ["key", "next1", "next2", "node"]
+    heads = rest.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("key", "a")
+    rest = saved(rest.join(heads, "key"), "open-buckets")
+    star = rest.where("node != a").select("a", F.col("node").alias("b"))
+    beside = rest.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "node", "class").mapInArrow(_adjacent, "a binary, b binary")
+    pairs = star.unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = saved(pairs, "pairs")
+    if not pairs.isEmpty():
+        # Every node that shares a bucket is in the first pairs, so their texts serve all steps.
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = saved(known.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+        classes = components(saved(_compared(pairs, texts, least), "links"))
+        rest = rest.select("key", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        close = saved(_close_pairs(rest, texts, least).join(pairs, ["a", "b"], "left_anti"), "close")
+        # The nearest pairs of each node first: most of the others are of one class then.
+        both = close.withColumn("node", F.explode(F.array("a", "b")))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("odd", "a", "b"))
+        pairs = saved(both.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b").distinct(), "pairs")
+        if not pairs.isEmpty():
+            classes = components(saved(_compared(pairs, texts, least), "links"), classes)
+            left = close.select("a", "b").join(pairs, ["a", "b"], "left_anti")
+            for name in ("a", "b"):
+                left = left.join(classes.select(F.col("node").alias(name), F.col("class").alias(f"{name}_class")), name, "left")
+            left = saved(left.where(F.coalesce("a_class", "a") != F.coalesce("b_class", "b")).select("a", "b"), "pairs")
+            if not left.isEmpty():
+                classes = components(saved(_compared(left, texts, least), "links"), classes)
 
     if classes is None:
         out = ids.withColumn("class", F.col("node"))

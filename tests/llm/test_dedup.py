@@ -1,6 +1,7 @@
 """Near copies and repeated strings against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -117,6 +118,48 @@ def test_components(spark):
     assert {got[i] for i in range(41)} == {0} and got[100] == got[95] == 90 and got[201] == 200 and got[329] == 300
 
 
+def loose_family(seed, size=200, words=600):
+    """Texts that share buckets, no two of them similar but the first two."""
+    rnd = random.Random(seed)
+
+    def changed_at(places, text):
+        text = list(text)
+        for i in places:
+            text[i] = "x%d" % rnd.getrandbits(60)
+        return text
+
+    base = prose(rnd, words).split()
+    spots = list(range(6, words - 6, 6))
+    picked = rnd.sample(spots, 14)
+    both = changed_at(picked[:2], base)
+    taken = [set(picked[:8]), {*picked[:2], *picked[8:]}]
+    texts = [changed_at(picked[2:8], both), changed_at(picked[8:], both)]
+    while len(texts) < size:
+        places = set(rnd.sample(spots, 8))
+        if all(len(places & other) <= 2 for other in taken):
+            taken.append(places)
+            texts.append(changed_at(places, base))
+    return [" ".join(x) for x in texts]
+
+
+def test_a_step_without_a_link_does_not_end_the_search(documents):
+    texts = [t for seed in (0, 3) for t in loose_family(seed)]
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.near_copies(documents(list(enumerate(texts))).repartition(4)).collect()}
+    assert lcs_similarity(texts[0], texts[1]) >= 0.8 and lcs_similarity(texts[200], texts[201]) >= 0.8
+    assert got == {i: i - (i in (1, 201)) for i in range(400)}
+
+
+def test_parities_leave_out_no_similar_pair(rnd):
+    for _ in range(40):
+        base = prose(rnd, rnd.randrange(1, 150))
+        texts = [changed(rnd, base, rnd.randrange(0, 4)) for _ in range(8)]
+        h = [near_copies.items(np.frombuffer(t.encode(), "u1")) for t in texts]
+        rows = [(b"%d" % i, b"%d" % i, 0, len(x), near_copies._parities(x).tobytes()) for i, x in enumerate(h) if len(x)]
+        found = {(a, b) for a, b, _ in near_copies._close(rows, True, 0.8)}
+        similar = {(b"%d" % i, b"%d" % j) for j in range(8) for i in range(j) if near_copies.similarity(h[i], np.argsort(h[i]), h[j]) > 0}
+        assert similar <= found
+
+
 def plain_removed(texts, length):
     count = Counter(b[i:i + length] for b in texts for i in range(len(b) - length + 1))
     for b in texts:
