@@ -22,8 +22,6 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 LEAST = 4
-NEXT = 2  # sketches that order a bucket
-BESIDE = 3  # neighbours on one side
 BLOCK = 512  # nodes of a bucket in one block
 NEAREST = 4  # close pairs of a node that are aligned before the rest
 _WIDTH = 1 << 16  # items hashed at once
@@ -143,7 +141,6 @@ def similarity(a: np.ndarray, a_order: np.ndarray, b: np.ndarray, least: float =
 
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sketches of each text, each with the next ones in the circle."""
     for batch in batches:
         keys, rows = [], []
         for i, text in enumerate(batch.column(1)):
@@ -152,22 +149,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(sketches(h))
                 rows.append(i)
         if rows:
-            found = np.stack(keys)
-            columns = [pa.array(np.roll(found, -i, axis=1).ravel()) for i in range(NEXT + 1)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(0).take(pa.array(np.repeat(rows, SKETCHES)))], ["key", "next1", "next2", "node"])
-
-
-def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of sorted rows that share a bucket and not a class."""
-    last: list[tuple] = []
-    for batch in batches:
-        out = []
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if last and row[0] != last[-1][0]:
-                last = []
-            out += [(x[1], row[1]) for x in last if x[2] != row[2]]
-            last = [*last[1 - BESIDE:], row] if BESIDE > 1 else [row]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (list(zip(*out)) or [(), ()])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.repeat(rows, SKETCHES)))], ["key", "node"])
 
 
 def _parities(h: np.ndarray) -> np.ndarray:
@@ -324,8 +306,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, node, class, class_id``: a row per document, with the least id of its class of copies.
 
     Equal texts are one node (the digest of the text) and are not compared. In each bucket of a sketch all nodes are compared to
-    one leader, and each to its neighbours in the order of the next sketches, which puts like with like. Then all
-    pairs of different classes in a bucket meet, in blocks of bounded size: those whose parities allow it (``_close``, which
+    one leader. Then all pairs of different classes in a bucket meet, in blocks of bounded size: those whose parities allow it (``_close``, which
     leaves out no similar pair) are aligned, the nearest ones of each node first and then all that are still of different
     classes. At the end no bucket holds a similar pair of different classes, and no bucket, partner or candidate is capped; what
     grows with the square of a bucket are blocks of parities, not texts. Buckets, links and classes stay distributed.
@@ -337,16 +318,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("node", F.unhex(F.md5("text")))
     ids = saved(rows.select("doc_id", "node"), "nodes")
     known = rows.where("node is not null")
-    sketched = known.select("node", "text").mapInArrow(_sketch_rows, "key bigint, next1 bigint, next2 bigint, node binary")
+    sketched = known.select("node", "text").mapInArrow(_sketch_rows, "key bigint, node binary")
     # Copies of a text collapse before the shuffle.
-    rest = saved(sketched.distinct(), "sketches").withColumn("class", F.col("node"))
-    classes, order = None, ["key", "next1", "next2", "node"]
+    rest = saved(sketched.distinct(), "sketches")
+    classes = None
     heads = rest.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("key", "a")
     rest = saved(rest.join(heads, "key"), "open-buckets")
-    star = rest.where("node != a").select("a", F.col("node").alias("b"))
-    beside = rest.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "node", "class").mapInArrow(_adjacent, "a binary, b binary")
-    pairs = star.unionByName(beside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = saved(pairs, "pairs")
+    pairs = saved(rest.where("node != a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
         # Every node that shares a bucket is in the first pairs, so their texts serve all steps.
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()

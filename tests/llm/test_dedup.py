@@ -149,6 +149,20 @@ def test_a_step_without_a_link_does_not_end_the_search(documents):
     assert got == {i: i - (i in (1, 201)) for i in range(400)}
 
 
+def test_near_copies_with_a_partition_for_each_row(spark, documents):
+    """Nothing depends on which rows of a bucket a partition holds."""
+    settings = {"spark.sql.shuffle.partitions": "240", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in near_copies.near_copies(documents(list(enumerate(loose_family(0, 12))))).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - (i == 1) for i in range(12)}
+
+
 def test_parities_leave_out_no_similar_pair(rnd):
     for _ in range(40):
         base = prose(rnd, rnd.randrange(1, 150))
