@@ -2,7 +2,7 @@
 
 A text is the sequence of its k-mers of five words; the i-th occurrence of a k-mer is an item of its own. A sketch takes the
 least few items under a seeded hash and keeps them in text order, so that texts meet in it if they share items in the same
-order. Candidates are verified by a banded alignment of the item sequences: the similarity is
+order. Texts of few items also meet in exact keys (``few_keys``). Candidates are verified by a banded alignment of the item sequences: the similarity is
 aligned / (items of both - aligned), at least 0.8.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 LEAST = 4
+FEW = 14  # items of a text that also gets exact keys
 BLOCK = 512  # nodes of a bucket in one block
 NEAREST = 4  # close pairs of a node that are aligned before the rest
 _WIDTH = 1 << 16  # items hashed at once
@@ -110,6 +113,28 @@ def sketches(h: np.ndarray, count: int = SKETCHES, least: int = LEAST) -> np.nda
     return key.view("i8")
 
 
+@lru_cache
+def _without(n: int, d: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), n - d)))
+
+
+def few_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of a text of few items: all of them, and all but each one or two.
+
+    Two such texts with up to 26 items together are similar only if two items at most are not aligned, so they share one of
+    these keys: one text without one or two items is the other, or both are equal without one.
+    """
+    n = len(h)
+    found = [np.zeros(0, "u8")]
+    if LEAST <= n <= FEW:
+        for d in range(1 + (n > 4) + (n > 9)):
+            key = np.full(len(_without(n, d)), _Q)
+            for column in h[_without(n, d)].T:
+                key = _mix(key * _BASE + column)
+            found.append(key)
+    return np.unique(np.concatenate(found)).view("i8")
+
+
 def similarity(a: np.ndarray, a_order: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Aligned items over the items of both, 0.0 where it is less than ``least``.
 
@@ -146,10 +171,11 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in enumerate(batch.column(1)):
             h = items(np.frombuffer(text.as_buffer(), "u1"))
             if len(h):
-                keys.append(sketches(h))
+                keys.append(np.concatenate((sketches(h), few_keys(h))))
                 rows.append(i)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(pa.array(np.repeat(rows, SKETCHES)))], ["key", "node"])
+            node = batch.column(0).take(pa.array(np.repeat(rows, [len(x) for x in keys])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), node], ["key", "node"])
 
 
 def _parities(h: np.ndarray) -> np.ndarray:

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest_llm import prose
@@ -163,6 +164,19 @@ def test_near_copies_with_a_partition_for_each_row(spark, documents):
     assert got == {i: i - (i == 1) for i in range(12)}
 
 
+def test_short_texts_that_are_similar_always_meet(rnd):
+    missed = met = 0
+    for _ in range(3000):
+        w = ["x%d" % rnd.getrandbits(60) for _ in range(rnd.choice([9, rnd.randrange(8, 19)]))]
+        one = rnd.choice([w[1:], w[:-1], w[1:-1], w[2:], w[:-2], [*w[1:], "x"], ["x", *w[1:]]])
+        a, b = (near_copies.items(np.frombuffer(" ".join(x).encode(), "u1")) for x in (w, one))
+        if len(a) + len(b) <= 26 and near_copies.similarity(a, np.argsort(a), b) > 0:
+            met += 1
+            keys = [next(near_copies._sketch_rows([pa.record_batch({"node": [b"n"], "text": [" ".join(x)]})])) for x in (w, one)]
+            missed += not set(keys[0]["key"].to_pylist()) & set(keys[1]["key"].to_pylist())
+    assert met > 500 and not missed
+
+
 def test_parities_leave_out_no_similar_pair(rnd):
     for _ in range(40):
         base = prose(rnd, rnd.randrange(1, 150))
