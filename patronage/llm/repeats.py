@@ -258,8 +258,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     # Contexts that are alone but share their gram are compared, with one of each kind that is not alone.
     wanted = marked.where("k > 1").where((F.col("n") == 1) | (F.col("place") == place))
-    wanted = wanted.groupBy("doc", "mark").agg(F.collect_list(F.struct("h", "ctx", "n", "k", "first", "last", "pos")).alias("wanted"))
-    contexts = texts.join(wanted, ["doc", "mark"]).mapInArrow(_contexts(length), CONTEXTS)
+    wanted = wanted.groupBy("doc", "mark").agg(F.collect_set(F.struct("h", "ctx", "n", "k", "first", "last", "pos")).alias("wanted"))
+    # Repeated rows count in n; their contexts are taken from one of them.
+    once = texts.groupBy("doc", "mark").agg(F.first("text").alias("text"))
+    contexts = once.join(wanted, ["doc", "mark"]).mapInArrow(_contexts(length), CONTEXTS)
     contexts = saved(contexts, "context-bytes")
 
     ready = []
@@ -302,7 +304,7 @@ def _left(raw: memoryview, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    lists = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("first", "until")).alias("_spans"))
+    lists = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "until")).alias("_spans"))
     lists = lists.withColumnsRenamed({"doc": "_doc", "mark": "_mark"})
     keyed = docs.withColumns({"_doc": _row_key(id_col), "_mark": F.xxhash64(text_or_empty(F.col(text_col)))})
     return keyed.join(lists, ["_doc", "_mark"], "left").drop("_doc", "_mark")

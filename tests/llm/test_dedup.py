@@ -250,3 +250,13 @@ def test_cut_keeps_columns(documents, rnd):
     rows = {r["doc_id"]: r for r in out.collect()}
     assert out.columns == df.columns and len(rows) == 4 and rows[3]["text"] == own[:50] and rows[4]["text"] is None
     assert rows[1]["text"].startswith(own[:-5]) and len(rows[1]["text"]) <= len(own) and rows[1]["n_chars"] == len(rows[1]["text"])
+
+
+def test_spans_grow_with_the_repeated_rows_not_with_their_square(documents, rnd):
+    shared = prose(rnd, 60)
+    a, b = (f"{prose(rnd, 40)} {shared} {prose(rnd, 40)}" for _ in range(2))
+    n = [repeats.repeated_spans(documents([(1, a)] * m + [(2, b)]), length=60).count() for m in (10, 40)]
+    assert 0 < n[1] < 6 * n[0]
+    df = documents([(1, a)] * 40 + [(2, b)])
+    held = repeats._with_spans(df, repeats.repeated_spans(df, length=60), "doc_id", "text").where("doc_id = 1").collect()
+    assert len(held) == 40 and all(len(r["_spans"]) == len(set(r["_spans"])) for r in held)
