@@ -15,8 +15,10 @@ from .common import SPACES
 
 # Phrases of lines that belong to a site, not to its text.
 BOILERPLATE = re.compile(
-    r"all rights reserved|copyright|©|\(c\) \d{4}|privacy policy|terms of (?:use|service)|cookie|"
-    r"licensed under|spdx-license|javascript|subscribe|sign (?:in|up)|log ?in|share (?:this|on)|click here|read more", re.I)
+    r"\b(?:all rights reserved|copyright(?:ed|s)?|privacy policy|terms of (?:use|service)|licensed under|spdx-license|"
+    r"(?:uses?|using|accept|allow|reject|manage) (?:all |our )?cookies|cookies? (?:policy|settings|notice|preferences|consent)|"
+    r"(?:enable|requires?|turn on) javascript|javascript (?:is|must be|to be) (?:disabled|enabled|required)|"
+    r"subscribe|sign (?:in|up)|log ?in|share (?:this|on)|click here|read more)\b|©|\(c\) \d{4}", re.I)
 SEPARATORS = frozenset(("|", "»", "«", ">", "<", "•", "·", "/", "::", "-", "–", "—"))
 SYMBOLS = "#*$%&|<>"
 _RUN = re.compile(r"([^\w\s])\1")

@@ -77,6 +77,13 @@ def test_quality_lines(documents, rnd):
     assert quality.keep_clean(df.limit(0)).count() == quality.judged(df.limit(0)).count() == 0
 
 
+def test_boilerplate_phrases_are_whole_and_of_a_site():
+    clean = ["ereaes oftheshare onstor.", "The dialog in the catalog in question has a design in blue.", "She baked a cookie.", "JavaScript has closures."]
+    site = ["Log in or sign up", "Share on Facebook", "We use cookies.", "This site uses cookies", "Please enable JavaScript", "SPDX-License-Identifier: MIT", "© 2020 x", "(c) 2020"]
+    assert [quality.line_fails(x) for x in clean] == [None] * len(clean)
+    assert [quality.line_fails(x) for x in site] == ["boilerplate"] * len(site)
+
+
 def test_quality_labels(spark, con):
     """Of the labelled rows that pass the base rules, the good ones stay and the others go."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
