@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, mixing, near_copies, neighbours, packing, quality, repeats, token_files, toxicity, url_rules
+from . import html_text, manifest, mixing, near_copies, neighbours, packing, quality, repeats, token_files, toxicity, url_rules
 from .common import scratch_path, table
 from .tokens import public_file
 
@@ -59,10 +59,14 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path).drop("ids")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_html_text, op2_url_filters, op3_near_copies, op4_repeated_strings, op5_nearest_vectors,
-        op6_source_mix, op7_toxicity, op8_quality_rules, op9_packing, op10_token_files)
+        op6_source_mix, op7_toxicity, op8_quality_rules, op9_packing, op10_token_files, op13_merkle_manifest)
 }
 
 ORACLES = {
