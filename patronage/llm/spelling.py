@@ -9,15 +9,19 @@ with one edit are neighbours.
 Of two words at one edit, either the first half of the one is a prefix of the other or the second half a suffix, so the trie
 is walked forwards and, for the reversed words, backwards, with edits only behind the first half of each walk.
 The first three code points stay equal in both, so a walk starts at the node of these and no state ever stands at the root.
+
+The edges come from sorted ranges of the words. Where a range ends inside a prefix, its tree has no node for branches that only the
+next range has; every word still has a chain of edges of its own from its start, which is all a walk to it needs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+from os.path import commonprefix
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, text_or_empty
@@ -26,11 +30,10 @@ from .common import saved, text_or_empty
 LETTERS = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-START = 3  # code points of the first node of a path; a word of 7 has at least 3 in its first half
+FORWARD, BACK = ">", "<"  # in front of a path: the word, or the word reversed
+START = 4  # the mark and the three code points that a walk starts with; a word of 7 has at least 3 in its first half
 HOT = 4096  # words below a node whose states share one row of its edges
-PATHS = "path string, back boolean, wid bigint, at int, node bigint, next int, first bigint, second bigint"
-
-_B, _P, _Q = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+EDGES = "node string, label string, below bigint, ends boolean, first bigint, second bigint, sizes bigint"
 
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 7, least: int = 2, drop: int = 31) -> DataFrame:
@@ -49,89 +52,119 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def _path_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes of each word and of its reverse, from the third code point to the last, with what follows behind them."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        words = batch.column(0).to_pylist()
-        for back, paths in ((False, words), (True, [w[::-1] for w in words])):
-            codes = np.frombuffer("".join(paths).encode("utf-32-le"), "<u4").astype("i8")
-            size = np.fromiter(map(len, paths), "i8", len(paths))
-            end = np.cumsum(size)
-            row = np.repeat(np.arange(len(paths)), size - START + 1)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(size - START + 1) - (size - START + 1), size - START + 1) + START
-            begin = (end - size)[row]
-            place = np.arange(len(codes)) - np.repeat(end - size, size)
-            sums = np.zeros(len(codes) + 1, "u8")
-            np.cumsum((codes.astype("u8") + np.uint64(1)) * np.power(_B, place.astype("u8")), out=sums[1:])
-            node = (sums[begin + at] - sums[begin] + at.astype("u8") * _P) ^ (_Q if back else _P)
-            node = (node ^ node >> np.uint64(30)) * _P
-            node = (node ^ node >> np.uint64(27)) * _Q
-            node ^= node >> np.uint64(31)
-            padded, left = np.append(codes, [0, 0]), size[row] - at
-            c1 = np.where(left > 0, padded[begin + at], 0)
-            c2 = np.where(left > 1, padded[begin + at + 1], 0)
-            bits = np.int64(1) << np.arange(64, dtype="i8")
-            columns = [
-                pa.array(paths).take(pa.array(row)), pa.array(np.full(len(row), back)), batch.column(1).take(pa.array(row)),
-                pa.array(at.astype("i4")), pa.array(node.view("i8")), pa.array(np.where(left > 0, c1, -1).astype("i4")),
-                pa.array(np.where(left > 0, bits[c1 % 64], 0)), pa.array(np.where(left > 0, bits[(31 * c1 + 7 * c2 + 131 * left) % 64], 0))]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PATHS.split(", ")])
-
-
-def _salts(below: str) -> Column:
+class _Node:
+    """A prefix of the last word of the sweep, with what was seen below it."""
+
+    def __init__(self, depth: int):
+        self.depth, self.below, self.ends = depth, 0, False
+        self.firsts: set[str] = set()
+        self.second = self.sizes = 0
+
+    def add(self, path: str) -> None:
+        self.below += 1
+        self.sizes |= 1 << len(path) % 64
+        if len(path) == self.depth:
+            self.ends = True
+        else:
+            self.firsts.add(path[self.depth])
+            self.second |= 1 << _pair(path[self.depth], path[self.depth + 1:self.depth + 2])
+
+
+def _pair(a: str, b: str) -> int:
+    return (31 * ord(a) + 7 * (ord(b) if b else 0)) % 64
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def sorted_edges(paths: Iterator[str]) -> Iterator[tuple]:
+    """EDGES of the trie of sorted paths, chains without a branch as one edge; only the nodes of the last path are kept."""
+    open_nodes: list[_Node] = []
+    last = ""
+
+    def closed(above: _Node, node: _Node) -> tuple:
+        first = 0
+        for c in node.firsts:
+            first |= 1 << ord(c) % 64
+        return last[:above.depth], last[above.depth:node.depth], node.below, node.ends, _signed(first), _signed(node.second), _signed(node.sizes)
+
+    for path in chain(paths, [""]):
+        common = len(commonprefix((last, path)))
+        while len(open_nodes) > 1 and open_nodes[-1].depth > common:
+            node = open_nodes.pop()
+            if open_nodes[-1].depth < common:  # a new branch on the edge to this node
+                branch = _Node(common)
+                branch.below, branch.sizes, branch.firsts = node.below, node.sizes, {last[common]}
+                after = {last[common + 1]} if node.depth > common + 1 else node.firsts | ({""} if node.ends else set())
+                for c in after:
+                    branch.second |= 1 << _pair(last[common], c)
+                open_nodes.append(branch)
+            yield closed(open_nodes[-1], node)
+        if not path:
+            return
+        if common < START:
+            open_nodes = [_Node(START)]
+        open_nodes.append(_Node(len(path)))
+        for node in open_nodes:
+            node.add(path)
+        last = path
+
+
+def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in EDGES.split(", ")]
+    rows = []
+
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(types), types)], names)
+
+    for row in sorted_edges(p for batch in batches for p in batch.column(0).to_pylist()):
+        rows.append(row)
+        if len(rows) == 10_000:
+            yield batch_of()
+            rows = []
+    yield batch_of()
+
+
+def _parts(below: str) -> Column:
     return F.ceil(F.col(below) / HOT).cast("int")
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The edges by node, and the first state of every word in either direction.
 
-    ``node, salt, children``: an edge has its label, the child, the number of words below it, the word that ends there, and
-    two masks of what follows below it. A node with many words has copies of its row, one for each part of its states.
+    ``node, part, children``: an edge has its label, whether a word ends there, the number of parts of its node's row (0 without
+    edges), and masks of what follows. A node with many words below has a copy of its row for each part of its states.
     """
-    rows = saved(words.select("word", F.xxhash64("word").alias("wid")).mapInArrow(_path_rows, PATHS), "trie-paths")
-    ends = F.col("next") < 0
-    nodes = rows.groupBy("node").agg(
-        F.count(F.lit(1)).alias("below"), F.min("wid").alias("one"), F.max(ends).alias("ends"),
-        F.bit_or("first").alias("first_mask"), F.bit_or("second").alias("second_mask"), F.min("next").alias("low"), F.max("next").alias("high"), F.min("at").alias("depth"))
-    nodes = nodes.where((F.col("low") != F.col("high")) | F.col("ends") | (F.col("depth") == START)).drop("low", "high", "depth")
-    path = Window.partitionBy("back", "wid", "path").orderBy("at")
-    found = rows.drop("first", "second", "next").join(nodes, "node").withColumns({
-        "parent": F.lag("node").over(path), "parent_at": F.lag("at").over(path), "parent_below": F.lag("below").over(path)})
-    found = saved(found, "trie-nodes")
-    edge = F.struct(
-        F.substring("path", F.col("parent_at") + 1, F.col("at") - F.col("parent_at")).alias("label"), F.col("node").alias("child"), "below",
-        F.when(F.col("ends"), F.substring("path", F.lit(1), F.col("at"))).alias("target"), "first_mask", "second_mask")
-    edges = found.where((F.col("wid") == F.col("one")) & F.col("parent").isNotNull())
-    edges = edges.groupBy(F.col("parent").alias("node"), F.col("parent_below").alias("below")).agg(F.collect_set(edge).alias("children"))
-    edges = edges.select("node", F.explode(F.sequence(F.lit(0), _salts("below") - 1)).alias("salt"), "children")
-    half = F.floor(F.length("path") / 2).cast("int")
-    states = found.where(F.col("at") == START).select(
-        "path", "back", F.when(F.col("back"), F.length("path") - half).otherwise(half).alias("half"), F.col("at").alias("pos"), F.lit(0).alias("edits"), "node", "below")
-    return saved(edges, "trie-edges"), states
-
-
-def _follows(rest: Column, c: Column) -> Column:
-    """Whether a word below the child can go on like ``rest``; a mask may say yes for another one."""
-    c1, c2 = F.ascii(F.substring(rest, 1, 1)), F.ascii(F.substring(rest, 2, 1))
-
-    def has(mask: str, bit: Column) -> Column:
-        return F.getbit(c[mask], bit % 64) == 1
-
-    inside = has("first_mask", c1) & has("second_mask", 31 * c1 + 7 * c2 + 131 * F.length(rest))
-    return F.when(rest == "", c["target"].isNotNull()).otherwise(inside)
+    paths = words.select(F.explode(F.array(F.concat(F.lit(FORWARD), "word"), F.concat(F.lit(BACK), F.reverse("word")))).alias("path"))
+    edges = saved(paths.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_edge_rows, EDGES), "trie-edges")
+    nodes = saved(edges.groupBy("node").agg(F.sum("below").alias("words")).select("node", _parts("words").alias("parts")), "trie-nodes")
+    below = nodes.select(F.col("node").alias("child"), "parts")
+    edges = edges.withColumn("child", F.concat("node", "label")).join(below, "child", "left")
+    edge = F.struct("label", "ends", F.coalesce("parts", F.lit(0)).alias("parts"), "first", "second", "sizes")
+    rows = edges.groupBy("node").agg(F.collect_list(edge).alias("children")).join(nodes, "node")
+    rows = rows.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "children")
+    states = paths.withColumn("node", F.substring("path", 1, START)).join(nodes, "node")
+    states = states.select("path", F.lit(START).alias("pos"), F.lit(0).alias("edits"), "node", "parts")
+    return saved(rows, "trie"), states
+
+
+def _has(mask: Column, bit: Column) -> Column:
+    return F.getbit(mask, F.pmod(bit, F.lit(64))) == 1
 
 
 def _moves(c: Column) -> Column:
-    """The states that an edge leads to, as an array of (pos, edits, edge)."""
+    """The states that an edge leads to, as an array of (pos, edits, edge); masks say whether a word below can go on like the rest."""
     rest, label = F.col("rest"), c["label"]
     size = F.length(label)
 
     def to(used: Column, edits: Column, allowed: Column) -> Column:
         after = F.substring(rest, used + 1, F.length(rest))
-        ok = allowed & ((edits == 0) | _follows(after, c))
-        return F.when(ok, F.struct((F.col("pos") + used).alias("pos"), edits.alias("edits"), c.alias("edge")))
+        c1, c2 = F.ascii(F.substring(after, 1, 1)), F.ascii(F.substring(after, 2, 1))
+        length = F.length("node") + size + F.length(after)
+        goes_on = _has(c["sizes"], length) & F.when(after == "", c["ends"]).otherwise(_has(c["first"], c1) & _has(c["second"], 31 * c1 + 7 * c2))
+        return F.when(allowed & ((edits == 0) | goes_on), F.struct((F.col("pos") + used).alias("pos"), edits.alias("edits"), c.alias("edge")))
 
     near = (F.col("edits") == 0) & (F.col("pos") + size >= F.col("half"))
     moves = [to(size, F.col("edits"), F.startswith(rest, label))]
@@ -149,23 +182,25 @@ def near_words(words: DataFrame) -> DataFrame:
     """
     edges, states = trie(words)
     found = None
+    size = F.length("path") - 1
+    half = F.when(F.startswith("path", F.lit(BACK)), size - F.floor(size / 2)).otherwise(F.floor(size / 2)) + 1
     while True:
-        placed = states.withColumn("salt", F.pmod(F.xxhash64("path"), _salts("below")).cast("int")).drop("below")
-        met = placed.join(edges, ["node", "salt"]).withColumn("rest", F.substring("path", F.col("pos") + 1, F.length("path")))
+        placed = states.withColumn("part", F.pmod(F.xxhash64("path"), "parts").cast("int")).drop("parts")
+        met = placed.join(edges, ["node", "part"]).withColumns({"rest": F.substring("path", F.col("pos") + 1, F.length("path")), "half": half})
         moves = F.filter(F.flatten(F.transform("children", _moves)), lambda m: m.isNotNull())
-        met = saved(met.select("path", "back", "half", F.explode(moves).alias("m")).select("path", "back", "half", "m.pos", "m.edits", "m.edge"), "frontier")
-        at_end = F.col("pos") == F.length("path")
-        turned = [F.when(F.col("back"), F.reverse(x)).otherwise(F.col(x)) for x in ("path", "edge.target")]
-        done = met.where((F.col("edits") == 1) & at_end & F.col("edge.target").isNotNull()).select(
-            turned[0].alias("word"), turned[1].alias("near"))
+        met = met.select("path", "node", F.explode(moves).alias("m")).select(
+            "path", "m.pos", "m.edits", F.concat("node", "m.edge.label").alias("node"), "m.edge.parts", "m.edge.ends")
+        ended = (F.col("edits") == 1) & (F.col("pos") == F.length("path"))
+        met = saved(met.where(F.when(ended, F.col("ends")).otherwise(F.col("parts") > 0)), "frontier")
+        done = met.where(ended).select(*[
+            F.when(F.startswith(x, F.lit(BACK)), F.reverse(F.substring(x, F.lit(2), F.length(x)))).otherwise(F.substring(x, F.lit(2), F.length(x))).alias(name)
+            for x, name in (("path", "word"), ("node", "near"))])
         found = done if found is None else found.unionByName(done)
-        goes_on = (F.col("edge.below") > F.col("edge.target").isNotNull().cast("int")) & ((F.col("edits") == 0) | ~at_end)
-        states = met.where(goes_on).select("path", "back", "half", "pos", "edits", F.col("edge.child").alias("node"), F.col("edge.below").alias("below"))
+        states = met.where(~ended).drop("ends")
         if states.isEmpty():
             break
-    # A pair can come from both walks. A node is a hash, so the pair is looked up once more.
-    found = found.where(F.levenshtein("word", "near", 1) == 1).distinct()
-    return found.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").select("word", "near", "near_n")
+    # A pair can come from both walks.
+    return found.distinct().join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").select("word", "near", "near_n")
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", factor: int = 10) -> DataFrame:
