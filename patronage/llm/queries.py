@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, manifest, mixing, near_copies, neighbours, packing, quality, repeats, spelling, token_files, toxicity, url_rules
+from . import html_text, manifest, mixing, near_copies, neighbours, ngram_join, packing, quality, repeats, spelling, token_files, toxicity, url_rules
 from .common import scratch_path, table
 from .tokens import public_file
 
@@ -59,6 +59,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path).drop("ids")
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_html_text, op2_url_filters, op3_near_copies, op4_repeated_strings, op5_nearest_vectors,
         op6_source_mix, op7_toxicity, op8_quality_rules, op9_packing, op10_token_files,
-        op12_spelling_variants, op13_merkle_manifest)
+        op11_ngram_jaccard, op12_spelling_variants, op13_merkle_manifest)
 }
 
 ORACLES = {
