@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import chain
 from os.path import commonprefix
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,7 +34,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FORWARD, BACK = ">", "<"  # in front of a path: the word, or the word reversed
 START = 4  # the mark and the three code points that a walk starts with; a word of 7 has at least 3 in its first half
 HOT = 4096  # words below a node whose states share one row of its edges
-EDGES = "node string, label string, below bigint, ends boolean, first bigint, second bigint, sizes bigint"
+KEPT = 128  # words below a node up to which its mask tells their ends apart
+MASK_BITS = 256
+ANY = "*"  # the step of a state that looks at all edges of its node
+EDGES = "node string, label string, below bigint, ends boolean, first bigint, sizes bigint, rests array<bigint>"
 
 
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 7, least: int = 2, drop: int = 31) -> DataFrame:
@@ -57,8 +61,8 @@ class _Node:
 
     def __init__(self, depth: int):
         self.depth, self.below, self.ends = depth, 0, False
-        self.firsts: set[str] = set()
-        self.second = self.sizes = 0
+        self.first = self.sizes = 0
+        self.paths: list[str] | None = []
 
     def add(self, path: str) -> None:
         self.below += 1
@@ -66,12 +70,27 @@ class _Node:
         if len(path) == self.depth:
             self.ends = True
         else:
-            self.firsts.add(path[self.depth])
-            self.second |= 1 << _pair(path[self.depth], path[self.depth + 1:self.depth + 2])
-
-
-def _pair(a: str, b: str) -> int:
-    return (31 * ord(a) + 7 * (ord(b) if b else 0)) % 64
+            self.first |= 1 << ord(path[self.depth]) % 64
+        if self.paths is not None:
+            self.paths.append(path)
+            if len(self.paths) > KEPT:
+                self.paths = None
+
+    def above(self, depth: int, last: str) -> _Node:
+        """The node of a branch on the way to this one."""
+        out = _Node(depth)
+        out.below, out.sizes, out.first = self.below, self.sizes, 1 << ord(last[depth]) % 64
+        out.paths = None if self.paths is None else list(self.paths)
+        return out
+
+    def rests(self) -> list[int]:
+        """A bit for what is left of each word behind this node; all bits where the words are too many to tell apart."""
+        if self.paths is None:
+            return [-1] * (MASK_BITS // 64)
+        mask = 0
+        for path in self.paths:
+            mask |= 1 << crc32(path[self.depth:].encode()) % MASK_BITS
+        return [_signed(mask >> i & (1 << 64) - 1) for i in range(0, MASK_BITS, 64)]
 
 
 def _signed(x: int) -> int:
@@ -84,22 +103,14 @@ def sorted_edges(paths: Iterator[str]) -> Iterator[tuple]:
     last = ""
 
     def closed(above: _Node, node: _Node) -> tuple:
-        first = 0
-        for c in node.firsts:
-            first |= 1 << ord(c) % 64
-        return last[:above.depth], last[above.depth:node.depth], node.below, node.ends, _signed(first), _signed(node.second), _signed(node.sizes)
+        return last[:above.depth], last[above.depth:node.depth], node.below, node.ends, _signed(node.first), _signed(node.sizes), node.rests()
 
     for path in chain(paths, [""]):
         common = len(commonprefix((last, path)))
         while len(open_nodes) > 1 and open_nodes[-1].depth > common:
             node = open_nodes.pop()
-            if open_nodes[-1].depth < common:  # a new branch on the edge to this node
-                branch = _Node(common)
-                branch.below, branch.sizes, branch.firsts = node.below, node.sizes, {last[common]}
-                after = {last[common + 1]} if node.depth > common + 1 else node.firsts | ({""} if node.ends else set())
-                for c in after:
-                    branch.second |= 1 << _pair(last[common], c)
-                open_nodes.append(branch)
+            if open_nodes[-1].depth < common:
+                open_nodes.append(node.above(common, last))
             yield closed(open_nodes[-1], node)
         if not path:
             return
@@ -112,7 +123,7 @@ def sorted_edges(paths: Iterator[str]) -> Iterator[tuple]:
 
 
 def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     names = [x.split()[0] for x in EDGES.split(", ")]
     rows = []
 
@@ -132,64 +143,59 @@ def _parts(below: str) -> Column:
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The edges by node, and the first state of every word in either direction.
+    """The edges, and the first state of every word in either direction.
 
-    ``node, part, children``: an edge has its label, whether a word ends there, the number of parts of its node's row (0 without
-    edges), and masks of what follows. A node with many words below has a copy of its row for each part of its states.
+    ``node, part, step, label, ends, parts, first, sizes, rests``: each edge stands under its first code point and under ``ANY``; ``ends`` tells whether a
+    word ends behind it, ``parts`` is the number of parts of the next node (0 without edges), masks tell what follows. The edges of a
+    node with many words below it are copied for each part of its states.
     """
     paths = words.select(F.explode(F.array(F.concat(F.lit(FORWARD), "word"), F.concat(F.lit(BACK), F.reverse("word")))).alias("path"))
     edges = saved(paths.repartitionByRange("path").sortWithinPartitions("path").mapInArrow(_edge_rows, EDGES), "trie-edges")
     nodes = saved(edges.groupBy("node").agg(F.sum("below").alias("words")).select("node", _parts("words").alias("parts")), "trie-nodes")
     below = nodes.select(F.col("node").alias("child"), "parts")
-    edges = edges.withColumn("child", F.concat("node", "label")).join(below, "child", "left")
-    edge = F.struct("label", "ends", F.coalesce("parts", F.lit(0)).alias("parts"), "first", "second", "sizes")
-    rows = edges.groupBy("node").agg(F.collect_list(edge).alias("children")).join(nodes, "node")
-    rows = rows.select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "children")
+    edges = edges.withColumn("child", F.concat("node", "label")).join(below, "child", "left").withColumn("parts", F.coalesce("parts", F.lit(0)))
+    edges = edges.join(nodes.withColumnRenamed("parts", "copies"), "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    edges = edges.withColumn("step", F.explode(F.array(F.substring("label", 1, 1), F.lit(ANY))))
     states = paths.withColumn("node", F.substring("path", 1, START)).join(nodes, "node")
     states = states.select("path", F.lit(START).alias("pos"), F.lit(0).alias("edits"), "node", "parts")
-    return saved(rows, "trie"), states
-
-
-def _has(mask: Column, bit: Column) -> Column:
-    return F.getbit(mask, F.pmod(bit, F.lit(64))) == 1
-
-
-def _moves(c: Column) -> Column:
-    """The states that an edge leads to, as an array of (pos, edits, edge); masks say whether a word below can go on like the rest."""
-    rest, label = F.col("rest"), c["label"]
-    size = F.length(label)
+    return saved(edges.select("node", "part", "step", "label", "ends", "parts", "first", "sizes", "rests"), "trie"), states
 
-    def to(used: Column, edits: Column, allowed: Column) -> Column:
-        after = F.substring(rest, used + 1, F.length(rest))
-        c1, c2 = F.ascii(F.substring(after, 1, 1)), F.ascii(F.substring(after, 2, 1))
-        length = F.length("node") + size + F.length(after)
-        goes_on = _has(c["sizes"], length) & F.when(after == "", c["ends"]).otherwise(_has(c["first"], c1) & _has(c["second"], 31 * c1 + 7 * c2))
-        return F.when(allowed & ((edits == 0) | goes_on), F.struct((F.col("pos") + used).alias("pos"), edits.alias("edits"), c.alias("edge")))
 
-    near = (F.col("edits") == 0) & (F.col("pos") + size >= F.col("half"))
-    moves = [to(size, F.col("edits"), F.startswith(rest, label))]
-    for used in (size - 1, size, size + 1):
-        one_edit = F.levenshtein(label, F.substring(rest, F.lit(1), used), 1) == 1
-        moves.append(to(used, F.lit(1), near & (used <= F.length(rest)) & one_edit))
-    return F.array(*moves)
+def _leads_on(after: Column) -> Column:
+    """Whether a word behind the edge may end in ``after``; the masks can only say yes too often."""
+    size = F.length("node") + F.length("label") + F.length(after)
+    rest = F.crc32(after.cast("binary")) % MASK_BITS
+    inside = (F.getbit("first", F.ascii(after) % 64) == 1) & (F.getbit(F.element_at("rests", (F.floor(rest / 64) + 1).cast("int")), (rest % 64).cast("int")) == 1)
+    return (F.getbit("sizes", size % 64) == 1) & F.when(after == "", F.col("ends")).otherwise(inside)
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """``word, near, near_n``: every pair of ``words`` (word, n) that one inserted, deleted or replaced code point tells apart, both ways.
 
-    A level is one join of the states with the edges on (node, part of the node's states), written to the shared folder; states at a
-    node are spread over the copies of its row, so a prefix of many words is not one task. Nothing is capped.
+    A level is one join of the states with the edges on (node, part of the node's states, step), written to the shared folder: a state asks for the edge
+    that goes on like its word, and one without an edit also for all edges. States at a node are spread over the copies of its
+    edges, so a prefix of many words is not one task. Nothing is capped.
     """
     edges, states = trie(words)
     found = None
     size = F.length("path") - 1
     half = F.when(F.startswith("path", F.lit(BACK)), size - F.floor(size / 2)).otherwise(F.floor(size / 2)) + 1
+    used = F.length("label") + F.col("shift")
+    after = F.substring("path", F.col("pos") + used + 1, F.length("path"))
+    part_of_rest = F.substring("path", F.col("pos") + 1, used)
+    same = (F.col("step") != ANY) & (part_of_rest == F.col("label")) & ((F.col("edits") == 0) | _leads_on(after))
+    near = ((F.col("step") == ANY) & (F.col("pos") + F.length("label") >= half) & (F.col("pos") + used <= F.length("path"))
+            & _leads_on(after) & (F.levenshtein("label", part_of_rest, 1) == 1))
     while True:
-        placed = states.withColumn("part", F.pmod(F.xxhash64("path"), "parts").cast("int")).drop("parts")
-        met = placed.join(edges, ["node", "part"]).withColumns({"rest": F.substring("path", F.col("pos") + 1, F.length("path")), "half": half})
-        moves = F.filter(F.flatten(F.transform("children", _moves)), lambda m: m.isNotNull())
-        met = met.select("path", "node", F.explode(moves).alias("m")).select(
-            "path", "m.pos", "m.edits", F.concat("node", "m.edge.label").alias("node"), "m.edge.parts", "m.edge.ends")
+        own = F.substring("path", F.col("pos") + 1, 1)
+        asked = states.withColumns({
+            "part": F.pmod(F.xxhash64("path"), "parts").cast("int"),
+            "step": F.explode(F.when(F.col("edits") == 0, F.array(own, F.lit(ANY))).otherwise(F.array(own)))}).drop("parts")
+        met = asked.where("step <> ''").join(edges, ["node", "part", "step"])
+        shifts = F.when(F.col("step") == ANY, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        met = met.withColumn("shift", F.explode(shifts)).where(same | near).select(
+            "path", (F.col("pos") + used).alias("pos"), F.when(F.col("step") == ANY, 1).otherwise(F.col("edits")).alias("edits"),
+            F.concat("node", "label").alias("node"), "parts", "ends")
         ended = (F.col("edits") == 1) & (F.col("pos") == F.length("path"))
         met = saved(met.where(F.when(ended, F.col("ends")).otherwise(F.col("parts") > 0)), "frontier")
         done = met.where(ended).select(*[

@@ -60,6 +60,7 @@ def corpus(rnd):
         for _ in range(6):
             near = edited(rnd, base, "abcé")
             words += [near] * rnd.randrange(1, 12) + [edited(rnd, near, "abcß")] * rnd.randrange(1, 4)
+    words += ["kettenwort"] * 500 + ["kettenwart"] * 40 + ["kettenwarx"] * 3  # a form of a form
     words += ["a" * n for n in range(7, 15) for _ in range(3)] + ["b" * 2000 + x + "c" * 2000 for x in ("", "b", "x", "xy") for _ in range(2)]
     rnd.shuffle(words)
     rows = [(rnd.choice([i, i, None]), " ".join(rnd.choice([w, w, w.upper(), w.title() + ","]) for w in words[i::60])) for i in range(60)]
