@@ -34,9 +34,11 @@ BLOCK = 256  # nodes of a list or family in one block
 LEAST = 8
 ROWS = 1 << 21  # list rows that a task combines at once
 ITEMS = "node binary, items binary"
-FOUND = "kind int, key bigint, node binary, other binary, small boolean"
+SLOTS = 1024  # of the parities that a pair is tried by before it is compared
+FOUND = "key bigint, handle bigint, other bigint"
 LISTED = "key bigint, node binary, n bigint, least array<bigint>"
-LIST, EDGE, SUBSET = 0, 1, 2
+# The three lowest bits of a key tell what a row is.
+LIST, EDGE, SUBSET, SMALL, KINDS = 0, 1, 2, 4, 7
 
 _P, _Q = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = np.arange(256, dtype="u1")
@@ -65,6 +67,11 @@ def node_of(items: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(items.tobytes())[:12]
 
 
+def handle_of(node: bytes) -> int:
+    """Eight bytes that stand for a set until it is compared."""
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
 def overlap(n: int, m: int) -> int:
     """Least number of common shingles of linked sets of n and m: 100 x >= 85 (n + m - x)."""
     return -(-PERCENT * (n + m) // (100 + PERCENT))
@@ -151,52 +158,53 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingles(_bytes(t)) for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([len(h) for h in found], pa.int64()), pa.array([node_of(h) if len(h) else None for h in found], pa.binary())],
-            ["doc_id", "mark", "n", "node"])
+            [batch.column(0), batch.column(1), pa.array([len(h) for h in found], pa.int64()),
+             pa.array(nodes := [node_of(h) if len(h) else None for h in found], pa.binary()), pa.array([x and handle_of(x) for x in nodes], pa.int64())],
+            ["doc_id", "mark", "n", "node", "handle"])
 
 
 def _found_rows(light: int):
     """The subsets of light sets and the lists of the others. Sets that meet in a task are tied there and one of them goes on."""
     first = -(-PERCENT * (light + 1) // 100)
 
-    def batch_of(kind, key, node, other, small) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(key), kind, "i4")), pa.array(key), pa.array(node, pa.binary()), pa.array(other, pa.binary()), pa.array(small, pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FOUND.split(", ")])
+    def batch_of(kind: int | np.ndarray, key: np.ndarray, handle: np.ndarray, other: np.ndarray | None = None) -> pa.RecordBatch:
+        other = pa.nulls(len(key), pa.int64()) if other is None else pa.array(other)
+        return pa.RecordBatch.from_arrays([pa.array(key & ~np.int64(KINDS) | kind), pa.array(handle), other], ["key", "handle", "other"])
 
-    def combined(nodes: list[bytes], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def combined(handles: list[int], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate(keys)
         owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         order = np.argsort(key, kind="stable")
         key, owner = key[order], owner[order]
         head = np.append(True, key[1:] != key[:-1])
         leader = owner[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        pairs = np.unique((leader * len(nodes) + owner)[leader != owner])
-        names = np.array(nodes, object)
-        yield batch_of(LIST, key[head], names[owner[head]], [None] * int(head.sum()), [None] * int(head.sum()))
-        a, b = pairs // len(nodes), pairs % len(nodes)
-        yield batch_of(EDGE, _mix(pairs.astype("u8")).view("i8"), names[a], names[b], [None] * len(pairs))
+        pairs = np.unique((leader * len(keys) + owner)[leader != owner])
+        names = np.array(handles, "i8")
+        yield batch_of(LIST, key[head], names[owner[head]])
+        yield batch_of(EDGE, _mix(pairs.astype("u8")).view("i8"), names[pairs // len(keys)], names[pairs % len(keys)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, nodes, keys, held = set(), [], [], 0
+            seen, handles, keys, held = set(), [], [], 0
             for text in batch.column(0):
                 items = shingles(_bytes(text))
                 node = node_of(items)
                 if not len(items) or node in seen:
                     continue
                 seen.add(node)
+                handle = handle_of(node)
                 if len(items) <= light:
                     key, small = subset_keys(items)
-                    yield batch_of(SUBSET, key, [node] * len(key), [None] * len(key), small)
+                    yield batch_of(SUBSET | np.where(small, SMALL, 0), key, np.full(len(key), handle))
                 if len(items) >= first:
-                    nodes.append(node)
+                    handles.append(handle)
                     keys.append(list_keys(items))
                     held += len(keys[-1])
                     if held >= ROWS:
-                        yield from combined(nodes, keys)
-                        nodes, keys, held = [], [], 0
-            if nodes:
-                yield from combined(nodes, keys)
+                        yield from combined(handles, keys)
+                        handles, keys, held = [], [], 0
+            if handles:
+                yield from combined(handles, keys)
 
     return run
 
@@ -216,6 +224,16 @@ def _listed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else []).cast(pa.int64()), batch.column(0).take(row), n.take(row), least.take(row)], ["key", "node", "n", "least"])
 
 
+def parities(items: np.ndarray) -> bytes:
+    """For each slot whether an odd number of items falls into it. Two sets have at least as many items apart as slots."""
+    return np.packbits((np.bincount((items % np.uint64(SLOTS)).astype("i8"), minlength=SLOTS) & 1).astype("u1")).tobytes()
+
+
+def _parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parities(np.frombuffer(x.as_buffer(), "u8")) for x in batch.column(1)], pa.binary())], ["node", "odd"])
+
+
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
     if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
         return False
@@ -281,16 +299,18 @@ def _compared(pairs: DataFrame, items: DataFrame, family: DataFrame) -> DataFram
 
 
 def _met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes and fitting sizes in a block of a list, or of two blocks of it.
+    """Pairs of different classes in a block of a list, or of two blocks of it, that their sizes and parities allow to be linked.
 
-    A pair that also shares a lesser list, as far as the least lists of both tell, is left to that one.
+    Linked sets have at most 3/37 of their items apart, so no link is lost. A pair that also shares a lesser list, as far as the least lists of
+    both tell, is left to that one.
     """
     for (key, one, two), rows in _runs(batches, 3):
         if len(rows) < 2:
             continue
-        node, kind, n, block, least = zip(*rows)
+        node, kind, n, block, least, odd = zip(*rows)
         numbers = {k: i for i, k in enumerate(set(kind))}
         kind, n, block = np.array([numbers[k] for k in kind]), np.array(n, "i8"), np.array(block)
+        odd = np.frombuffer(b"".join(odd), "u8").reshape(len(rows), -1)
         table = np.full((len(rows), LEAST), np.iinfo("i8").max)
         for i, x in enumerate(least):
             table[i, :len(x)] = x
@@ -300,26 +320,28 @@ def _met_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if one != two:
                 fits &= block[i + 1:] != block[i]
             at = np.flatnonzero(fits) + i + 1
+            if not len(at):
+                continue
+            at = at[37 * np.bitwise_count(odd[at] ^ odd[i]).sum(axis=1, dtype="i8") <= 3 * (n[at] + n[i])]
             lesser = table[i][table[i] < key]
             if len(at) and len(lesser):
                 at = at[~np.isin(table[at], lesser).any(axis=1)]
-            for j in at.tolist():
-                a.append(min(node[i], node[j]))
-                b.append(max(node[i], node[j]))
+            a += [min(node[i], node[j]) for j in at.tolist()]
+            b += [max(node[i], node[j]) for j in at.tolist()]
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def _still_apart(items: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of different classes that share a list; a list of many sets is dealt into blocks, and every two of them meet."""
-    listed = items.mapInArrow(_listed_rows, LISTED).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    listed = saved(listed, "listed")
+    listed = saved(items.mapInArrow(_listed_rows, LISTED).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "listed")
     kind = F.xxhash64("class")
     several = listed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(kind).alias("low"), F.max(kind).alias("high")).where("low != high")
     rest = listed.join(several.select("key", F.ceil(F.col("rows") / BLOCK).alias("blocks")), "key")
+    rest = rest.join(items.mapInArrow(_parity_rows, "node binary, odd binary"), "node")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     unit = ["key", "one", "two"]
-    rest = rest.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "class", "n", "block", "least")
+    rest = rest.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "class", "n", "block", "least", "odd")
     met = rest.repartition(*unit).sortWithinPartitions(*unit)
     return met.mapInArrow(_met_rows, "a binary, b binary").distinct()
 
@@ -328,20 +350,28 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def set_links(sets: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """``node, class``: connected sets of ``sets`` (doc_id, mark, n, node); ``texts`` has mark and text. None if there are no links."""
+def set_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, class``: connected sets of ``sets`` (doc_id, mark, n, node, handle); ``texts`` has mark and text."""
     few = sets.where(F.col("n").between(1, LARGEST_LIGHT)).select("n", "node").distinct().groupBy("n").count().collect()  # a row a size
     light = boundary({r["n"]: r["count"] for r in few})
     found = texts.select("text").mapInArrow(_found_rows(light), FOUND)
-    leader = F.min(F.when(F.col("kind") == LIST, F.col("node"))).over(Window.partitionBy("key"))
-    found = found.withColumn("other", F.coalesce("other", F.when(F.col("kind") == LIST, leader)))
-    found = saved(found.where((F.col("kind") == SUBSET) | (F.col("node") != F.col("other"))), "found")
-
-    subsets = found.where(F.col("kind") == SUBSET).select("key", "node", "small")
-    smallest = subsets.where("small").groupBy("key").agg(F.min("node").alias("leader"))
-    sure = subsets.join(smallest, "key").where("node != leader").select(*_ordered("node", "leader")).distinct()
-
-    pairs = saved(found.where(F.col("kind") != SUBSET).select(*_ordered("node", "other")).distinct(), "pairs")
+    kind = F.col("key").bitwiseAND(F.lit(EDGE | SUBSET))
+    found = found.withColumn("other", F.coalesce("other", F.when(kind == LIST, F.min("handle").over(Window.partitionBy("key")))))
+    found = saved(found.where((kind == SUBSET) | (F.col("handle") != F.col("other"))), "found")
+
+    # From handles to the sets they stand for.
+    met = found.where(kind != SUBSET).select(F.least("handle", "other").alias("a"), F.greatest("handle", "other").alias("b")).distinct()
+    subsets = found.where(kind == SUBSET).select(F.col("key").bitwiseAND(F.lit(~KINDS)).alias("key"), "handle", F.col("key").bitwiseAND(F.lit(SMALL)).alias("small"))
+    smallest = subsets.where("small > 0").groupBy("key").agg(F.min("handle").alias("leader"))
+    sure = subsets.join(smallest, "key").where("handle != leader").select(F.col("handle").alias("a"), F.col("leader").alias("b")).distinct()
+    known = sets.where("node is not null").select("handle", "node").distinct()
+
+    def of_handles(pairs: DataFrame) -> DataFrame:
+        for name in ("a", "b"):
+            pairs = pairs.join(known.select(F.col("handle").alias(name), F.col("node").alias(f"{name}_node")), name)
+        return pairs.select(*_ordered("a_node", "b_node"))
+
+    pairs, sure = saved(of_handles(met), "pairs"), of_handles(sure)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.col("a").alias("label")).groupBy("node").agg(F.min("label").alias("label"))
     nodes = saved(nodes, "families")
     marks = sets.join(nodes.select("node"), "node").groupBy("node").agg(F.min("mark").alias("mark"))
@@ -364,7 +394,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     texts = texts.withColumn("mark", F.unhex(F.md5("text")))
-    sets = saved(texts.select("doc_id", "mark", "text").mapInArrow(_set_rows, "doc_id bigint, mark binary, n bigint, node binary"), "sets")
+    sets = saved(texts.select("doc_id", "mark", "text").mapInArrow(_set_rows, "doc_id bigint, mark binary, n bigint, node binary, handle bigint"), "sets")
     classes = set_links(sets, texts.select("mark", "text"))
     ids = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")).join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     ids = saved(ids, "ids")
