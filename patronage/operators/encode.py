@@ -16,6 +16,7 @@ from .joins import history_with_offers
 # The six categorical and the continuous columns of the model frame.
 CATEGORICAL = ("chain", "offer", "market", "category", "company", "brand")
 CONTINUOUS = ("productsize", "purchasequantity", "purchaseamount", "offervalue")
+CODED = len(CATEGORICAL) + len(CONTINUOUS)  # columns of a coded row, see ``trees.coded``
 
 
 def model_frame(history: DataFrame, offers: DataFrame, sums: DataFrame) -> DataFrame:

@@ -8,13 +8,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -30,16 +24,19 @@ from .visits import time_ordered_split
 C_GRID = tuple(2.0 ** (-4 + 8 * i / 14) for i in range(15))
 
 
-def classifiers(seed: int = 42) -> dict[str, Estimator]:
+def classifiers() -> dict[str, Estimator]:
     return {
         "logistic": LogisticRegression(maxIter=50),
         "gaussian_nb": NaiveBayes(modelType="gaussian"),
         "svc": LinearSVC(maxIter=50),
-        "extra_trees": RandomForestClassifier(numTrees=50, seed=seed),
-        "boosting": GBTClassifier(maxIter=50, maxDepth=3, seed=seed),
     }
 
 
+def logistic(c: float, n: int, max_iter: int = 50) -> LogisticRegression:
+    """A strength ``c`` weighs the summed loss of ``n`` rows; regParam weighs the penalty against the mean loss."""
+    return LogisticRegression(maxIter=max_iter, standardization=False, regParam=1.0 / (c * max(1, n)))
+
+
 def encoded(train: DataFrame, *others: DataFrame) -> tuple[list[DataFrame], list[str]]:
     """Frames with a ``features`` vector from one encoder fitted on train, written once for the fits."""
     train = materialise(train, "frame")
@@ -63,14 +60,6 @@ def fit_and_score(estimator: Estimator, train: DataFrame, test: DataFrame) -> Da
     return scores(estimator.fit(train), test)
 
 
-def importances(model: Model, names: Sequence[str], spark: SparkSession) -> DataFrame:
-    """(feature, importance), most important first."""
-    values = model.featureImportances.toArray()
-    return spark.createDataFrame(
-        [(n, float(v)) for n, v in zip(names, values)], "feature string, importance double"
-    ).orderBy(F.desc("importance"), "feature")
-
-
 def coefficients(model: Model, names: Sequence[str], spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(n, float(v)) for n, v in zip(names, model.coefficients.toArray())], "feature string, weight double")
@@ -113,8 +102,7 @@ def grid_search_c(
     train, cv = split.where("part = 'train'"), split.where("part = 'cv'")
     n = train.count()
     estimator = LogisticRegression(maxIter=max_iter, standardization=False)
-    # A strength C weighs the summed loss; regParam weighs the penalty against the mean loss.
-    params = [{estimator.regParam: 1.0 / (c * n)} for c in grid]
+    params = [{estimator.regParam: logistic(c, n).getRegParam()} for c in grid]
     models = estimator.fitMultiple(train, params)
 
     def one(_) -> tuple[float, float]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters, encode, factors, features, joins
 from ..operators.aggregates import sums_by_category
+from ..operators.order_stats import join_on
 from ..session import materialise
 from ..sources.shop import CUTOFF, UNKNOWN_KEYS, Shop
 
@@ -46,14 +47,12 @@ def fitted_factor_rows(shop: Shop, history: DataFrame) -> DataFrame:
         shop.transactions.groupBy("id", *factors.ITEM_KEYS).agg(F.count(F.lit(1)).alias("n")), "counts")
     users, items = factors.user_numbers(counts), factors.item_numbers(counts)
     pairs = factors.value_cutoff(
-        counts.join(users, "id").join(items, list(factors.ITEM_KEYS))
+        join_on(join_on(counts, users, ["id"]), items, factors.ITEM_KEYS)
         .select("user_idx", "item_idx", factors.log_scale("n").alias("value")))
     model = factors.als_implicit(pairs)
-    offered = (
-        joins.history_with_offers_outer(history, shop.offers)
-        .join(users.withColumnRenamed("user_idx", "u_id"), "id", "left")
-        .join(items.withColumnRenamed("item_idx", "v_id"), list(factors.ITEM_KEYS), "left")
-    )
+    offered = joins.history_with_offers_outer(history, shop.offers)
+    offered = join_on(offered, users.withColumnRenamed("user_idx", "u_id"), ["id"], "left")
+    offered = join_on(offered, items.withColumnRenamed("item_idx", "v_id"), factors.ITEM_KEYS, "left")
     return factors.with_factors(
         offered, factors.factor_table(model.userFactors), factors.factor_table(model.itemFactors))
 

@@ -446,6 +446,9 @@ _q("src_history_test", "SELECT * FROM history_test")
 _q("sink_shard_by_customer", f"SELECT CAST({_digits('id')} % 100 AS INT) AS bucket, count(*) AS n_rows, "
    "count(DISTINCT id) AS n_customers FROM transactions GROUP BY 1")
 _q("sink_sparse_text", f"SELECT {_LINE} AS line FROM priced_features", _PRICED_FEATURES)
+_READ_BACK = {"d": "CAST(printf('%.6f', {0}) AS DOUBLE)", "i": "{0}", "s": "regexp_replace({0}, '[ :|]', '_', 'g')"}
+_q("src_sparse_lines", "SELECT id, CAST(label AS DOUBLE) AS label, "
+   + ", ".join(f"{_READ_BACK[k].format(n)} AS {n}" for n, k in _TEXT_FIELDS) + " FROM priced_features", _PRICED_FEATURES)
 _q("sink_routed", """
 SELECT CASE WHEN label = 0.5 THEN 'test' WHEN offer_date < DATE '2000-02-01' THEN 'train_early' ELSE 'train_late' END AS split,
        count(*) AS n_rows FROM feature_table GROUP BY 1""", _FEATURES)
@@ -719,18 +722,6 @@ _NUMBERED = {
     "ccb": _PAIR_COUNTS["ccb"],
     "users": f"SELECT id, CAST(dense_rank() OVER (ORDER BY id) AS INT) AS user_idx, {_log_scale('n')} AS value FROM ccb",
 }
-_q("sink_model", "SELECT DISTINCT id, user_idx, 10 AS n_factors FROM users WHERE value > 1.5", _NUMBERED)
-_q("als_implicit", "SELECT DISTINCT CAST(user_idx AS BIGINT) AS vec_id, 10 AS n_factors, TRUE AS finite FROM users WHERE value > 1.5", _NUMBERED)
-_q("als_explicit", "SELECT count(*) AS n_ratings, TRUE AS a_fifth, TRUE AS finite, TRUE AS near FROM (SELECT DISTINCT id, brand FROM reduced)")
-_q("kmeans_fit_assign", "SELECT id, TRUE AS in_range FROM history_base")
-_q("factor_job", "SELECT 'train' AS part, id, TRUE AS in_range, TRUE AS frac_in_range, FALSE AS rated FROM history_train "
-   "UNION ALL SELECT 'test', id, TRUE, TRUE, TRUE FROM history_test")
-_q("chi_pvalue", "SELECT DISTINCT feature, TRUE AS in_range, TRUE AS trips_decide FROM counts", {"counts": _counts(_CHI)})
-_q("auc_bootstrap", f"""
-SELECT CAST(1000 AS BIGINT) AS replicates, TRUE AS in_range, TRUE AS mean_near, TRUE AS spread,
-       {_r('sum(neg * before) / (CAST(sum(pos) AS DOUBLE) * sum(neg))', 'win_rate', 6)} FROM (
-  SELECT pos, neg, coalesce(sum(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM points)""",
-   {**_SCORED, **_roc("scored")})
 _CATEGORICAL = ("chain", "offer", "market", "category", "company", "brand")
 _CONTINUOUS = ("productsize", "purchasequantity", "purchaseamount", "offervalue")
 _SLOTS = {
@@ -749,18 +740,6 @@ _q("assemble", "SELECT f.id, CASE WHEN f.label <> 0.5 THEN f.label END AS label,
    {**_SLOTS, "limits": "SELECT " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in _CONTINUOUS) + " FROM frame WHERE label <> 0.5"})
 _q("interact_hash", "SELECT id, " + ", ".join(
     f"{_digits(_item(a, b))} AS {a}_x_{b}" for a, b in combinations(_CATEGORICAL, 2)) + " FROM frame", _FRAMES)
-_FEATURES_COUNT = " + ".join(f"count(DISTINCT {c})" for c in _CATEGORICAL) + f" + {len(_CONTINUOUS)}"
-for _k in ("logistic", "gaussian_nb", "svc", "extra_trees", "boosting"):
-    _q(f"ml_{_k}", "SELECT id, TRUE AS in_range, TRUE AS learned FROM history_test JOIN offers USING (offer)")
-_q("fit_predict_submit", "SELECT id, TRUE AS in_range FROM history_test")
-_q("ml_quantile_linear", "SELECT id, TRUE AS finite, TRUE AS beats_constant FROM priced_features WHERE label <> 0.5 AND offer_date >= DATE '2000-02-01'",
-   _PRICED_FEATURES)
-_q("cv_auc", "SELECT CAST(5 AS INT) AS loops, TRUE AS mean_in_range, TRUE AS sd_in_range")
-_q("grid_search_c", f"SELECT {_r('power(2, -4 + 8 * i / CAST(14 AS DOUBLE))', 'c', 6)}, TRUE AS in_range, TRUE AS best_is_largest, "
-   "CAST(1 AS BIGINT) AS n_best FROM range(15) t(i)")
-_q("feature_importances", f"SELECT {_FEATURES_COUNT} AS n_features, TRUE AS not_negative, TRUE AS sum_to_one FROM offered")
-_q("topk_features", f"SELECT side, least(100, n) AS n, least(100, n) AS n_features, TRUE AS below_the_top "
-   f"FROM (SELECT {_FEATURES_COUNT} AS n FROM offered), (VALUES ('top'), ('bottom')) t(side)")
 
 
 def oracle_sql() -> dict[str, str]:

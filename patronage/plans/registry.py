@@ -22,13 +22,15 @@ from ..operators import (
     features as X,
     joins as J,
     models as L,
+    online as Q,
     order_stats as O,
     prices as P,
     stats as S,
+    trees as T_,
     visits as W,
 )
 from ..session import materialise, scratch_path
-from ..sources import files, schemas, sinks
+from ..sources import files, schemas, sinks, sparse_lines
 from ..sources.shop import CUTOFF, Shop
 from . import jobs
 
@@ -192,6 +194,7 @@ def sink_labels(s):
 
 @query
 def sink_model(s):
+    """The factors of every customer, from a saved and loaded model."""
     path = scratch_path(s.spark, "factors")
     counts = materialise(s.transactions.groupBy("id", *M.ITEM_KEYS).agg(F.count(F.lit(1)).alias("n")), "counts")
     users, items = M.user_numbers(counts), M.item_numbers(counts)
@@ -199,7 +202,7 @@ def sink_model(s):
     sinks.save_factors(M.als_implicit(M.value_cutoff(pairs)), users, items, path)
     model, users, _ = sinks.load_factors(s.spark, path)
     found = users.join(M.factor_table(model.userFactors), F.col("user_idx") == F.col("vec_id"))
-    return found.select("id", "user_idx", F.size("features").alias("n_factors"))
+    return found.select("id", "user_idx", "features")
 
 
 # ---- scalar functions
@@ -670,11 +673,7 @@ def chi_square(s):
 
 @query
 def chi_pvalue(s):
-    """Both p-values are probabilities, and the trips, which decide the label, leave nothing to chance."""
-    p, q = F.col("p_value"), F.col("p_simulated")
-    return S.chi_pvalue(_offered(s)).select(
-        "feature", (p.between(0, 1) & q.between(0, 1)).alias("in_range"),
-        ((F.col("feature") != "repeattrips") | (F.greatest(p, q) < 0.001)).alias("trips_decide"))
+    return S.chi_pvalue(_offered(s))
 
 
 @query
@@ -729,13 +728,9 @@ def auroc(s):
 
 @query
 def auc_bootstrap(s):
-    """How the resampled areas stand to the exact one."""
+    """The area of every resample, and that of the rows themselves."""
     scored = materialise(_scored(s), "scored")
-    exact = V.win_rate(scored).scalar()
-    found = V.auc_bootstrap(scored).agg(
-        F.count(F.lit(1)).alias("replicates"), F.min(F.col("auc").between(0, 1)).alias("in_range"), F.avg("auc").alias("mean"), F.stddev("auc").alias("sd"))
-    near = F.abs(F.col("mean") - exact) <= 0.2 * F.col("sd")
-    return rounded(found.select("replicates", "in_range", near.alias("mean_near"), (F.col("sd") > 0).alias("spread"), exact.alias("win_rate")), ["win_rate"], 6)
+    return V.auc_bootstrap(scored).withColumn("win_rate", V.win_rate(scored).scalar())
 
 
 def _pairs(s):
@@ -822,66 +817,95 @@ def _encoded(s):
 
 def _model_query(name):
     def run(s):
-        """Scored test customers, and whether the fit ranks its own rows at least as well as chance."""
+        """Scored test customers."""
         (train, test), _ = _encoded(s)
-        model = L.classifiers()[name].fit(train)
-        own = L.scores(model, train).join(train.select("id", "label"), "id").select("score", F.col("label").cast("int").alias("actual"))
-        learned = (V.auroc(materialise(own, "own-scores")).first()["auroc"] or 0.0) >= 0.5
-        in_range = F.col("score").between(0, 1) if name != "svc" else F.abs("score") < float("inf")
-        return L.scores(model, test).select("id", in_range.alias("in_range"), F.lit(learned).alias("learned"))
+        return L.fit_and_score(L.classifiers()[name], train, test)
 
     return run
 
 
-for _name in ("logistic", "gaussian_nb", "svc", "extra_trees", "boosting"):
+for _name in ("logistic", "gaussian_nb", "svc"):
     _QUERIES[f"ml_{_name}"] = _model_query(_name)
 
 
 @query
-def cv_auc(s):
-    (train, _), _ = _encoded(s)
-    found = L.cv_auc(L.classifiers()["logistic"], train)
-    return found.select("loops", F.col("mean_auc").between(0, 1).alias("mean_in_range"), F.col("sd_auc").between(0, 0.5).alias("sd_in_range"))
+def ml_extra_trees(s):
+    train, test = (T_.coded(f) for f in jobs.model_frames(s))
+    return T_.forest_scores(T_.extra_trees(train, N.CODED), test, N.CODED)
+
+
+@query
+def ml_boosting(s):
+    train, test = (T_.coded(f) for f in jobs.model_frames(s))
+    return T_.boosted_scores(T_.boost(train, N.CODED), test)
 
 
 @query
 def grid_search_c(s):
     (train, _), _ = _encoded(s)
-    found = materialise(L.grid_search_c(train), "grid")
-    largest = found.agg(F.max("mean_auc")).scalar()
-    bests = found.agg(F.count(F.when(F.col("best"), 1))).scalar()
-    return rounded(found.select("c", F.col("mean_auc").between(0, 1).alias("in_range"),
-                                (~F.col("best") | (F.col("mean_auc") == largest)).alias("best_is_largest"), bests.alias("n_best")), ["c"], 6)
+    return L.grid_search_c(train)
 
 
 @query
-def ml_quantile_linear(s):
+def cv_auc(s):
+    """Eight loops with the strength that the grid found best."""
+    (train, _), _ = _encoded(s)
+    best = L.grid_search_c(train).where("best").first()["c"]
+    return L.cv_auc(L.logistic(best, train.count()), train, loops=8).withColumn("c", F.lit(best))
+
+
+def _examples(s):
+    """Hashed vectors of the exported lines, with the offer date."""
     table = materialise(jobs.priced_features(s), "features")
-    names = [f.name for f in table.schema
-             if f.name.startswith(("has_bought", "never_bought", "item_a", "item_p", "category_avg"))]
-    names += ["total_spend", "offer_value"]
-    train = table.where("label <> 0.5")
+    path = scratch_path(s.spark, "lines")
+    sinks.write_lines(sinks.sparse_lines(table), path)
+    vectors = sparse_lines.lines_as_vectors(sparse_lines.read_lines(s.spark, path))
+    return materialise(vectors.join(table.select("id", "offer_date"), "id"), "examples")
+
+
+@query
+def src_sparse_lines(s):
+    """Exported lines read back as typed columns."""
+    table = materialise(jobs.priced_features(s), "features")
+    path = scratch_path(s.spark, "lines")
+    sinks.write_lines(sinks.sparse_lines(table), path)
+    fields = [f for f in table.schema if f.name not in ("id", "label", *sinks.NOT_EXPORTED)]
+    back = sparse_lines.lines_as_table(sparse_lines.read_lines(s.spark, path), T.StructType(fields))
+    return back.select("id", "label", *[f.name for f in fields])
+
+
+@query
+def ml_quantile_linear(s):
+    """The online learner on early offers, scored on the late ones."""
+    rows = _examples(s).where("label <> 0.5")
     early = C.is_early("offer_date", CUTOFF)
-    scored, losses = L.quantile_linear(train.where(early), train.where(~early), names)
-    return scored.select("id", (F.abs("score") < float("inf")).alias("finite"),
-                         F.lit(losses["loss"] <= losses["constant_loss"]).alias("beats_constant"))
+    model, _ = Q.fit(rows.where(early))
+    late = rows.where(~early)
+    return Q.predict(model, late).join(late.select("id", "label"), "id")
+
+
+@query
+def quantile_submission(s):
+    """The online learner on all train rows, scored on the test rows and read back from the submission."""
+    rows = _examples(s)
+    model, _ = Q.fit(rows.where("label <> 0.5"))
+    path = scratch_path(s.spark, "submission")
+    sinks.write_csv(sinks.submission(Q.predict(model, rows.where("label = 0.5"))), path)
+    return files.read_csv(s.spark, path, T.StructType.fromDDL("id long, repeatProbability double"))
 
 
 @query
 def feature_importances(s):
-    (train, _), names = _encoded(s)
-    part = W.time_ordered_split(train).where("part = 'train'")
-    found = L.importances(L.classifiers()["extra_trees"].fit(part), names, s.spark)
-    return found.agg(F.count(F.lit(1)).alias("n_features"), (F.min("importance") >= 0).alias("not_negative"),
-                     (F.abs(F.sum("importance") - 1) < 1e-6).alias("sum_to_one"))
+    train, _ = jobs.model_frames(s)
+    part = T_.coded(W.time_ordered_split(train).where("part = 'train'"))
+    found = T_.column_importances(T_.extra_trees(part, N.CODED), [*N.CATEGORICAL, *N.CONTINUOUS])
+    return s.spark.createDataFrame(list(found.items()), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 @query
 def topk_features(s):
     (train, _), names = _encoded(s)
-    rows = materialise(L.extreme_weights(L.coefficients(L.classifiers()["logistic"].fit(train), names, s.spark)), "weights")
-    lowest = rows.where("side = 'top'").agg(F.max("weight")).scalar()
-    return rows.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("feature").alias("n_features"), F.max(F.col("weight") <= lowest).alias("below_the_top"))
+    return L.extreme_weights(L.coefficients(L.classifiers()["logistic"].fit(train), names, s.spark))
 
 
 @query
@@ -890,8 +914,7 @@ def fit_predict_submit(s):
     scored = L.fit_and_score(L.classifiers()["logistic"], train, test)
     path = scratch_path(s.spark, "submission")
     sinks.write_csv(J.scores_or_zero(s.history_test, scored).orderBy("id"), path)
-    back = files.read_csv(s.spark, path, T.StructType.fromDDL("id long, repeatProbability double"))
-    return back.select("id", F.col("repeatProbability").between(0, 1).alias("in_range"))
+    return files.read_csv(s.spark, path, T.StructType.fromDDL("id long, repeatProbability double"))
 
 
 # ---- factorization and clusters
@@ -899,20 +922,15 @@ def fit_predict_submit(s):
 @query
 def als_implicit(s):
     model = M.als_implicit(M.value_cutoff(M.pair_counts(s.transactions)))
-    finite = F.forall("features", lambda x: F.abs(x) < float("inf"))
-    return M.factor_table(model.userFactors).select("vec_id", F.size("features").alias("n_factors"), finite.alias("finite"))
+    return M.factor_table(model.userFactors).select("vec_id", "features")
 
 
 @query
 def als_explicit(s):
-    """All ratings, whether the held-out share is about a fifth, and whether all predictions are numbers near the ratings."""
+    """Held-out ratings next to their predictions."""
     quantities = s.reduced.groupBy("id", "brand").agg(F.avg("purchasequantity").alias("rating"))
-    ratings = materialise(M.numbered(quantities, ["brand"]).select("user_idx", "item_idx", "rating"), "ratings")
-    n = ratings.agg(F.count(F.lit(1)), F.stddev("rating")).first()
-    error = F.sqrt(F.avg((F.col("rating") - F.col("prediction")) ** 2))
-    return M.als_explicit(ratings).agg(
-        F.lit(n[0]).alias("n_ratings"), (F.count(F.lit(1)) / n[0]).between(0.15, 0.25).alias("a_fifth"),
-        F.min(F.abs("prediction") < float("inf")).alias("finite"), (error < 2 * n[1]).alias("near"))
+    ratings = M.numbered(quantities, ["brand"]).select("user_idx", "item_idx", "rating")
+    return M.als_explicit(ratings)
 
 
 def _mf(s):
@@ -944,15 +962,13 @@ def mf_score_train(s):
 
 @query
 def kmeans_fit_assign(s):
-    return K.fit_assign(M.products(jobs.fitted_factor_rows(s, s.history_base))).select("id", F.col("cluster").between(0, 74).alias("in_range"))
+    return K.fit_assign(M.products(jobs.fitted_factor_rows(s, s.history_base)))
 
 
 @query
 def factor_job(s):
     """The whole job: factorize, cluster, calibrate, rate; one row per customer, a probability for test rows only."""
-    rows = jobs.cluster_job(s)
-    return rows.select("part", "id", F.col("cluster").between(0, 74).alias("in_range"), F.col("frac_repeater").between(0, 1).alias("frac_in_range"),
-                       F.col("repeatProbability").isNotNull().alias("rated"))
+    return jobs.cluster_job(s)
 
 
 @query

@@ -16,6 +16,7 @@ RUNTIME_CONF = {
 
 
 BYTES_PER_PARTITION = 64 * 1024 ** 2  # of Parquet, which grows a few times in a shuffle
+PER_CORE = 3  # least number of partitions: among few of them none stands out as skewed
 
 
 def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
@@ -25,7 +26,7 @@ def configure(spark: SparkSession, input_bytes: int | None = None) -> SparkSessi
     """
     conf = dict(RUNTIME_CONF)
     if input_bytes is not None:
-        wanted = max(-(-input_bytes // BYTES_PER_PARTITION), spark.sparkContext.defaultParallelism)
+        wanted = max(-(-input_bytes // BYTES_PER_PARTITION), PER_CORE * spark.sparkContext.defaultParallelism)
         conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(wanted)
     for key, value in conf.items():
         if spark.conf.get(key, None) != value:

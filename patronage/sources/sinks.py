@@ -38,7 +38,10 @@ def feature_text(name: str, dtype: T.DataType) -> Column:
     return F.when(column.isNotNull(), F.concat(F.lit(f"{name}:"), value))
 
 
-def sparse_lines(features: DataFrame, ignore: Sequence[str] = ("item_id", "offer_item_id", "offer_date")) -> DataFrame:
+NOT_EXPORTED = ("item_id", "offer_item_id", "offer_date")
+
+
+def sparse_lines(features: DataFrame, ignore: Sequence[str] = NOT_EXPORTED) -> DataFrame:
     """(id, line): ``label 'id |f name:value ...`` with features in name order."""
     skip = {"label", "id", *ignore}
     fields = sorted((f for f in features.schema if f.name not in skip), key=lambda f: f.name)

@@ -112,6 +112,6 @@ def test_partitions_follow_the_input_size(spark):
         configure(spark, 100 * 1024 ** 4)
         assert spark.conf.get(key) == "1638400"
         configure(spark, 1)
-        assert spark.conf.get(key) == str(spark.sparkContext.defaultParallelism)
+        assert spark.conf.get(key) == str(3 * spark.sparkContext.defaultParallelism)
     finally:
         spark.conf.unset(key)

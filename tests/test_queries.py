@@ -29,8 +29,15 @@ def test_matches_sql(spark, con, name):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+# SQL cannot repeat a fit or a draw; their numbers are held against plain versions in test_models.py and test_learners.py.
+FITTED = {
+    "ml_logistic", "ml_gaussian_nb", "ml_svc", "ml_extra_trees", "ml_boosting", "ml_quantile_linear", "quantile_submission", "cv_auc", "grid_search_c",
+    "feature_importances", "topk_features", "fit_predict_submit", "als_implicit", "als_explicit", "kmeans_fit_assign", "factor_job", "sink_model",
+    "chi_pvalue", "auc_bootstrap"}
+
+
+def test_every_other_query_has_sql():
+    assert set(QUERIES) - FITTED == set(SQL)
 
 
 def test_entry(spark):

@@ -136,6 +136,7 @@ def test_hot_customer_is_split_in_the_join(spark, shop):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "32",
     }
     old = {k: spark.conf.get(k, None) for k in keys}
     try:
