@@ -161,12 +161,14 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     return saved(edges.select("node", "part", "step", "label", "ends", "parts", "first", "sizes", "rests"), "trie"), states
 
 
-def _leads_on(after: Column) -> Column:
-    """Whether a word behind the edge may end in ``after``; the masks can only say yes too often."""
-    size = F.length("node") + F.length("label") + F.length(after)
-    rest = F.crc32(after.cast("binary")) % MASK_BITS
-    inside = (F.getbit("first", F.ascii(after) % 64) == 1) & (F.getbit(F.element_at("rests", (F.floor(rest / 64) + 1).cast("int")), (rest % 64).cast("int")) == 1)
-    return (F.getbit("sizes", size % 64) == 1) & F.when(after == "", F.col("ends")).otherwise(inside)
+def _leads_on(used: Column) -> Column:
+    """Whether a word behind the edge may end like the path behind ``used`` of its code points; the masks can only say yes too often."""
+    begin, left = F.col("pos") + used + 1, F.length("path") - F.col("pos") - used
+    size = F.length("node") + F.length("label") + left
+    rest = F.crc32(F.substring("path", begin, left).cast("binary")) % MASK_BITS
+    inside = F.getbit("first", F.ascii(F.substring("path", begin, F.lit(1))) % 64) == 1
+    inside = inside & (F.getbit(F.element_at("rests", (F.floor(rest / 64) + 1).cast("int")), (rest % 64).cast("int")) == 1)
+    return (F.getbit("sizes", size % 64) == 1) & F.when(left == 0, F.col("ends")).otherwise(inside)
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -180,22 +182,30 @@ def near_words(words: DataFrame) -> DataFrame:
     found = None
     size = F.length("path") - 1
     half = F.when(F.startswith("path", F.lit(BACK)), size - F.floor(size / 2)).otherwise(F.floor(size / 2)) + 1
-    used = F.length("label") + F.col("shift")
-    after = F.substring("path", F.col("pos") + used + 1, F.length("path"))
-    part_of_rest = F.substring("path", F.col("pos") + 1, used)
-    same = (F.col("step") != ANY) & (part_of_rest == F.col("label")) & ((F.col("edits") == 0) | _leads_on(after))
-    near = ((F.col("step") == ANY) & (F.col("pos") + F.length("label") >= half) & (F.col("pos") + used <= F.length("path"))
-            & _leads_on(after) & (F.levenshtein("label", part_of_rest, 1) == 1))
+    label = F.length("label")
+
+    def begins(used: Column) -> Column:
+        return F.substring("path", F.col("pos") + 1, used)
+
+    def near(shift: int) -> Column:
+        """An edge at one edit from what follows in the word, which has ``shift`` more code points there."""
+        used = label + shift
+        return (F.col("pos") + used <= F.length("path")) & _leads_on(used) & (F.levenshtein("label", begins(used), 1) == 1)
+
+    same = (begins(label) == F.col("label")) & ((F.col("edits") == 0) | _leads_on(label))
+    # Which of the shifts -1, 0 and 1 an edge allows, as a number; rows with none go before the others are multiplied.
+    edited = sum(F.when(near(shift), 1 << i).otherwise(0) for i, shift in enumerate((-1, 0, 1)))
+    allowed = F.when(F.col("step") != ANY, F.when(same, 2).otherwise(0)).when(F.col("pos") + label >= half, edited).otherwise(0)
+    choices = F.array(*[F.array(*[F.lit(shift) for i, shift in enumerate((-1, 0, 1)) if m >> i & 1]) for m in range(1, 8)])
     while True:
         own = F.substring("path", F.col("pos") + 1, 1)
         asked = states.withColumns({
             "part": F.pmod(F.xxhash64("path"), "parts").cast("int"),
             "step": F.explode(F.when(F.col("edits") == 0, F.array(own, F.lit(ANY))).otherwise(F.array(own)))}).drop("parts")
         met = asked.where("step <> ''").join(edges, ["node", "part", "step"])
-        shifts = F.when(F.col("step") == ANY, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        met = met.withColumn("shift", F.explode(shifts)).where(same | near).select(
-            "path", (F.col("pos") + used).alias("pos"), F.when(F.col("step") == ANY, 1).otherwise(F.col("edits")).alias("edits"),
-            F.concat("node", "label").alias("node"), "parts", "ends")
+        met = met.select("path", "pos", F.when(F.col("step") == ANY, 1).otherwise(F.col("edits")).alias("edits"), "node", "label", "parts", "ends", allowed.alias("allowed"))
+        met = met.where("allowed > 0").withColumn("shift", F.explode(F.element_at(choices, F.col("allowed"))))
+        met = met.select("path", (F.col("pos") + label + F.col("shift")).alias("pos"), "edits", F.concat("node", "label").alias("node"), "parts", "ends")
         ended = (F.col("edits") == 1) & (F.col("pos") == F.length("path"))
         met = saved(met.where(F.when(ended, F.col("ends")).otherwise(F.col("parts") > 0)), "frontier")
         done = met.where(ended).select(*[
