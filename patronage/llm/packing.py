@@ -29,7 +29,7 @@ def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
         enc, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         small, end = enc.vocabulary <= 1 << 16, END.to_bytes(4, "little")
         for batch in batches:
-            ids = [enc.encode(t) + end for t in batch.column(1).to_pylist()]
+            ids = [x + end for x in enc.encode_many(batch.column(1))]
             n = np.fromiter((len(x) // 4 for x in ids), "i8", len(ids))
             if small:
                 ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]

@@ -94,8 +94,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK_TYPES)], schema=_BLOCK_TYPES)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(enc.encode(text) + end)
+            for doc, found in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1))):
+                ids.append(found + end)
                 doc_ids.append(doc)
                 lengths.append(len(ids[-1]) // 4)
                 n += lengths[-1]

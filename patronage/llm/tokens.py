@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # The split pattern and the byte alphabet of byte-level tokenizer files.
@@ -19,9 +22,21 @@ _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _ALPHABET = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s | \s|\A\s|\s\Z")
+_OTHER_SPACE = re.compile(r"[^\S ]")
 _PLAIN = re.compile(r"[\n\t\r !-~¡-ɏ]+")  # where every pattern library agrees on the classes
 _LONGEST_CACHED = 48
+_CHUNK = 8 << 20  # characters whose words are looked up together
+
+
+def _ids(values: list[int]) -> bytes:
+    return struct.pack(f"<{len(values)}I", *values)
+
+
+def _odd_spaces(text: str) -> bool:
+    """Whether a space stands beside another white space or at an end of the text."""
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return True
+    return any(f" {c}" in text or f"{c} " in text for c in set(_OTHER_SPACE.findall(text)))
 
 
 class Encoder:
@@ -54,7 +69,7 @@ class Encoder:
             return b""
         if not self.by_word:
             return self._whole(text)
-        parts = _BETWEEN.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        parts = _BETWEEN.split(text) if _odd_spaces(text) else text.split(" ")
         ids = list(map(self.spaced.get, parts))
         ids[0] = self._chunk(parts[0])
         if None in ids:
@@ -63,11 +78,55 @@ class Encoder:
                     ids[i] = self._after_space(parts[i])
         return b"".join(ids)
 
+    def encode_many(self, texts: pa.StringArray) -> list[bytes]:
+        """``encode`` of each text. Words of a chunk of texts are looked up once and their ids taken by number."""
+        out = [b""] * len(texts)
+        even, held = [], 0
+        for i, text in enumerate(texts.to_pylist()):
+            if text and self.by_word and not _odd_spaces(text):
+                even.append(i)
+                held += len(text)
+                if held >= _CHUNK:
+                    self._encode_even(texts, even, out)
+                    even, held = [], 0
+            elif text:
+                out[i] = self.encode(text)
+        if even:
+            self._encode_even(texts, even, out)
+        return out
+
+    def _encode_even(self, texts: pa.StringArray, rows: list[int], out: list[bytes]) -> None:
+        """Texts whose spaces all stand alone between other characters: each space begins a part."""
+        parts = pc.split_pattern(texts.take(pa.array(rows)), pattern=" ")
+        offsets = parts.offsets.to_numpy()
+        numbered = parts.flatten().dictionary_encode()
+        words, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype("i8")
+        first = offsets[:-1] - offsets[0]
+        known = list(map(self.spaced.get, words))
+        for k, ids in enumerate(known):
+            if ids is None:
+                known[k] = self._after_space(words[k])
+        known += [self._chunk(words[k]) for k in number[first].tolist()]
+        number[first] = len(words) + np.arange(len(first))
+        size = np.fromiter(map(len, known), "i8", len(known)) // 4
+        start = np.cumsum(size) - size
+        length = size[number]
+        end = np.cumsum(length)
+        flat = np.frombuffer(b"".join(known), "<u4")
+        ids = flat[np.repeat(start[number] - end + length, length) + np.arange(int(end[-1]))].tobytes()
+        stop = end[np.append(first[1:], len(number)) - 1]
+        low = 0
+        for row, high in zip(rows, stop.tolist()):
+            out[row] = ids[4 * low:4 * high]
+            low = high
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _after_space(self, part: str) -> bytes:
-        ids = self.spaced.get(part) or self.older.get(part) or self._chunk(" " + part)
+        ids = self.spaced.get(part) or self.older.get(part)
+        if ids is None:  # letters alone are one word
+            ids = self._pieces("Ġ" + part) if part.isascii() and part.isalpha() else self._chunk(" " + part)
         if len(part) <= _LONGEST_CACHED:
             if len(self.spaced) >= self.half:
                 self.older, self.spaced = self.spaced, {}
@@ -79,9 +138,11 @@ class Encoder:
             return self._whole(chunk)
         return b"".join([self.words.get(p) or self._word(p) for p in SPLIT.findall(chunk)])
 
+    def _pieces(self, word: str) -> bytes:
+        return _ids([p.id for p in self.model.tokenize(word)])
+
     def _word(self, word: str) -> bytes:
-        pieces = self.model.tokenize(word.encode().decode("latin-1").translate(_ALPHABET))
-        ids = b"".join([p.id.to_bytes(4, "little") for p in pieces])
+        ids = self._pieces(word.encode().decode("latin-1").translate(_ALPHABET))
         if len(word) <= _LONGEST_CACHED:
             if len(self.words) >= self.half // 2:
                 self.words.clear()
