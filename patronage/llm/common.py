@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,19 @@ def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: Iterable[str], *wanted: str) -> list[str]:
+    """``wanted``, each lengthened until no column has its name (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(column) -> F.Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-__all__ = ["SPACES", "WORD", "materialise", "saved", "scratch_path", "table", "text_or_empty"]
+__all__ = ["SPACES", "WORD", "free_names", "materialise", "saved", "scratch_path", "table", "text_or_empty"]

@@ -81,7 +81,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     The words of a source are dealt into shards by a seeded hash and, in a shard, put in a seeded order of documents
     and cut into blocks of ``block_words``. Sources get blocks by highest quotients, shards get their source's blocks in the
     same way. A shard gives all of its blocks as often as its quota allows (``passes``) and then its first
-    blocks, so that few documents are cut; of a document, the words [from_word, to_word) are taken once more.
+    blocks, so that few documents are cut; of a document, the words [from_word, to_word) are taken once more. No document gives more
+    than ``most`` times its words, and where that is no whole number the last pass takes that fraction of each.
 
     Only ids, sources and sizes are shuffled. There are at most ``SHARDS`` shards and one for each source more. Null and empty
     texts have no words and are never taken; null sources are one source, the last. Repeated rows count each
@@ -109,7 +110,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
 
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"))
     shards = shards.alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.*", "g.source_size", "g.target", "g.blocks")
-    shards = shards.withColumn("offered", (F.floor(F.lit(most)) * F.ceil(F.col("shard_size") / block_words)).cast("bigint"))
+    # A shard offers its whole passes, and of one more the fraction that ``most`` leaves.
+    whole_passes, fraction = int(most // 1), float(most % 1)
+    shards = shards.withColumn("offered", (whole_passes * F.ceil(F.col("shard_size") / block_words) + F.ceil(F.col("shard_size") * fraction / block_words)).cast("bigint"))
     shards = apportion(shards, ["source"], "blocks", "shard_size", "offered", "quota", [F.col("shard")])
     whole = F.greatest(F.ceil(F.col("shard_size") / block_words), F.lit(1))
     shards = shards.select(
@@ -117,7 +120,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
         (F.pmod(F.col("quota"), whole) * block_words).cast("bigint").alias("until"))
 
     out = dealt.alias("d").join(shards.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.shard") == F.col("s.shard")))
-    more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("until") - F.col("start"))).cast("bigint")
+    last = F.when(F.col("passes") >= whole_passes, F.lit(fraction)).otherwise(F.lit(1.0))  # of a document's words in its last pass
+    more = F.greatest(F.lit(0), F.least(F.floor(F.col("size") * last), F.col("until") - F.floor(F.col("start") * last))).cast("bigint")
     out = out.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "s.passes", "s.until", "d.start", "d.dealt")
     return out.select(
         "doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + more).alias("taken"),
@@ -134,21 +138,20 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     names = docs.columns
     plan = mix(docs, weights, share, most, seed, id_col=id_col, text_col=text_col, source_col=source_col).where("taken > 0")
     null_id = F.lit(-1 << 63)
-    copy = Window.partitionBy("_doc", "_dealt")
-    plan = plan.select(F.coalesce("doc_id", null_id).alias("_doc"), F.col("dealt").alias("_dealt"), "passes", "to_word")
-    plan = plan.withColumn("_nth", F.row_number().over(copy.orderBy("passes", "to_word")))
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("bigint"), null_id), "_dealt": _dealt(seed, id_col, text_col, source_col)})
-    keyed = keyed.withColumn("_nth", F.row_number().over(copy.orderBy("_dealt")))
-    a, b = keyed.alias("a"), plan.alias("b")
-    same = (F.col("a._doc") == F.col("b._doc")) & (F.col("a._dealt") == F.col("b._dealt")) & (F.col("a._nth") - F.col("b._nth") == 0)
-    taken = a.join(b, same).select("a.*", "b.passes", "b.to_word")
-    taken = taken.withColumn("_until", F.explode(F.concat(
-        F.array_repeat(F.lit(None).cast("bigint"), F.col("passes").cast("int")), F.when(F.col("to_word") > 0, F.array("to_word")).otherwise(F.array().cast("array<bigint>")))))
+    copy = Window.partitionBy("doc", "dealt")
+    plan = plan.select(F.coalesce("doc_id", null_id).alias("doc"), "dealt", "passes", "to_word").withColumn("nth", F.row_number().over(copy.orderBy("passes", "to_word")))
+    # The columns of the input go along as one, so their names meet none of these.
+    keyed = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col(id_col).cast("bigint"), null_id).alias("doc"), _dealt(seed, id_col, text_col, source_col).alias("dealt"))
+    keyed = keyed.withColumn("nth", F.row_number().over(copy.orderBy("dealt")))
+    copies = F.array_repeat(F.lit(None).cast("bigint"), F.col("passes").cast("int"))
+    shorter = F.when(F.col("to_word") > 0, F.array("to_word")).otherwise(F.array().cast("array<bigint>"))
+    taken = keyed.join(plan, ["doc", "dealt", "nth"]).select("row", F.explode(F.concat(copies, shorter)).alias("until"))
     # Split at each word's end, the first parts are the first words with what stands between them.
-    parts = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    part = F.array_join(F.slice(parts, 1, F.greatest(F.col("_until"), F.lit(1)).cast("int")), "")
-    taken = taken.withColumn("_cut", F.when(F.col("_until").isNull(), F.col(text_col)).otherwise(part))
-    changed = {text_col: F.col("_cut").cast(docs.schema[text_col].dataType)}
+    text = F.col("row")[text_col]
+    parts = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    part = F.array_join(F.slice(parts, 1, F.greatest(F.col("until"), F.lit(1)).cast("int")), "")
+    taken = taken.withColumn("cut", F.when(F.col("until").isNull(), text).otherwise(part))
+    changed = {text_col: F.col("cut")}
     if chars_col in names:
-        changed[chars_col] = F.when(F.col("_until").isNull(), F.col(chars_col)).otherwise(F.length("_cut")).cast(docs.schema[chars_col].dataType)
-    return taken.withColumns(changed).select(*names)
+        changed[chars_col] = F.when(F.col("until").isNull(), F.col("row")[chars_col]).otherwise(F.length("cut"))
+    return taken.select(*[changed.get(f.name, F.col("row")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema])

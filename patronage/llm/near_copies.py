@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free_names, saved
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -384,11 +384,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class with all its columns: the one with the least id. Documents with a null text stay."""
+    """One document of each class with all its columns: the one with the least id.
+
+    Documents with a null text all stay; empty texts are one class, as equal texts are. Of repeated rows one stays. Long texts are taken whole, and
+    a table without rows stays empty. Any other columns go along, whatever their names.
+    """
     names = docs.columns
+    key, kept_id, kept_key = free_names(names, "text_key", "kept_id", "kept_key")
     found = near_copies(docs, id_col, text_col)
-    kept = found.where("kept and node is not null").select(F.col("doc_id").alias("_doc"), F.col("node").alias("_node")).distinct()
-    keyed = docs.withColumn("_node", F.unhex(F.md5(F.col(text_col))))
-    same = keyed["_node"].eqNullSafe(kept["_node"]) & keyed[id_col].cast("bigint").eqNullSafe(kept["_doc"])
-    whole = keyed.where(F.col("_node").isNotNull()).join(kept, same, "left_semi").dropDuplicates([id_col, "_node"])
-    return whole.unionByName(keyed.where(F.col("_node").isNull())).select(*names)
+    kept = found.where("kept and node is not null").select(F.col("doc_id").alias(kept_id), F.col("node").alias(kept_key)).distinct()
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.col(text_col).cast("string"))))
+    same = F.col(key).eqNullSafe(F.col(kept_key)) & F.col(id_col).cast("bigint").eqNullSafe(F.col(kept_id))
+    whole = keyed.where(F.col(key).isNotNull()).join(kept, same, "left_semi").dropDuplicates([id_col, key])
+    return whole.unionByName(keyed.where(F.col(key).isNull())).select(*names)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, text_or_empty
+from .common import free_names, saved, text_or_empty
 
 GRAM = 16
 SEGMENT_BITS = 20  # windows of a long text are taken in segments of this many bits
@@ -35,7 +35,7 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 ANCHORS = "h bigint, ctx bigint, doc bigint, mark bigint, first bigint, last bigint, pos bigint"
 CONTEXTS = "h bigint, ctx bigint, n bigint, k bigint, doc bigint, mark bigint, first bigint, pos bigint, low bigint, high bigint, bytes binary"
 SPANS = "doc bigint, mark bigint, first bigint, until bigint"
-DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+REMOVED = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string"
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -304,10 +304,12 @@ def _left(raw: memoryview, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    lists = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "until")).alias("_spans"))
-    lists = lists.withColumnsRenamed({"doc": "_doc", "mark": "_mark"})
-    keyed = docs.withColumns({"_doc": _row_key(id_col), "_mark": F.xxhash64(text_or_empty(F.col(text_col)))})
-    return keyed.join(lists, ["_doc", "_mark"], "left").drop("_doc", "_mark")
+    """``docs`` with a last column: the spans of each row, null where it has none."""
+    names = docs.columns
+    doc, mark, span_doc, span_mark, lists = free_names(names, "row_key", "row_mark", "span_key", "span_mark", "spans")
+    found = spans.groupBy(F.col("doc").alias(span_doc), F.col("mark").alias(span_mark)).agg(F.collect_set(F.struct("first", "until")).alias(lists))
+    keyed = docs.withColumns({doc: _row_key(id_col), mark: F.xxhash64(text_or_empty(F.col(text_col)))})
+    return keyed.join(found, (F.col(doc) == F.col(span_doc)) & (F.col(mark) == F.col(span_mark)), "left").select(*names, lists)
 
 
 def removed(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -315,7 +317,7 @@ def removed(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
 
     Strings are judged on the input, overlapping ones and those of the same document count, and none crosses two
     documents. A null text is empty; texts shorter than ``length`` lose nothing; repeated rows are different documents, so
-    long ones lose everything. A text of any length is one row, its windows are taken in segments. An empty table gives no rows;
+    long ones lose everything. ``text`` is what is left, without characters that lost some of their bytes. A text of any length is one row, its windows are taken in segments. An empty table gives no rows;
     other columns are not read.
 
     Groups with more than ``group_rows`` different contexts are divided by where their windows start, as often as it takes;
@@ -328,18 +330,24 @@ def removed(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
             for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
                 raw = memoryview(text.as_buffer())
                 spans = _merged(spans or [])
-                out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_left(raw, spans) if spans else raw).hexdigest()))
-            types = [pa.int64()] * 3 + [pa.string()]
+                left = _left(raw, spans) if spans else raw
+                whole = bytes(left).decode("utf-8", "ignore") if spans else text.as_py()
+                out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(left).hexdigest(), whole))
+            types = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, types))], [x.split()[0] for x in REMOVED.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
     spans = repeated_spans(rows, length, "doc_id", "text", group_rows)
-    return _with_spans(rows, spans, "doc_id", "text").mapInArrow(run, DIGEST)
+    return _with_spans(rows, spans, "doc_id", "text").mapInArrow(run, REMOVED)
 
 
 def cut_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """All rows and columns of ``docs`` with the repeated bytes cut out of the text; a character that lost a byte goes whole."""
+    """All rows and columns of ``docs`` with the repeated bytes cut out of the text; a character that lost a byte goes whole.
+
+    ``chars_col``, where there is one, becomes the length of a text that was cut. Null texts stay null, empty and short ones as they are; repeated rows
+    lose what they share with each other. Other columns go along, whatever their names. An empty table stays empty.
+    """
     names = docs.columns
     at = names.index(text_col)
     size = names.index(chars_col) if chars_col in names else None

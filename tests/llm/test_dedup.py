@@ -260,3 +260,43 @@ def test_spans_grow_with_the_repeated_rows_not_with_their_square(documents, rnd)
     df = documents([(1, a)] * 40 + [(2, b)])
     held = repeats._with_spans(df, repeats.repeated_spans(df, length=60), "doc_id", "text").where("doc_id = 1").collect()
     assert len(held) == 40 and all(len(r["_spans"]) == len(set(r["_spans"])) for r in held)
+
+
+CLASHING = ["_node", "_doc", "_mark", "_spans", "_dealt", "_nth", "_until", "_cut", "row", "doc", "dealt", "until", "text_key", "KEPT_KEY", "kept_id", "spans", "row_key", "span_mark", "mark"]
+
+
+@pytest.fixture()
+def clashing(spark):
+    """Documents with columns that have the names of all helpers, each with a value of its own."""
+
+    def make(rows):
+        schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASHING)
+        return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[f"{c}{k}" for c in CLASHING]) for k, (i, t) in enumerate(rows)], schema)
+
+    return make
+
+
+def test_stages_keep_columns_of_any_name(clashing, rnd):
+    from patronage.llm import mixing
+
+    passage = prose(rnd, 120, longest=9)
+    rows = [(i, prose(rnd, 60) + " " + passage + " " + prose(rnd, 30)) for i in range(4)] + [(7, prose(rnd, 80)), (8, None), (9, ""), (None, prose(rnd, 70))]
+    docs = clashing(rows)
+    before = {r["doc_id"]: r for r in docs.collect()}
+    for out in (near_copies.keep_one(docs), repeats.cut_repeats(docs, 256), mixing.mixed_documents(docs, share=1.0)):
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[c] == before[r["doc_id"]][c] for r in found for c in CLASHING)
+    cut = {r["doc_id"]: r for r in repeats.cut_repeats(docs, 256).collect()}
+    assert len(cut) == len(rows) and all(len(cut[i]["text"]) < len(before[i]["text"]) - 256 and cut[i]["n_chars"] == len(cut[i]["text"]) for i in range(4))
+    assert cut[8]["text"] is None and cut[9]["text"] == ""
+
+
+def test_text_that_is_left(documents, rnd):
+    passage = prose(rnd, 150, longest=9)
+    rows = [(1, "ä" + passage + "é end"), (2, "ö" + passage + "é stop"), (3, passage[:300]), (4, None)]
+    found = {r["doc_id"]: r for r in repeats.removed(documents(rows)).collect()}
+    assert [found[i]["text"] for i in (1, 2, 3, 4)] == ["äend", "östop", passage[:300], ""]
+    for i, text in rows:
+        left = found[i]
+        assert left["n_bytes"] == len((text or "").encode()) and (left["n_removed"] > 0) == (i < 3)

@@ -121,6 +121,20 @@ def test_mix(documents, rnd):
     assert mixing.mix(df.limit(0)).count() == mixing.mixed_documents(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1.5, 1.0, 0.6, 2.25])
+def test_fractional_cap(documents, rnd, most):
+    """Sources at the cap give that fraction of their words, and no document gives more of its own."""
+    rows = _mix_rows(rnd)
+    sizes, taken = Counter(), Counter()
+    for r in mixing.mix(documents(rows), share=most, most=most).collect():
+        assert r["taken"] <= most * r["size"] + 1e-9
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    for s, t in plain_targets(sizes, (3, 1, 2), most, most).items():
+        docs = sum(1 for _, _, x in rows if x == s)
+        assert abs(taken[s] - t) <= mixing.BLOCK_WORDS + 0.01 * t + docs, (s, taken[s], t)
+
+
 def test_many_shards(documents, rnd, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_WORDS", 2048)
     got = mixing.mix(documents(_mix_rows(rnd))).collect()
