@@ -14,18 +14,21 @@ from patronage.llm.tokens import public_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failed lines go, and documents that fail the base rules or lost too much text."""
+    """Failed lines go, and documents that fail the base rules or lost too much text; null and empty texts have too few words."""
     return quality.keep_clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, the one with the least id."""
+    """One document of each class of near copies stays, the one with the least id; of repeated rows one, and all with a null text."""
     return near_copies.keep_one(docs)
 
 
 def string_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that also start elsewhere are cut out; all documents stay."""
-    return repeats.cut_repeats(docs, length=400)
+    """Strings of 256 bytes, about 45 words, that also start elsewhere are cut out; all documents stay.
+
+    Null, empty and short texts stay as they are; ``n_chars`` follows a text that was cut.
+    """
+    return repeats.cut_repeats(docs, length=256)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
+    """Pieces of documents in sequences of 1024 tokens; a null or empty text is one end token."""
     return packing.pack(docs, public_file(), window=1024)
 
 
