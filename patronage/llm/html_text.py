@@ -69,6 +69,12 @@ LABELLED_PAGES = (
     (*_BARE_MENU, (1, 9, 0, 1, 0), (1, 75, 0, 0, 0), (1, 42, 0, 0, 0)), ((1, 30, 2, 0, 0), (1, 110, 0, 0, 0)), (*_MENU, (1, 65, 3, 0, 0), (0, 2, 2, 0, 0)),
     ((1, 60, 0, 0, 0), (1, 2, 0, 0, 0), (1, 70, 0, 0, 0), (1, 3, 0, 0, 0), (1, 50, 0, 0, 0), (1, 1, 0, 0, 0), (1, 65, 0, 0, 0)),
     (*_BARE_MENU, (1, 28, 0, 0, 0), (1, 36, 1, 0, 0), (0, 2, 0, 0, 0)), ((1, 45, 0, 0, 0), (1, 21, 0, 0, 0), (0, 7, 0, 0, -1)),
+    # blocks of any size in other containers, or outside the article, beside long paragraphs
+    *(((0, n, k, 0, place), (1, near, 0, 0, 2), (0, n, k, 0, place)) for place in (-1, 0) for n in (1, 4, 9, 25, 80, 160) for k in (0, n // 2, n) for near in (70, 100, 220)),
+    *(((0, n, k, 1, place), (1, 90, 0, 0, 2), (1, 5, 5, 0, 2), (1, 90, 0, 0, 2)) for place in (-1, 0) for n, k in ((2, 0), (6, 6), (9, 4))),
+    # long links before and behind the paragraphs of pages that mark no article
+    *(((0, n, n, 0, 0), (1, near, 0, 0, 0), (1, 60, 2, 0, 0), (0, n, n, 0, 0)) for n in (4, 6, 9, 15) for near in (70, 100, 130, 250)),
+    *(((0, n, n, 0, -1), (1, near, 0, 0, 0), (0, n, k, 0, -1)) for n, k in ((4, 4), (9, 0), (40, 3)) for near in (70, 130)),
 )
 
 
@@ -85,13 +91,16 @@ def _purpose(name: str, rest: str, above: float, in_article: bool) -> float:
         return IN_OTHER
     if name in ("html", "body"):
         return above
-    hints = set()
+    hints, plain_main = set(), False
     if rest:
         for _, *values in _PURPOSE.findall(rest):
-            for value in values:
-                hints.update(_HINT.findall(value.lower()))
+            for token in " ".join(values).lower().split():
+                words = set(_HINT.findall(token))
+                hints |= words
+                plain_main |= not words.isdisjoint(MAIN_HINTS) and words.isdisjoint(OTHER_HINTS)
     main, other = not hints.isdisjoint(MAIN_HINTS), not hints.isdisjoint(OTHER_HINTS)
-    if other and not main or not hints.isdisjoint(("comment", "comments", "sidebar", "advert")):
+    # An article may say that it has a sidebar; comments and adverts are never part of it.
+    if other and not main or not hints.isdisjoint(("comment", "comments", "advert")) or "sidebar" in hints and not plain_main:
         return IN_OTHER
     if name == "header" and not in_article:
         return IN_OTHER

@@ -140,3 +140,44 @@ def test_labelled_pages_are_learned(spark):
     tree = html_text.fit_tree(spark)
     rows = html_text.labelled_rows()
     assert sum(html_text.is_main(tree, tuple(x)) == (y == 1.0) for y, x in rows) >= 0.97 * len(rows)
+
+
+LONG = " ".join(["plain words of a long paragraph"] * 24)
+ARTICLE = f"<article><p>{LONG}</p></article>"
+
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    return html_text.fit_tree(spark)
+
+
+@pytest.mark.parametrize("page", [
+    f"<nav><a>All the news of today</a></nav>{ARTICLE}",
+    f"{ARTICLE}<footer><a>Privacy and terms of use</a></footer>",
+    f"<nav><ul><li><a>World news and politics today</a><li><a>Home and garden for everyone</a></ul></nav>{ARTICLE}",
+    f'<div class="article with-sidebar"><p>{LONG}</p></div>',
+    f"<header><h1><a>The daily paper of the town</a></h1></header>{ARTICLE}",
+    f'<div class="menu"><a>Everything about sports and games</a></div>{ARTICLE}<div id="footer">{LONG}</div>',
+    f"{ARTICLE}<aside><a>More stories that you may like</a></aside>",
+    f'{ARTICLE}<div class="related"><a>Read this other long story next</a></div>',
+    f'<div class="cookie-notice">{LONG}</div>{ARTICLE}',
+    f'{ARTICLE}<div class="comments"><div class="comment-content">{LONG}</div></div>',
+    f'<div class="main-sidebar"><a>Topics of the week</a><p>{LONG}</p></div>{ARTICLE}',
+    f'<p><a>Back to the list of all stories</a></p>{ARTICLE}<p><a>Imprint and contact of the publisher</a></p>',
+    f'{ARTICLE}<form><p>{LONG}</p></form><div role="contentinfo"><a>About us and our partners</a></div>',
+    f'<div role="navigation"><a>Skip to the content of this page</a></div><main><p>{LONG}</p></main><footer>{LONG}</footer>',
+    f'<ul class="breadcrumb"><li><a>Home</a><li><a>Science and nature of the world</a></ul>{ARTICLE}',
+])
+def test_nothing_beside_the_article(tree, page):
+    assert html_text.main_text(tree, page) == LONG
+
+
+def test_no_block_of_another_place_is_main(tree):
+    """Whatever its size, links and neighbours: outside the article or in another container nothing is main text."""
+    for place in (html_text.OUTSIDE, html_text.IN_OTHER):
+        for words in (1, 3, 5, 12, 30, 70, 100, 300):
+            for links in (0.0, 0.3, 0.5, 0.6, 0.9, 1.0):
+                for before in ((0, 0.0), (3, 1.0), (80, 0.0), (200, 0.1)):
+                    for behind in ((0, 0.0), (5, 0.8), (70, 0.0), (250, 0.0)):
+                        for heading in (0.0, 1.0):
+                            assert not html_text.is_main(tree, (words, links, *before, *behind, heading, place))
