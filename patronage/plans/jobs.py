@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clusters, encode, factors, features, joins
+from ..operators import clusters, encode, factors, features, joins, weighted
 from ..operators.aggregates import sums_by_category
 from ..operators.order_stats import join_on
 from ..session import materialise
@@ -49,12 +49,11 @@ def fitted_factor_rows(shop: Shop, history: DataFrame) -> DataFrame:
     pairs = factors.value_cutoff(
         join_on(join_on(counts, users, ["id"]), items, factors.ITEM_KEYS)
         .select("user_idx", "item_idx", factors.log_scale("n").alias("value")))
-    model = factors.als_implicit(pairs)
+    user_factors, item_factors = weighted.weighted_factors(pairs)
     offered = joins.history_with_offers_outer(history, shop.offers)
     offered = join_on(offered, users.withColumnRenamed("user_idx", "u_id"), ["id"], "left")
     offered = join_on(offered, items.withColumnRenamed("item_idx", "v_id"), factors.ITEM_KEYS, "left")
-    return factors.with_factors(
-        offered, factors.factor_table(model.userFactors), factors.factor_table(model.itemFactors))
+    return factors.with_factors(offered, user_factors, item_factors)
 
 
 def labelled_clusters(shop: Shop, history: DataFrame) -> DataFrame:

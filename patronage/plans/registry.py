@@ -28,6 +28,7 @@ from ..operators import (
     stats as S,
     trees as T_,
     visits as W,
+    weighted as G,
 )
 from ..session import materialise, scratch_path
 from ..sources import files, schemas, sinks, sparse_lines
@@ -921,8 +922,9 @@ def fit_predict_submit(s):
 
 @query
 def als_implicit(s):
-    model = M.als_implicit(M.value_cutoff(M.pair_counts(s.transactions)))
-    return M.factor_table(model.userFactors).select("vec_id", "features")
+    """Factors of customers and items under one ridge for all."""
+    users, items = G.weighted_factors(M.value_cutoff(M.pair_counts(s.transactions)))
+    return users.select(F.lit("user").alias("side"), "*").unionByName(items.select(F.lit("item").alias("side"), "*"))
 
 
 @query

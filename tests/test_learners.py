@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.functions import columns as C
-from patronage.operators import models, online, trees
+from patronage.operators import models, online, trees, weighted
 from patronage.plans import jobs, registry
 from patronage.session import materialise, scratch_path
 from patronage.sources import sinks, sparse_lines
@@ -278,6 +278,56 @@ def test_codes(spark):
     assert x[1][0] == x[4][0] != x[3][0] and 0 <= x[1][0] < 1 and x[2] == [-1.0, 0.0] and x[3][1] == 0.0
 
 
+# ---- weighted factorization
+
+def plain_factors(rows, rank, iterations, ridge, alpha, items):
+    r = {}
+    for u, i, x in rows:
+        r[u, i] = r.get((u, i), 0.0) + x
+    users = {}
+    for _ in range(iterations):
+        for side, own, other in ((0, users, items), (1, items, users)):
+            shared = sum(np.outer(y, y) for y in other.values()) + ridge * np.eye(rank)
+            for k in sorted({p[side] for p in r}):
+                a, b = shared.copy(), np.zeros(rank)
+                for p, x in r.items():
+                    if p[side] == k:
+                        y = other[p[1 - side]]
+                        a += alpha * x * np.outer(y, y)
+                        b += (1 + alpha * x) * y
+                own[k] = np.linalg.solve(a, b)
+    return users, items
+
+
+def test_factors_equal_a_plain_alternation(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(1, 12), rnd.randrange(1, 8), rnd.choice([1.0, 2.5, 6.0])) for _ in range(50)] + [(13, 3, 1.0), (1, 1, 0.5), (1, 1, 0.5)]
+    pairs = spark.createDataFrame([*rows, (None, 2, 1.0), (2, None, 1.0), (2, 2, None)], "user_idx int, item_idx int, value double")
+    users, items = weighted.weighted_factors(pairs, rank=3, iterations=4)
+    ids = pairs.where("item_idx is not null").select(F.col("item_idx").alias("id")).distinct()
+    begin = {r["id"]: np.array(list(r)[1:]) for r in weighted.start(ids, 3, 42).collect()}
+    want = plain_factors(rows, 3, 4, 0.02, 1.0, {k: v for k, v in begin.items() if k in {i for _, i, _ in rows}})
+    for found, plain in zip((users, items), want):
+        found = {r["vec_id"]: r["features"] for r in found.collect()}
+        assert set(found) == set(plain)
+        assert all(found[k] == pytest.approx(plain[k].tolist(), abs=1e-6) for k in plain)
+    short = weighted.weighted_factors(pairs, rank=3, iterations=1)
+    clean = pairs.dropna().groupBy("user_idx", "item_idx").agg(F.sum("value").alias("value"))
+    assert weighted.loss(clean, users, items) < weighted.loss(clean, *short)
+    dense = np.array([[want[0][u] @ want[1][i] for i in sorted(want[1])] for u in sorted(want[0])])
+    total = {(u, i): 0.0 for u in want[0] for i in want[1]}
+    for u, i, x in rows:
+        total[u, i] += x
+    plain_loss = sum((1 + total[u, i]) * (float(total[u, i] > 0) - dense[a, b]) ** 2 for a, u in enumerate(sorted(want[0])) for b, i in enumerate(sorted(want[1])))
+    plain_loss += 0.02 * sum((v ** 2).sum() for side in want for v in side.values())
+    assert weighted.loss(clean, users, items) == pytest.approx(plain_loss, rel=1e-6)
+
+
+def test_no_pairs(spark):
+    users, items = weighted.weighted_factors(spark.createDataFrame([], "user_idx int, item_idx int, value double"))
+    assert users.count() == items.count() == 0
+
+
 # ---- fits whose numbers the queries return
 
 def test_logistic_against_a_plain_descent(spark):
