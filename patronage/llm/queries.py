@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import html_text, manifest, mixing, near_copies, neighbours, ngram_join, packing, quality, repeats, spelling, token_files, toxicity, url_rules
+from . import oracles
 from .common import scratch_path, table
 from .tokens import public_file
 
@@ -78,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op11_ngram_jaccard, op12_spelling_variants, op13_merkle_manifest)
 }
 
-ORACLES = {
+ORACLES = oracles.ORACLES | {
     "op2_url_filters": r"""
         WITH parts AS (
           SELECT page_id,
