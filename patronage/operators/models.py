@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +28,6 @@ def classifiers() -> dict[str, Estimator]:
     return {
         "logistic": LogisticRegression(maxIter=50),
         "gaussian_nb": NaiveBayes(modelType="gaussian"),
-        "svc": LinearSVC(maxIter=50),
     }
 
 

@@ -21,6 +21,7 @@ from ..operators import (
     factors as M,
     features as X,
     joins as J,
+    kernel as KC,
     models as L,
     online as Q,
     order_stats as O,
@@ -825,10 +826,19 @@ def _model_query(name):
     return run
 
 
-for _name in ("logistic", "gaussian_nb", "svc"):
+for _name in ("logistic", "gaussian_nb"):
     _QUERIES[f"ml_{_name}"] = _model_query(_name)
 
 
+@query
+def ml_svc(s):
+    """Margins of the kernel classifier."""
+    train, test = jobs.model_frames(s)
+    rows, others = (KC.sparse_rows(f) for f in KC.scaled(train, test))
+    model, gamma = KC.fit(rows)
+    return KC.margins(model, others, gamma=gamma)
+
+
 @query
 def ml_extra_trees(s):
     train, test = (T_.coded(f) for f in jobs.model_frames(s))

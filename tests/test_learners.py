@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.functions import columns as C
-from patronage.operators import models, online, trees, weighted
+from patronage.operators import kernel, models, online, trees, weighted
 from patronage.plans import jobs, registry
 from patronage.session import materialise, scratch_path
 from patronage.sources import sinks, sparse_lines
@@ -278,6 +278,55 @@ def test_codes(spark):
     assert x[1][0] == x[4][0] != x[3][0] and 0 <= x[1][0] < 1 and x[2] == [-1.0, 0.0] and x[3][1] == 0.0
 
 
+# ---- kernel classifier
+
+@pytest.fixture()
+def ring(spark):
+    """A disc inside a ring, which no line separates."""
+    rnd, rows = np.random.default_rng(4), []
+    for i in range(300):
+        inside, angle = i % 2, rnd.uniform(0, 2 * np.pi)
+        r = rnd.uniform(0, 0.8) if inside else rnd.uniform(1.5, 2.2)
+        rows.append((i, float(inside), [3, 70], [float(r * np.cos(angle)), float(r * np.sin(angle))]))
+    return spark.createDataFrame(rows, "id int, label double, slots array<int>, values array<double>")
+
+
+def test_kernel_separates_a_ring(ring):
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector
+
+    def right(scored):
+        rows = scored.join(ring.select("id", "label"), "id").collect()
+        return sum((r["score"] > 0) == (r["label"] > 0) for r in rows) / len(rows)
+
+    model, gamma = kernel.fit(ring, size=200, gamma=1.0, c=100.0)
+    assert gamma == 1.0 and right(kernel.margins(model, ring, 200, 1.0)) > 0.97
+    flat = ring.select("id", "label", array_to_vector("values").alias("features"))
+    from pyspark.ml.functions import vector_to_array
+    line = LinearSVC(maxIter=50).fit(flat).transform(flat).select("id", vector_to_array("rawPrediction")[1].alias("score"))
+    assert right(line) < 0.75
+
+
+def test_kernel_error_falls_with_the_size(ring):
+    few, many = (kernel.kernel_error(ring, size, 0.5) for size in (32, 2048))
+    assert many < 0.04 < few
+
+
+def test_random_features_by_hand(spark):
+    rows = spark.createDataFrame([(1, [5, 9], [2.0, -1.0]), (2, [], []), (3, [9], [4.0])], "id int, slots array<int>, values array<double>").repartition(3)
+    phase = np.random.default_rng([7, 1 << 40]).uniform(0, 2 * np.pi, 16)
+    w = {s: np.random.default_rng([7, s]).normal(0, 0.8 ** 0.5, 16) for s in (5, 9)}
+    want = {1: 2 * w[5] - w[9] + phase, 2: phase, 3: 4 * w[9] + phase}
+    for r in kernel.mapped(rows, 16, 0.4, 7).collect():
+        assert r["features"].toArray() == pytest.approx(np.cos(want[r["id"]]) * (2 / 16) ** 0.5)
+
+
+def test_sparse_rows_by_hand(spark):
+    frame = spark.createDataFrame([(1, 1, "a", 2.0), (2, 0, None, None), (3, 1, "a", float("nan"))], "id int, label int, k string, v double")
+    rows = {r["id"]: r for r in kernel.sparse_rows(frame, ["k"], ["v"]).collect()}
+    assert rows[1]["values"] == [1.0, 2.0] and rows[2]["slots"] == [] and rows[3]["slots"] == rows[1]["slots"][:1]
+
+
 # ---- weighted factorization
 
 def plain_factors(rows, rank, iterations, ridge, alpha, items):
