@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +11,7 @@ from patronage.functions import columns as C
 from patronage.operators import kernel, models, online, trees, weighted
 from patronage.plans import jobs, registry
 from patronage.session import materialise, scratch_path
-from patronage.sources import sinks, sparse_lines
+from patronage.sources import sparse_lines
 from patronage.sources.shop import CUTOFF
 
 
