@@ -1,7 +1,6 @@
 """The Merkle manifest against plain trees."""
 
 import hashlib
-import random
 import zlib
 from collections import defaultdict
 

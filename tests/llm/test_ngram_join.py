@@ -1,6 +1,5 @@
 """The size-aware join of shingle sets against all pairs."""
 
-import random
 import re
 
 import numpy as np
