@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot
+from ..session import materialise
 from .order_stats import ranked, running_totals, spread
 
 EPSILON = 1e-11
+PLANES, PLANE_SEED = 30, 5  # most planes whose sides tell the vectors of a block from others
 
 
 def score_counts(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -113,28 +116,54 @@ def binary_auc(predicted: DataFrame) -> DataFrame:
           + F.try_divide(F.col("tn"), F.col("tn") + F.col("fp"))) / 2).alias("auc"))
 
 
-def _blocks(factors: DataFrame, block_rows: int, name: str) -> DataFrame:
-    """Factor rows packed into bounded blocks in order of their norm, largest first: (name, flat values, largest norm)."""
-    norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x))
-    rows = ranked(factors.select("vec_id", "features", norm.alias("norm")), [F.col("norm").desc(), F.col("vec_id")])
-    return (
-        rows.withColumn(name, F.floor(F.col("rank0") / block_rows)).groupBy(name)
-        .agg(F.flatten(F.collect_list("features")).alias(f"{name}_values"), F.max("norm").alias(f"{name}_norm"))
-    )
+def _blocks(factors: DataFrame, block_rows: int) -> DataFrame:
+    """Vectors packed into bounded blocks of near ones: ``block, values, n, centre, radius, norm``, written once.
+
+    Vectors that lie on the same sides of random planes, about as many as halve the table into blocks, are packed in order of their norm,
+    so a cluster is in blocks of its own. A ball around the centre holds all vectors of a block; ``norm`` is the largest length.
+    """
+    dim = _dimension(factors)
+    cells = max(1.0, factors.count() / block_rows)
+    planes = np.random.default_rng(PLANE_SEED).normal(size=(min(PLANES, int(np.ceil(np.log2(cells))) + 2), dim))
+    side = [F.when(dot("features", F.array(*[F.lit(float(x)) for x in plane])) > 0, "1").otherwise("0") for plane in planes]
+    rows = factors.select("vec_id", "features", F.concat(*side).alias("sides"), dot("features", "features").alias("norm"))
+    rows = ranked(rows, [F.col("norm").desc(), F.col("vec_id")], ["sides"]).withColumn("part", F.floor(F.col("rank0") / block_rows))
+    packed = materialise(rows.groupBy("sides", "part").agg(F.flatten(F.collect_list("features")).alias("values")), "packed")
+    packed = ranked(packed, [F.col("sides"), F.col("part")], rank="block").select("block", "values")
+
+    def balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for block, values in zip(pdf["block"], pdf["values"]):
+                x = np.asarray(values, "f8").reshape(-1, dim)
+                centre = x.mean(axis=0)
+                radius = np.sqrt(((x - centre) ** 2).sum(axis=1).max())
+                out.append((block, values, len(x), centre, float(radius), float(np.sqrt((x ** 2).sum(axis=1).max()))))
+            yield pd.DataFrame(out, columns=["block", "values", "n", "centre", "radius", "norm"])
+
+    return materialise(packed.mapInPandas(balls, "block bigint, values array<double>, n bigint, centre array<double>, radius double, norm double"), "blocks")
 
 
-def block_pairs(users: DataFrame, items: DataFrame, lowest: float, block_rows: int = 1024) -> DataFrame:
-    """Blocks of users next to those blocks of items whose norms can reach ``lowest``.
+def block_pairs(u: DataFrame, v: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """``u_block, v_block, n, low, high, multiply`` of every two blocks: between which values all their products lie.
 
-    Item blocks stand in order of their norm, so those that a user block can reach are the first few.
+    Within balls (c, r) and (d, s) a product differs from c.d by |c| s + |d| r + r s at most. Two blocks are multiplied only if a threshold lies
+    between the bounds; otherwise all their pairs are above it or none is. Only centres meet here, a row for each two blocks.
     """
-    u, v = _blocks(users, block_rows, "u_block"), _blocks(items, block_rows, "v_block")
-    u = u.withColumn("_norms", v.agg(F.sort_array(F.collect_list("v_block_norm"), asc=False)).scalar())  # one number per block
-    if lowest > 0:
-        u = u.withColumn("_norms", F.filter("_norms", lambda x: x * F.col("u_block_norm") * (1 + 1e-9) > lowest))
-    reached = F.size("_norms")
-    u = u.withColumn("v_block", F.explode(F.when(reached > 0, F.sequence(F.lit(0).cast("bigint"), (reached - 1).cast("bigint"))))).drop("_norms")
-    return u.join(v, "v_block")
+    ball = ["block", "n", "centre", "radius", "norm"]
+    left = u.select(*[F.col(c).alias(f"u_{c}") for c in ball])
+    right = v.select(*[F.col(c).alias(f"v_{c}") for c in ball])
+    last = v.agg(F.max("block")).scalar()
+    met = left.withColumn("v_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).join(right, "v_block")
+    length = {side: F.sqrt(dot(f"{side}_centre", f"{side}_centre")) for side in "uv"}
+    middle = dot("u_centre", "v_centre")
+    slack = length["u"] * F.col("v_radius") + length["v"] * F.col("u_radius") + F.col("u_radius") * F.col("v_radius")
+    most = F.col("u_norm") * F.col("v_norm")
+    margin = 1e-9 * (1 + most)  # what rounding can move a product by
+    low, high = F.greatest(middle - slack, -most) - margin, F.least(middle + slack, most) + margin
+    met = met.select("u_block", "v_block", (F.col("u_n") * F.col("v_n")).alias("n"), low.alias("low"), high.alias("high"))
+    between = [(F.col("low") <= t) & (F.lit(t) <= F.col("high")) for t in thresholds]
+    return met.withColumn("multiply", reduce(lambda x, y: x | y, between))
 
 
 def pairs_above(
@@ -143,17 +172,18 @@ def pairs_above(
     """(threshold, n_above): pairs of user and item with u.v above each threshold.
 
     Both factor tables are packed into blocks of ``block_rows`` vectors; a task multiplies two blocks and emits only
-    counts, so no pair is ever a row. Block pairs whose norms cannot reach the lowest threshold are never made.
+    counts, so no pair is ever a row. Block pairs whose bounds decide all thresholds are counted without their vectors.
     """
     thresholds = sorted(float(t) for t in thresholds)
-    work = block_pairs(users, items, thresholds[0], block_rows)
+    u, v = _blocks(users, block_rows), _blocks(items, block_rows)
+    plan = materialise(block_pairs(u, v, thresholds), "block-pairs")
     levels = np.asarray(thresholds)
     dim = _dimension(users)
 
     def count(batches):
         for pdf in batches:
             total = np.zeros(len(levels) + 1, dtype=np.int64)
-            for a, b in zip(pdf["u_block_values"], pdf["v_block_values"]):
+            for a, b in zip(pdf["u_values"], pdf["v_values"]):
                 scores = np.asarray(a).reshape(-1, dim) @ np.asarray(b).reshape(-1, dim).T
                 # Position i: the score is above exactly i thresholds.
                 above = np.searchsorted(levels, scores.ravel(), side="left")
@@ -161,11 +191,21 @@ def pairs_above(
             counts = total[::-1].cumsum()[::-1][1:]
             yield pd.DataFrame({"threshold": levels, "n_above": counts})
 
-    found = work.select("u_block_values", "v_block_values").mapInPandas(count, "threshold double, n_above long")
-    spark = users.sparkSession
-    asked = spark.createDataFrame([(t,) for t in thresholds], "threshold double")
-    return asked.join(found.groupBy("threshold").agg(F.sum("n_above").alias("n_above")), "threshold", "left").select(
-        "threshold", F.coalesce("n_above", F.lit(0)).alias("n_above"))
+    work = plan.where("multiply").select("u_block", "v_block")
+    work = work.join(u.select(F.col("block").alias("u_block"), F.col("values").alias("u_values")), "u_block")
+    work = work.join(v.select(F.col("block").alias("v_block"), F.col("values").alias("v_values")), "v_block")
+    found = work.select("u_values", "v_values").mapInPandas(count, "threshold double, n_above long")
+    asked = users.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
+    decided = plan.where("not multiply").select(F.explode(F.array(*[
+        F.struct(F.lit(t).alias("threshold"), F.when(F.col("low") > t, F.col("n")).otherwise(0).alias("n_above")) for t in thresholds])).alias("s")).select("s.*")
+    found = found.unionByName(decided).groupBy("threshold").agg(F.sum("n_above").alias("n_above"))
+    return asked.join(found, "threshold", "left").select("threshold", F.coalesce("n_above", F.lit(0)).alias("n_above"))
+
+
+def multiplied_share(users: DataFrame, items: DataFrame, thresholds: Sequence[float], block_rows: int = 1024) -> float:
+    """Share of the pairs whose blocks ``pairs_above`` multiplies."""
+    plan = block_pairs(_blocks(users, block_rows), _blocks(items, block_rows), [float(t) for t in thresholds])
+    return plan.agg(F.try_divide(F.sum(F.when(F.col("multiply"), F.col("n")).otherwise(0)), F.sum("n"))).first()[0]
 
 
 def _observed(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:

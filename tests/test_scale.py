@@ -90,14 +90,32 @@ def test_median_of_infinite_values(spark):
     assert order_stats.trimmed_mean(df, ["k"], "x", 0.2, "m").first()["m"] == 2.0
 
 
-def test_blocks_below_the_threshold_are_skipped(spark):
+def test_blocks_that_bounds_decide_are_not_multiplied(spark):
     rows = [(i, [float(i)] * 2) for i in range(64)]
     frame = spark.createDataFrame(rows, "vec_id long, features array<double>")
-    every = evaluate.block_pairs(frame, frame, -1.0, block_rows=8).count()
-    few = evaluate.block_pairs(frame, frame, 6000.0, block_rows=8).count()
-    assert every == 64 and few < 16
-    want = sum(2 * i * j > 6000 for i in range(64) for j in range(64))
-    assert evaluate.pairs_above(frame, frame, [6000.0], block_rows=8).first()["n_above"] == want
+    blocks = evaluate._blocks(frame, 8)
+    plan = evaluate.block_pairs(blocks, blocks, [6000.0])
+    assert plan.agg({"n": "sum"}).first()[0] == 64 * 64 and plan.where("multiply").count() < plan.count() / 3
+    for t in (-1.0, 0.0, 6000.0, 1e9):
+        want = sum(2 * i * j > t for i in range(64) for j in range(64))
+        assert evaluate.pairs_above(frame, frame, [t], block_rows=8).first()["n_above"] == want
+
+
+def test_clustered_vectors_are_mostly_counted_by_their_balls(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    centres = rnd.normal(size=(8, 16)) * 3
+
+    def frame(n):
+        x = centres[rnd.integers(0, 8, n)] + rnd.normal(size=(n, 16)) * 0.05
+        return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, features array<double>")
+
+    (x, u), (y, v) = frame(700), frame(500)
+    thresholds = [-20.0, -3.0, 0.0, 5.0, 40.0, 200.0]
+    found = {r["threshold"]: r["n_above"] for r in evaluate.pairs_above(u, v, thresholds, block_rows=16).collect()}
+    assert found == {t: int((x @ y.T > t).sum()) for t in thresholds}
+    assert evaluate.multiplied_share(u, v, thresholds, block_rows=16) < 0.5
 
 
 def test_item_keys_with_null_and_underscore(spark):
