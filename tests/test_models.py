@@ -115,3 +115,12 @@ def test_partitions_follow_the_input_size(spark):
         assert spark.conf.get(key) == str(3 * spark.sparkContext.defaultParallelism)
     finally:
         spark.conf.unset(key)
+
+
+def test_entries_of_sparse_and_dense_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(1, Vectors.sparse(9, [2, 7], [1.0, 0.25])), (2, Vectors.dense(0.0, 1.0, -2.5)), (3, Vectors.sparse(4, [], []))]
+    found = spark.createDataFrame(rows, ["id", "x"]).select("id", encode.vector_entries("x").alias("e")).select("id", "e.*").collect()
+    assert {r["id"]: (r["size"], [tuple(e) for e in r["entries"]]) for r in found} == {
+        1: (9, [(2, 1.0), (7, 0.25)]), 2: (3, [(1, 1.0), (2, -2.5)]), 3: (4, [])}
