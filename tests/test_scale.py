@@ -193,3 +193,8 @@ def test_window_counts_are_nested(shop):
         names = [f"has_bought_{k}_30", f"has_bought_{k}_60", f"has_bought_{k}_90", f"has_bought_{k}_180", f"has_bought_{k}"]
         for a, b in zip(names, names[1:]):
             assert wide.where(F.col(a) > F.col(b)).count() == 0
+
+
+def test_wide_medians_hold_no_wide_rows_while_they_are_filled(spark):
+    plan = registry.queries()["med_groups"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "pivotfirst" not in plan
