@@ -198,3 +198,20 @@ def test_window_counts_are_nested(shop):
 def test_wide_medians_hold_no_wide_rows_while_they_are_filled(spark):
     plan = registry.queries()["med_groups"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "pivotfirst" not in plan
+
+
+def test_only_groups_at_the_edges_are_totalled(spark):
+    rows = [(None if k == 0 else k, i) for k, n in ((0, 300), (1, 2), (2, 400), (3, 1), (4, 1), (5, 250)) for i in range(n)] + [(100 + i, 0) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, x int").withColumn("n", F.lit(1).cast("bigint")).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        runs = order_stats.spread(df, ["k", "x"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    buckets = runs.select("_bucket").distinct().count()
+    assert buckets > 3 and order_stats._edges(runs, ["k"]).count() <= 2 * buckets
+    sizes = {}
+    for k, _ in rows:
+        sizes[k] = sizes.get(k, 0) + 1
+    for r in order_stats.running_totals(runs, ["k"], [F.col("x")], ["n"]).collect():
+        assert (r["before_n"], r["all_n"]) == (r["x"], sizes[r["k"]])
