@@ -215,3 +215,15 @@ def test_only_groups_at_the_edges_are_totalled(spark):
         sizes[k] = sizes.get(k, 0) + 1
     for r in order_stats.running_totals(runs, ["k"], [F.col("x")], ["n"]).collect():
         assert (r["before_n"], r["all_n"]) == (r["x"], sizes[r["k"]])
+
+
+def test_observed_pairs_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "CELL_IDS", 5)
+    rng = np.random.default_rng(8)
+    u, v = [(int(i), rng.normal(size=3).tolist()) for i in [*range(20), 4]], [(i, rng.normal(size=3).tolist()) for i in range(13)]
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 22, (90, 2))] + [(None, 1), (1, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, features array<double>")
+    found = evaluate._observed_sums(spark.createDataFrame(pairs, "u_id long, v_id long"), frame(u), frame(v), [-0.5, 0.5]).collect()
+    m = [float(np.dot(x, y)) for a, b in pairs for i, x in u if i == a for j, y in v if j == b]
+    assert [(r["threshold"], r["n_data"], r["n_cross"]) for r in found] == [(t, len(m), sum(z > t for z in m)) for t in (-0.5, 0.5)]
+    assert found[0]["sum_dm"] == pytest.approx(sum(m))
