@@ -26,6 +26,7 @@ _OTHER_SPACE = re.compile(r"[^\S ]")
 _PLAIN = re.compile(r"[\n\t\r !-~¡-ɏ]+")  # where every pattern library agrees on the classes
 _LONGEST_CACHED = 48
 _CHUNK = 8 << 20  # characters whose words are looked up together
+_JOINED = 20_000  # new words that are encoded together
 
 
 def _ids(values: list[int]) -> bytes:
@@ -60,6 +61,10 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.half = max(1, cache // 2)
+        self.spaced_ids = np.zeros(self.vocabulary, bool)  # tokens that begin with a space
+        for token, i in self.tokenizer.get_vocab().items():
+            if i < self.vocabulary:
+                self.spaced_ids[i] = token.startswith("Ġ")
         self.spaced: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -103,9 +108,9 @@ class Encoder:
         words, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype("i8")
         first = offsets[:-1] - offsets[0]
         known = list(map(self.spaced.get, words))
-        for k, ids in enumerate(known):
-            if ids is None:
-                known[k] = self._after_space(words[k])
+        new = [k for k, ids in enumerate(known) if ids is None]
+        for k, ids in zip(new, self._after_spaces([words[k] for k in new])):
+            known[k] = ids
         known += [self._chunk(words[k]) for k in number[first].tolist()]
         number[first] = len(words) + np.arange(len(first))
         size = np.fromiter(map(len, known), "i8", len(known)) // 4
@@ -113,7 +118,9 @@ class Encoder:
         length = size[number]
         end = np.cumsum(length)
         flat = np.frombuffer(b"".join(known), "<u4")
-        ids = flat[np.repeat(start[number] - end + length, length) + np.arange(int(end[-1]))].tobytes()
+        at = np.repeat((start[number] - end + length).astype("i4"), length)
+        at += np.arange(len(at), dtype="i4")
+        ids = flat[at].tobytes()
         stop = end[np.append(first[1:], len(number)) - 1]
         low = 0
         for row, high in zip(rows, stop.tolist()):
@@ -133,6 +140,32 @@ class Encoder:
             self.spaced[part] = ids
         return ids
 
+    def _after_spaces(self, parts: list[str]) -> list[bytes]:
+        """``_after_space`` of different parts; the short plain ones that are new are encoded together."""
+        out: list[bytes] = []
+        for low in range(0, len(parts), _JOINED):
+            block = parts[low:low + _JOINED]
+            found = list(map(self.older.get, block))
+            new = [k for k, part in enumerate(block) if found[k] is None and len(part) <= _LONGEST_CACHED and (part.isascii() or _PLAIN.fullmatch(part))]
+            for k, ids in zip(new, self._joined([block[k] for k in new])):
+                found[k] = ids
+            if len(self.spaced) >= self.half:
+                self.older, self.spaced = self.spaced, {}
+            self.spaced.update((part, ids) for part, ids in zip(block, found) if ids is not None)
+            out += [self._after_space(part) if ids is None else ids for part, ids in zip(block, found)]
+        return out
+
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part behind a space. A cut falls before every space, so the tokens that begin with one tell the parts apart."""
+        if not parts:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + x for x in parts])], add_special_tokens=False)[0].ids, "<u4")
+        first = np.flatnonzero(self.spaced_ids[ids])
+        if len(first) != len(parts):  # a tokenizer file with rules of its own
+            return [self._chunk(" " + x) for x in parts]
+        raw, edges = ids.tobytes(), (4 * np.append(first, len(ids))).tolist()
+        return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
     def _chunk(self, chunk: str) -> bytes:
         if not _PLAIN.fullmatch(chunk):
             return self._whole(chunk)

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -97,3 +98,17 @@ def test_codes_of_any_width(rnd):
     levels, bitmaps, ranks = token_files.encode_block(ids)
     assert len(levels) == 4 and (token_files.decode_block(len(ids), levels, bitmaps) == ids).all()
     assert all(token_files.token_at(i, levels, bitmaps, ranks) == ids[i] for i in range(0, len(ids), 13))
+
+
+def test_new_words_of_a_batch_are_encoded_together(plain, monkeypatch):
+    rnd = random.Random(2)
+    letters = "abcdeé1.,'\nĠ"
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9))).strip() or "a" for _ in range(2000)]
+    texts = [" ".join(words[low:low + 100]) for low in range(0, len(words), 100)]
+    enc, alone = tokens.Encoder(PATH), []
+    monkeypatch.setattr(enc, "_after_space", alone.append)
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_many(pa.array(texts))] == [plain(t) for t in texts]
+    assert not alone
+    small = tokens.Encoder(PATH, cache=8)
+    odd = [t or "" for t in ODD] + ["日本 語" * 30 + " x", "a " + "y" * 100 + " b"] + texts
+    assert [np.frombuffer(x, "<u4").tolist() for x in small.encode_many(pa.array(odd))] == [plain(t) for t in odd]
