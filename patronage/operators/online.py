@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,43 @@ def learn(model: Linear, slots: np.ndarray, values: np.ndarray, label: float, ta
     return -slope * residual
 
 
+class _Batch:
+    """What the updates of a batch of rows need beside the weights, worked out at once where no row that teaches has a larger value than ``start`` knows."""
+
+    def __init__(self, largest: np.ndarray, slots: np.ndarray, values: np.ndarray, starts: np.ndarray, tau: float):
+        self.slots, self.values, self.largest = slots, values, largest
+        self.scales = np.add.reduceat((values / np.where(largest > 0, largest, 1.0)) ** 2, starts).tolist()
+        self.gradients = {slope: slope * values for slope in (-tau, 1 - tau)}
+        self.squares = {slope: x ** 2 for slope, x in self.gradients.items()}
+
+    @classmethod
+    def of(cls, start: Linear, slots: np.ndarray, values: np.ndarray, ends: np.ndarray, held: np.ndarray, tau: float) -> _Batch | None:
+        starts = np.append(0, ends[:-1])
+        largest = start.largest[slots]
+        if not len(ends) or (starts >= ends).any() or not (np.abs(values) <= largest)[~np.repeat(held, ends - starts)].all():
+            return None
+        return cls(largest, slots, values, starts, tau)
+
+    def learn(self, model: Linear, row: int, low: int, high: int, label: float, tau: float, rate: float) -> float:
+        """``learn`` of a row."""
+        slots = self.slots[low:high]
+        weights = model.weights[slots]
+        residual = label - float(weights @ self.values[low:high])
+        slope = -tau if residual > 0 else 1 - tau
+        model.scale += self.scales[row]
+        model.seen += 1
+        squares = model.gradients[slots]
+        squares += self.squares[slope][low:high]
+        model.gradients[slots] = squares
+        np.sqrt(squares, out=squares)
+        squares *= self.largest[low:high]
+        step = self.gradients[slope][low:high] * (rate * sqrt(model.seen / model.scale))
+        step /= squares
+        weights -= step
+        model.weights[slots] = weights
+        return -slope * residual
+
+
 def _pass_rows(start: Linear, tau: float, rate: float):
     """Rows of each part through a copy of the model; per slot what the average needs, and one row of totals (slot -1)."""
 
@@ -70,20 +108,24 @@ def _pass_rows(start: Linear, tau: float, rate: float):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in PASSED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, model, totals = None, None, [0.0, 0, 0.0, 0]
+        part, model, totals, alone = None, None, [0.0, 0, 0.0, 0], False
         for batch in batches:
             slots, values = (np.asarray(batch.column(i).flatten()) for i in (3, 4))
+            slots = slots.astype("i8")  # the type that numpy looks up by
             ends = np.cumsum(batch.column(3).value_lengths().to_numpy())
-            low = 0
-            for p, label, held, high in zip(*(batch.column(i).to_pylist() for i in range(3)), ends.tolist()):
+            low, known = 0, _Batch.of(start, slots, values, ends, batch.column(2).to_numpy(zero_copy_only=False), tau)
+            for row, (p, label, held, high) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), ends.tolist())):
                 if p != part:
                     if part is not None:
                         yield ended(model, totals)
-                    part, model, totals = p, start.copy(), [0.0, 0, 0.0, 0]
+                    part, model, totals, alone = p, start.copy(), [0.0, 0, 0.0, 0], False
                 if held:
                     residual = label - float(start.weights[slots[low:high]] @ values[low:high])
                     totals[2] += max(tau * residual, (tau - 1) * residual)
+                elif known is not None and not alone:
+                    totals[0] += known.learn(model, row, low, high, label, tau, rate)
                 else:
+                    alone = True  # this row may have raised the largest value of a slot
                     totals[0] += learn(model, slots[low:high], values[low:high], label, tau, rate)
                 totals[3 if held else 1] += 1
                 low = high

@@ -60,5 +60,7 @@ def lines_as_vectors(rows: DataFrame, bits: int = 18) -> DataFrame:
     def total(s: Column) -> Column:
         return F.aggregate(F.filter("entries", lambda e: e["slot"] == s), F.lit(0.0), lambda sum_, e: sum_ + e["value"])
 
-    return rows.select("id", "label", entries.alias("entries"), slots.alias("slots")).select(
-        "id", "label", "slots", F.transform("slots", total).alias("values"))
+    # Where no two features share a slot there is nothing to add up.
+    apart = F.transform(F.array_sort("entries"), lambda e: e["value"])
+    values = F.when(F.size("slots") == F.size("entries"), apart).otherwise(F.transform("slots", total))
+    return rows.select("id", "label", entries.alias("entries"), slots.alias("slots")).select("id", "label", "slots", values.alias("values"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -426,3 +427,28 @@ def test_grid_winner_goes_into_the_loops(shop):
     assert models.logistic(0.5, 200).getRegParam() == pytest.approx(0.01)
     row = registry.queries()["cv_auc"](shop.spark, shop.sf_dir).first()
     assert row["loops"] == 8 and row["c"] in models.C_GRID and 0 <= row["mean_auc"] <= 1
+
+
+def test_rows_of_known_sizes_learn_alike(monkeypatch):
+    """After the first pass no value is new, and the rows of a batch share what does not depend on the weights."""
+    rnd = np.random.default_rng(3)
+    rows = [(float(rnd.random() < 0.4), i % 7 == 0, np.sort(rnd.choice(64, 9, replace=False)).tolist(), rnd.gamma(1, 5, 9).tolist()) for i in range(300)]
+    rows.append((1.0, True, [1, 2], [1e6, 1.0]))  # held out: teaches nothing, however large
+    batches = [pa.RecordBatch.from_arrays(
+        [pa.array([0] * len(x), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*x), (pa.float64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64()))))],
+        ["part", "label", "held", "slots", "values"]) for x in (rows[:120], rows[120:])]
+    known, calls = online.Linear.empty(6), []
+    for _, held, slots, values in rows:
+        if not held:
+            online.learn(known, np.array(slots), np.array(values), 0.5, 0.6, 0.85)
+    alone = known.copy()
+    for label, held, slots, values in rows:
+        if not held:
+            online.learn(alone, np.array(slots), np.array(values), label, 0.6, 0.85)
+    monkeypatch.setattr(online, "learn", lambda *a: calls.append(a) or 0.0)
+    [out] = online._pass_rows(known, 0.6, 0.85)(iter(batches))
+    assert not calls
+    more = alone.gradients - known.gradients
+    at = np.flatnonzero(alone.largest)
+    np.testing.assert_allclose(out.column(2).to_numpy()[:-1], (more * alone.weights)[at], rtol=1e-9)
+    np.testing.assert_allclose(out.column(1).to_numpy(), np.append(more[at], alone.scale - known.scale), rtol=1e-9)
