@@ -1,10 +1,13 @@
 """The learners against plain versions: a loop over rows, recursion over nodes, and nothing distributed."""
 
 import random
+import threading
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -452,3 +455,17 @@ def test_rows_of_known_sizes_learn_alike(monkeypatch):
     at = np.flatnonzero(alone.largest)
     np.testing.assert_allclose(out.column(2).to_numpy()[:-1], (more * alone.weights)[at], rtol=1e-9)
     np.testing.assert_allclose(out.column(1).to_numpy(), np.append(more[at], alone.scale - known.scale), rtol=1e-9)
+
+
+def test_splits_are_fitted_at_the_same_time(spark):
+    rows = [(i, f"2000-01-{1 + i % 28:02}", float(i % 2), Vectors.dense([float(i % 5), float(i % 2)])) for i in range(60)]
+    frame = spark.createDataFrame(rows, ["id", "offerdate", "label", "features"])
+    both = threading.Barrier(2)
+
+    class Waiting(LogisticRegression):
+        def fit(self, dataset, params=None):
+            both.wait(60)  # breaks if a split is fitted alone
+            return super().fit(dataset, params)
+
+    mean, sd = models.cross_validate(Waiting(maxIter=5), frame, loops=2)
+    assert 0.5 <= mean <= 1.0 and sd >= 0.0
