@@ -20,9 +20,11 @@ import regex
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _ALPHABET = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+_SPELLED = np.array([_ALPHABET[b] for b in range(256)], "<u2")
+_NUL = chr(_ALPHABET[0])
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"[^\S ]")
+_OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
 _PLAIN = re.compile(r"[\n\t\r !-~¡-ɏ]+")  # where every pattern library agrees on the classes
 _LONGEST_CACHED = 48
 _CHUNK = 8 << 20  # characters whose words are looked up together
@@ -37,7 +39,7 @@ def _odd_spaces(text: str) -> bool:
     """Whether a space stands beside another white space or at an end of the text."""
     if "  " in text or text[0] == " " or text[-1] == " ":
         return True
-    return any(f" {c}" in text or f"{c} " in text for c in set(_OTHER_SPACE.findall(text)))
+    return any(c in text and (f" {c}" in text or f"{c} " in text) for c in _OTHER_SPACE)
 
 
 class Encoder:
@@ -57,14 +59,11 @@ class Encoder:
         self.by_word = (
             spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
             and not pre.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout")
+            and all(token["special"] for token in spec.get("added_tokens") or ())
         )
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.model = self.tokenizer.model
         self.half = max(1, cache // 2)
-        self.spaced_ids = np.zeros(self.vocabulary, bool)  # tokens that begin with a space
-        for token, i in self.tokenizer.get_vocab().items():
-            if i < self.vocabulary:
-                self.spaced_ids[i] = token.startswith("Ġ")
         self.spaced: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -87,7 +86,7 @@ class Encoder:
         """``encode`` of each text. Words of a chunk of texts are looked up once and their ids taken by number."""
         out = [b""] * len(texts)
         even, held = [], 0
-        for i, text in enumerate(texts.to_pylist()):
+        for i, text in enumerate(texts.to_numpy(zero_copy_only=False).tolist()):
             if text and self.by_word and not _odd_spaces(text):
                 even.append(i)
                 held += len(text)
@@ -105,7 +104,7 @@ class Encoder:
         parts = pc.split_pattern(texts.take(pa.array(rows)), pattern=" ")
         offsets = parts.offsets.to_numpy()
         numbered = parts.flatten().dictionary_encode()
-        words, number = numbered.dictionary.to_pylist(), numbered.indices.to_numpy().astype("i8")
+        words, number = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), numbered.indices.to_numpy().astype("i8")
         first = offsets[:-1] - offsets[0]
         known = list(map(self.spaced.get, words))
         new = [k for k, ids in enumerate(known) if ids is None]
@@ -156,14 +155,22 @@ class Encoder:
         return out
 
     def _joined(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part behind a space. A cut falls before every space, so the tokens that begin with one tell the parts apart."""
+        """Ids of each part behind a space. A cut falls before every space, so the pieces that begin with one tell the parts apart."""
         if not parts:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([" " + x for x in parts])], add_special_tokens=False)[0].ids, "<u4")
-        first = np.flatnonzero(self.spaced_ids[ids])
-        if len(first) != len(parts):  # a tokenizer file with rules of its own
-            return [self._chunk(" " + x) for x in parts]
-        raw, edges = ids.tobytes(), (4 * np.append(first, len(ids))).tolist()
+        pieces = SPLIT.findall(" " + " ".join(parts))
+        known = dict.fromkeys(pieces)
+        spelled = _SPELLED[np.frombuffer("\0".join(known).encode(), "u1")].tobytes().decode("utf-16-le").split(_NUL)
+        tokenize, flat, ends = self.model.tokenize, [], [0]
+        for piece in spelled:
+            flat += [t.id for t in tokenize(piece)]
+            ends.append(4 * len(flat))
+        raw = np.array(flat, "<u4").tobytes()
+        known = dict(zip(known, [raw[a:b] for a, b in zip(ends, ends[1:])]))
+        found = list(map(known.__getitem__, pieces))
+        size = np.cumsum([0, *map(len, found)])
+        edges = size[[k for k, piece in enumerate(pieces) if piece[0] == " "] + [-1]].tolist()
+        raw = b"".join(found)
         return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
     def _chunk(self, chunk: str) -> bytes:

@@ -112,3 +112,20 @@ def test_new_words_of_a_batch_are_encoded_together(plain, monkeypatch):
     small = tokens.Encoder(PATH, cache=8)
     odd = [t or "" for t in ODD] + ["日本 語" * 30 + " x", "a " + "y" * 100 + " b"] + texts
     assert [np.frombuffer(x, "<u4").tolist() for x in small.encode_many(pa.array(odd))] == [plain(t) for t in odd]
+
+
+def test_new_words_skip_the_pattern_of_the_library(plain, monkeypatch):
+    """The words of a batch are cut together and go to the model; the tokenizer does not cut them a second time."""
+    enc = tokens.Encoder(PATH)
+    monkeypatch.setattr(enc, "tokenizer", None)
+    texts = ["It's the\nnewword newword, l'été 12,5 ½ of\t\tthe «x»", "of. of, of\r\n\nof newword"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode_many(pa.array(texts))] == [plain(t) for t in texts]
+
+
+def test_added_words_of_a_file(tmp_path):
+    library = Tokenizer.from_file(PATH)
+    library.add_tokens(["bcd"])
+    library.save(f"{tmp_path}/t.json")
+    texts = ["abcde bcd, abcde bcd", "bcd x"]
+    found = tokens.Encoder(f"{tmp_path}/t.json").encode_many(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
