@@ -27,6 +27,8 @@ LEAST = 4
 FEW = 14  # items of a text that also gets exact keys
 BLOCK = 512  # nodes of a bucket in one block
 NEAREST = 4  # close pairs of a node that are aligned before the rest
+NODE_BITS = 16  # bits of the map of nodes for each of them
+MAP_BITS = 1 << 26  # bits of the map of nodes at most; a fuller one lets more texts through
 _WIDTH = 1 << 16  # items hashed at once
 _REMEMBERED = 32 << 20
 
@@ -328,6 +330,28 @@ def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(_links(least), "a binary, b binary")
 
 
+def _marked(known: DataFrame, nodes: DataFrame, most: int = MAP_BITS) -> DataFrame:
+    """``node, text`` of ``known`` whose slot one of ``nodes`` (node) has set in a bitmap, which is sent to the texts (8 MB at most)."""
+    bits = min(most, 1 << max(15, (NODE_BITS * nodes.count() - 1).bit_length()))
+    slot = F.pmod(F.xxhash64("node"), F.lit(bits))
+    place, bucket = F.bitmap_bit_position(slot), F.bitmap_bucket_number(slot)
+    # Dealt by bucket first: one bitmap of a bucket is made, not one in every task.
+    maps = nodes.select(bucket.alias("bucket"), place.alias("place")).repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bitmap"))
+    byte = F.conv(F.hex(F.substring("bitmap", (F.floor(F.col("place") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = known.select("node", "text", bucket.alias("bucket"), place.alias("place")).join(F.broadcast(maps), "bucket")
+    return marked.where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select("node", "text")
+
+
+def _of_nodes(known: DataFrame, nodes: DataFrame, most: int = MAP_BITS) -> DataFrame:
+    """``node, text``: the text of each of ``nodes`` (node), once.
+
+    Texts without a partner end where they are read. The map of the nodes can only let too many through; the join behind the
+    shuffle is exact.
+    """
+    # Copies of a text collapse before the shuffle.
+    return _marked(known, nodes, most).groupBy("node").agg(F.first("text").alias("text")).join(nodes, "node", "left_semi")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``doc_id, node, class, class_id``: a row per document, with the least id of its class of copies.
 
@@ -353,8 +377,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = saved(rest.where("node != a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     if not pairs.isEmpty():
         # Every node that shares a bucket is in the first pairs, so their texts serve all steps.
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = saved(known.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+        nodes = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "pair-nodes")
+        texts = saved(_of_nodes(known, nodes), "texts")
         classes = components(saved(_compared(pairs, texts, least), "links"))
         rest = rest.select("key", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
         close = saved(_close_pairs(rest, texts, least).join(pairs, ["a", "b"], "left_anti"), "close")

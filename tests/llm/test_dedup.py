@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from conftest_llm import prose
 from patronage.llm import near_copies, repeats
@@ -262,6 +263,18 @@ def test_spans_grow_with_the_repeated_rows_not_with_their_square(documents, rnd)
     assert len(held) == 40 and all(len(r["_spans"]) == len(set(r["_spans"])) for r in held)
 
 
+def test_texts_without_a_partner_end_where_they_are_read(spark, documents, rnd):
+    """The map of the nodes lets each of them through, once, and few others reach the shuffle; a full map only costs time."""
+    rows = [(i, prose(rnd, 12)) for i in range(3000)]
+    known = documents(rows + rows[:40]).repartition(4).withColumn("node", F.unhex(F.md5("text")))
+    nodes = known.where("doc_id < 200").select("node").distinct()
+    for most in (near_copies.MAP_BITS, 8):
+        found = near_copies._of_nodes(known, nodes, most)
+        assert sorted(r["text"] for r in found.collect()) == sorted(t for _, t in rows[:200])
+    assert near_copies._marked(known, nodes).count() < 500
+    assert near_copies._of_nodes(known, nodes.where("false")).count() == 0
+
+
 CLASHING = ["_node", "_doc", "_mark", "_spans", "_dealt", "_nth", "_until", "_cut", "row", "doc", "dealt", "until", "text_key", "KEPT_KEY", "kept_id", "spans", "row_key", "span_mark", "mark"]
 
 
