@@ -17,7 +17,7 @@ next range has; every word still has a chain of edges of its own from its start,
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 from os.path import commonprefix
 from zlib import crc32
 
@@ -169,6 +169,11 @@ def _leads_on(after: Column) -> Column:
     return (F.getbit("sizes", size % 64) == 1) & F.when(after == "", F.col("ends")).otherwise(inside)
 
 
+def _from_level(edges: DataFrame, level: int) -> DataFrame:
+    """The edges that a state can ask for at a level: each level before went at least one code point down from the start."""
+    return edges.where(F.length("node") >= START + level)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """``word, near, near_n``: every pair of ``words`` (word, n) that one inserted, deleted or replaced code point tells apart, both ways.
 
@@ -186,12 +191,12 @@ def near_words(words: DataFrame) -> DataFrame:
     same = (F.col("step") != ANY) & (part_of_rest == F.col("label")) & ((F.col("edits") == 0) | _leads_on(after))
     near = ((F.col("step") == ANY) & (F.col("pos") + F.length("label") >= half) & (F.col("pos") + used <= F.length("path"))
             & _leads_on(after) & (F.levenshtein("label", part_of_rest, 1) == 1))
-    while True:
+    for level in count():
         own = F.substring("path", F.col("pos") + 1, 1)
         asked = states.withColumns({
             "part": F.pmod(F.xxhash64("path"), "parts").cast("int"),
             "step": F.explode(F.when(F.col("edits") == 0, F.array(own, F.lit(ANY))).otherwise(F.array(own)))}).drop("parts")
-        met = asked.where("step <> ''").join(edges, ["node", "part", "step"])
+        met = asked.where("step <> ''").join(_from_level(edges, level), ["node", "part", "step"])
         shifts = F.when(F.col("step") == ANY, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         met = met.withColumn("shift", F.explode(shifts)).where(same | near).select(
             "path", (F.col("pos") + used).alias("pos"), F.when(F.col("step") == ANY, 1).otherwise(F.col("edits")).alias("edits"),

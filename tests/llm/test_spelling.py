@@ -120,3 +120,15 @@ def test_ranges_end_inside_a_prefix(spark):
     words = spark.createDataFrame([(w, 2) for w in text], "word string, n bigint").repartition(8)
     near = Counter(r["word"] for r in spelling.near_words(words).collect())
     assert near == Counter({w: sum(one_edit(w, x) for x in text) for w in text})
+
+
+def test_levels_join_fewer_edges(spark, monkeypatch):
+    """A level gets only edges at and below the nodes that it can stand at; no neighbour is lost, also behind many branches."""
+    text = ["abcdefg"[:i] + x + "abcdefgh"[i:] + y for i in range(3, 8) for x in "klmn" for y in "rstu"]
+    words = spark.createDataFrame([(w, 2) for w in text], "word string, n bigint").repartition(4)
+    given, below = [], spelling._from_level
+    monkeypatch.setattr(spelling, "_from_level", lambda edges, level: given.append(below(edges, level)) or given[-1])
+    near = Counter(r["word"] for r in spelling.near_words(words).collect())
+    assert near == Counter({w: sum(one_edit(w, x) for x in text) for w in text})
+    n = [edges.count() for edges in given]
+    assert len(n) > 3 and n == sorted(n, reverse=True) and n[-1] < n[0] / 2
