@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,11 +21,14 @@ CURVES = 4
 DIMENSIONS = 6
 BITS = 10
 BLOCK = 2048
+SPAN = 32  # blocks of a tile at most
+ASKED = 16384  # queries of a tile at most
+CHUNK = 256  # queries that are multiplied with a block at a time
 SAMPLE = 4096  # vectors that the projections' means and widths are fitted on
 PROBES = 64  # queries that the width of the windows is fitted on
 WANTED = 0.96  # share of the probes' neighbours that the windows must hold
 
-ORDERED = "curve int, part int, place bigint, query boolean, mark bigint, vector binary, ids array<bigint>"
+PLACED = "curve int, part int, place bigint, query boolean, mark bigint"
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -79,10 +83,10 @@ class Curves:
         rest = np.zeros(len(vectors)) if query else np.sqrt(np.maximum(0, self.norm ** 2 - (vectors ** 2).sum(axis=1)))
         return np.column_stack((vectors, rest))
 
-    def keys(self, vectors: np.ndarray, query: bool) -> list[np.ndarray]:
+    def keys(self, vectors: np.ndarray, query: bool, used: int = CURVES) -> list[np.ndarray]:
         lifted = self.lifted(vectors, query)
         out = []
-        for axes, low, scale in zip(self.axes, self.low, self.scale):
+        for axes, low, scale in zip(self.axes[:used], self.low, self.scale):
             cells = np.clip((lifted @ axes - low) * scale, 0, (1 << BITS) - 1).astype("i8")
             out.append(hilbert_keys(cells, BITS))
         return out
@@ -104,14 +108,16 @@ def _query_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(0)], ["vector", "query_id"])
 
 
-def _with_keys(curves: Curves):
+def _with_keys(curves: Curves, used: int):
+    """``curve, key`` of the first curves, and all columns; the vector is the first one and the flag of queries the second."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            query = np.array(batch.column(1).to_pylist(), bool)
+            query = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             vectors = _vectors(batch.column(0))
             if not len(query):
                 continue
-            for curve, (rows, asked) in enumerate(zip(curves.keys(vectors, False), curves.keys(vectors, True))):
+            for curve, (rows, asked) in enumerate(zip(curves.keys(vectors, False, used), curves.keys(vectors, True, used))):
                 key = np.where(query, asked, rows)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), curve, "i4")), pa.array(key), *batch.columns], ["curve", "key", *batch.schema.names])
 
@@ -122,12 +128,12 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number the rows of a sorted partition; a query stands between the rows before and behind it."""
     part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
-        row = ~np.array(batch.column(1).to_pylist(), bool)
+        row = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         place = at + np.cumsum(row) - row
         at += int(row.sum())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(np.full(len(row), part, "i4")), pa.array(place.astype("i8")), *batch.columns[1:]],
-            ["curve", "part", "place", "query", "mark", "vector", "ids"])
+            ["curve", "part", "place", *batch.schema.names[1:]])
 
 
 def _best(scores: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: list[list[int]], most: int) -> Iterator[list[tuple[float, int]]]:
@@ -148,28 +154,95 @@ def _found_batch(marks: list[int], found: list[list[tuple[float, int]]]) -> pa.R
         [pa.array(marks, pa.int64()), pa.array([[{"score": -s, "vec_id": i} for s, i in f] for f in found], _FOUND_TYPE)], ["mark", "found"])
 
 
-def _search_blocks(most: int):
-    def block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for curve in {r[1] for r in rows}:
-            asked = [r for r in rows if r[2] and r[1] == curve]
-            there = [r for r in rows if not r[2] and r[1] == curve]
-            if asked and there:
-                vectors = np.frombuffer(b"".join(r[4] for r in there), "<f8").reshape(len(there), -1)
-                for low in range(0, len(asked), 512):
-                    part = asked[low:low + 512]
-                    queries = np.frombuffer(b"".join(r[4] for r in part), "<f8").reshape(len(part), -1)
-                    yield _found_batch([r[3] for r in part], list(_best(queries @ vectors.T, queries, vectors, [r[5] for r in there], most)))
+def _ranks(groups: np.ndarray) -> np.ndarray:
+    """Places of sorted group numbers within their group."""
+    first = np.flatnonzero(np.diff(groups, prepend=-1))
+    return np.arange(len(groups)) - np.repeat(first, np.diff(first, append=len(groups)))
+
+
+class _Rows:
+    """The rows of a tile in the order of their blocks."""
+
+    def __init__(self, rows: pa.Table):
+        order = np.argsort(rows["low"].to_numpy(), kind="stable")
+        block = rows["low"].to_numpy()[order]
+        self.vectors = _vectors(rows["vector"])[order]
+        self.norm = float(np.sqrt((self.vectors ** 2).sum(axis=1).max()))
+        ids = rows["ids"].combine_chunks().take(pa.array(order))
+        self.offsets, self.ids = ids.offsets.to_numpy(), ids.values.to_numpy()
+        self.least = self.ids[self.offsets[:-1]]  # ids are in order
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        self.blocks = list(zip(block[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(block)]))
+
+    def nearest(self, queries: np.ndarray, low: np.ndarray, high: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id): the ``most`` nearest ids for each query in the blocks from its ``low`` to its ``high``, which both ascend.
+
+        Blocks are multiplied at once; a pair that could be among the nearest, for all that rounding may do, gets its score by itself.
+        """
+        slack = 8 * queries.shape[1] * np.finfo(float).eps * np.sqrt((queries ** 2).sum(axis=1)) * self.norm
+        slack = np.where(np.isfinite(slack), slack, np.inf)
+        floor = np.full(len(queries), -np.inf)
+        none = np.zeros(0, "i8")
+        kept = (none, none, np.zeros(0))
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def merged():
+            q, r = (np.concatenate(x) for x in zip(*waiting))
+            score = np.concatenate([np.zeros(0), *((self.vectors[r[i:i + 65536]] * queries[q[i:i + 65536]]).sum(axis=1) for i in range(0, len(q), 65536))])
+            q, r, score = (np.concatenate(x) for x in zip(kept, (q, r, score)))
+            order = np.lexsort((self.least[r], -score, q))
+            q, r, score = q[order], r[order], score[order]
+            rank = _ranks(q)
+            last = rank == most - 1
+            floor[q[last]] = np.where(slack[q[last]] < np.inf, score[last] - slack[q[last]], -np.inf)
+            return q[rank < most], r[rank < most], score[rank < most]
+
+        for block, start, end in self.blocks:
+            first, stop = int(np.searchsorted(high, block, "left")), int(np.searchsorted(low, block, "right"))
+            if first >= stop:
+                continue
+            scores = queries[first:stop] @ self.vectors[start:end].T
+            least = floor[first:stop].copy()
+            fresh = np.flatnonzero(least == -np.inf)
+            if len(fresh) and end - start > most:
+                least[fresh] = np.partition(scores[fresh], end - start - most, axis=1)[:, end - start - most] - slack[first:stop][fresh]
+            q, r = np.divmod(np.flatnonzero(scores >= least[:, None]), end - start)
+            waiting.append((q + first, r + start))
+            count += len(q)
+            if count >= most * len(queries):
+                kept, waiting, count = merged(), [], 0
+        if waiting:
+            kept = merged()
+        q, r, score = kept
+        size = self.offsets[r + 1] - self.offsets[r]
+        each = np.repeat(np.arange(len(r)), size)
+        found = self.ids[np.repeat(self.offsets[r], size) + _ranks(each)]
+        order = np.lexsort((found, -score[each], q[each]))
+        q, score, found = q[each][order], score[each][order], found[order]
+        near = _ranks(q) < most
+        return q[near], score[near], found[near]
+
+
+def _search_tiles(most: int):
+    """The nearest of each query of a tile among the rows of the tile; one list for each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if waiting and row[0] != waiting[-1][0]:
-                    yield from block(waiting)
-                    waiting = []
-                waiting.append(row)
-        if waiting:
-            yield from block(waiting)
+        held = [b for b in batches if b.num_rows]
+        table = pa.Table.from_batches(held) if held else None
+        for tile in table["tile"].unique() if held else ():
+            here = table.filter(pc.equal(table["tile"], tile))
+            there, asked = here.filter(pc.invert(here["query"])), here.filter(here["query"]).sort_by([("low", "ascending"), ("high", "ascending")])
+            if not there.num_rows or not asked.num_rows:
+                continue
+            rows = _Rows(there)
+            for at in range(0, asked.num_rows, CHUNK):
+                part = asked.slice(at, CHUNK)
+                q, score, found = rows.nearest(_vectors(part["vector"]), part["low"].to_numpy(), part["high"].to_numpy(), most)
+                first = np.flatnonzero(np.diff(q, prepend=-1))
+                lists = pa.ListArray.from_arrays(
+                    pa.array([*first, len(q)], pa.int32()), pa.StructArray.from_arrays([pa.array(score), pa.array(found)], ["score", "vec_id"]))
+                yield pa.RecordBatch.from_arrays([pa.array(part["mark"].to_numpy()[q[first]]), lists.cast(_FOUND_TYPE)], ["mark", "found"])
 
     return run
 
@@ -187,19 +260,20 @@ def _scan(probes: np.ndarray, marks: list[int], most: int):
 
 
 def _merged(found: DataFrame, most: int) -> DataFrame:
-    """The nearest of all windows; an array has at most ``most`` entries for each window of a query."""
-    every = F.array_distinct(F.flatten(F.collect_list(F.transform("found", lambda x: F.struct((-x["score"]).alias("far"), x["vec_id"].alias("vec_id"))))))
-    return found.groupBy("mark").agg(F.slice(F.array_sort(every), 1, most).alias("found"))
+    """The nearest of all windows; an array has at most ``most`` entries for each tile of a query. What two curves found stands side by side."""
+    every = F.array_sort(F.flatten(F.collect_list(F.transform("found", lambda x: F.struct((-x["score"]).alias("far"), x["vec_id"].alias("vec_id"))))))
+    ordered = found.groupBy("mark").agg(every.alias("found"))
+    return ordered.select("mark", F.slice(F.filter("found", lambda x, i: (i == 0) | (x != F.get("found", i - 1))), 1, most).alias("found"))
 
 
-def _offsets(ordered: DataFrame) -> dict[int, int]:
-    """Rows before each partition, from one total per partition."""
+def _offsets(ordered: DataFrame) -> tuple[dict[int, int], int]:
+    """Rows before each partition, and all rows, from one total per partition."""
     totals = ordered.groupBy("part").agg(F.count(F.when(~F.col("query"), 1)).alias("n")).collect()
     starts, at = {}, 0
     for row in sorted(totals):
         starts[row["part"]] = at
         at += row["n"]
-    return starts
+    return starts, at
 
 
 def _half_width(index: DataFrame, queries: DataFrame, ordered: DataFrame, starts: dict[int, int], most: int) -> int:
@@ -217,26 +291,64 @@ def _half_width(index: DataFrame, queries: DataFrame, ordered: DataFrame, starts
     return max(most, gaps[min(len(gaps) - 1, int(WANTED * len(gaps)))] + 1) if gaps else most
 
 
-def _to_blocks(starts: dict[int, int], reach: int):
-    """Rows to their block, queries to every block that their window touches."""
+class _Windows:
+    """Blocks, spans of blocks and tiles of the places on ``curves`` orders of ``n`` rows, one behind the other.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A span has blocks of one curve. Its rows are copied to each of its tiles, which share its queries.
+    """
+
+    def __init__(self, starts: dict[int, int], n: int, curves: int, reach: int, span: int):
+        self.starts, self.n, self.reach, self.span = starts, n, reach, span
+        self.stride = (n - 1) // (BLOCK * span) + 2
+        self.tiles, self.first = np.ones(curves * self.stride, "i8"), np.arange(curves * self.stride)
+
+    def deal(self, asked: dict[int, int]) -> int:
+        """Tiles for spans with so many queries; a span without any has none."""
+        for span in range(len(self.tiles)):
+            self.tiles[span] = -(-asked.get(span, 0) // ASKED)
+        self.first = np.cumsum(self.tiles) - self.tiles
+        return int(self.tiles.sum())
+
+    def blocks(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """First and last block and span of each row of ``curve, part, place, query``: its own, or those of its window."""
+        curve, query = batch.column(0).to_numpy().astype("i8"), batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+        place = np.fromiter((self.starts[p] for p in batch.column(1).to_pylist()), "i8", batch.num_rows) + batch.column(2).to_numpy()
+        margin = np.where(query, self.reach, 0)
+        low = np.clip(place - margin, curve * self.n, (curve + 1) * self.n - 1) // BLOCK
+        high = np.clip(place + margin, curve * self.n, (curve + 1) * self.n - 1) // BLOCK
+        shift = curve * self.stride - curve * self.n // (BLOCK * self.span)
+        return query, low, high, low // self.span + shift, high // self.span + shift
+
+    def spans(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries of each span in a part of the queries."""
+        count = np.zeros(len(self.tiles), "i8")
+        for batch in batches:
+            if batch.num_rows:
+                _, _, _, first, last = self.blocks(batch)
+                steps = np.zeros(len(count) + 1, "i8")
+                np.add.at(steps, first, 1)
+                np.add.at(steps, last + 1, -1)
+                count += np.cumsum(steps)[:-1]
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["span", "n"])
+
+    def to_tiles(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows to all tiles of their span, queries to one tile of every span that their window touches."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            base = np.fromiter((starts[p] for p in batch.column(1).to_pylist()), "i8", batch.num_rows)
-            place = base + batch.column(2).to_numpy()
-            margin = np.where(np.array(batch.column(3).to_pylist(), bool), reach, 0)
-            low = np.maximum(place - margin, 0) // BLOCK
-            count = (place + margin) // BLOCK - low + 1
-            row = np.repeat(np.arange(len(low)), count)
-            block = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            query, low, high, first, last = self.blocks(batch)
+            mark = batch.column(4).to_numpy()
+            count = np.where(query, last - first + 1, self.tiles[first])
+            row = np.repeat(np.arange(len(count)), count)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            span = first[row] + np.where(query[row], step, 0)
+            tile = self.first[span] + np.where(query[row], mark[row] % np.maximum(self.tiles[span], 1), step)
             for at in range(0, len(row), 4096):
                 part = pa.array(row[at:at + 4096])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block[at:at + 4096]), *(batch.column(i).take(part) for i in (0, 3, 4, 5, 6))], ["block", "curve", "query", "mark", "vector", "ids"])
-
-    return run
+                    [pa.array(tile[at:at + 4096].astype("i4")), pa.array(low[row[at:at + 4096]]), pa.array(high[row[at:at + 4096]]), *(batch.column(i).take(part) for i in (3, 4, 5, 6))],
+                    ["tile", "low", "high", "query", "mark", "vector", "ids"])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11) -> DataFrame:
@@ -246,9 +358,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     with a null or non-finite component, those with another length than most and rows without an id take no part. Equal
     vectors are one row of the index with their k + 1 least ids, which is all that a result can hold; repeated rows count once.
 
-    All rows are on every curve. The projections are scaled to ``SAMPLE`` vectors. The half width of the windows is fitted
+    All rows are on every curve that is used. The projections are scaled to ``SAMPLE`` vectors. The half width of the windows is fitted
     on ``PROBES`` queries that are compared with all rows: it is the least that holds ``WANTED`` of their true neighbours
-    in one curve or another. Random vectors need wide windows, vectors in clusters narrow ones. Columns but the two are not
+    in one curve or another. Random vectors need wide windows, vectors in clusters narrow ones. Where the windows on all curves
+    would look at as many rows as there are, one window over the whole of one curve takes their place. Rows and queries meet in tiles of bounded size. Columns but the two are not
     read; empty tables give no rows.
     """
     most = k + 1
@@ -280,17 +393,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     both = index.select("vector", F.lit(False).alias("query"), F.xxhash64("vector").alias("mark"), "ids").unionByName(
         different.select("vector", F.lit(True).alias("query"), "mark", F.lit(None).cast("array<bigint>").alias("ids")))
-    keyed = both.select("vector", "query", "mark", "ids").mapInArrow(
-        _with_keys(curves), "curve int, key bigint, vector binary, query boolean, mark bigint, ids array<bigint>")
-    ordered = keyed.repartitionByRange("curve", "key", "mark").sortWithinPartitions("curve", "key", "mark", "query")
-    ordered = saved(ordered.select("curve", "query", "mark", "vector", "ids").mapInArrow(_places, ORDERED), "curves")
+
+    def placed(used: int, *columns: str) -> DataFrame:
+        """Rows and queries with their places in the orders of the first curves."""
+        types = "".join(f", {c} {both.schema[c].dataType.simpleString()}" for c in columns)
+        keyed = both.select("vector", "query", "mark", "ids").mapInArrow(
+            _with_keys(curves, used), "curve int, key bigint, vector binary, query boolean, mark bigint, ids array<bigint>")
+        ordered = keyed.select("curve", "key", "query", "mark", *columns).repartitionByRange("curve", "key", "mark").sortWithinPartitions("curve", "key", "mark", "query")
+        return saved(ordered.select("curve", "query", "mark", *columns).mapInArrow(_places, PLACED + types), "curves")
+
     if different.isEmpty():
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    starts = _offsets(ordered)
-    reach = _half_width(index, different, ordered, starts, most)
-
-    blocks = ordered.mapInArrow(_to_blocks(starts, reach), "block bigint, curve int, query boolean, mark bigint, vector binary, ids array<bigint>")
-    found = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_search_blocks(most), FOUND)
+    places = placed(CURVES)
+    starts, n = _offsets(places)
+    n //= CURVES
+    reach = _half_width(index, different, places, starts, most)
+    used = CURVES if CURVES * (2 * reach + BLOCK) < n else 1
+    ordered = placed(used, "vector", "ids")
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    windows = _Windows(_offsets(ordered)[0], n, used, reach if used > 1 else n, max(1, min(SPAN, used * n // (BLOCK * tasks))))
+    spans = ordered.where("query").select("curve", "part", "place", "query").mapInArrow(windows.spans, "span bigint, n bigint")
+    tiles = windows.deal(dict(spans.groupBy("span").agg(F.sum("n")).collect()))
+    dealt = ordered.mapInArrow(windows.to_tiles, "tile int, low bigint, high bigint, query boolean, mark bigint, vector binary, ids array<bigint>")
+    found = dealt.repartitionById(tiles, "tile").mapInArrow(_search_tiles(most), FOUND)
     best = asked.select("query_id", "mark").join(_merged(found, most), "mark")
     best = best.withColumn("found", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
     best = best.select("query_id", F.posexplode("found").alias("rank", "hit"))

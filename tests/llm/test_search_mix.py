@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,69 @@ def test_ties_go_to_the_smaller_id(spark):
     assert got == {q: [i for i in range(7) if i != q][:5] for q in range(0, 100, 20)}
 
 
+def test_wide_windows_are_one_over_all(spark):
+    """Random vectors have no near neighbours on a curve; four windows that add up to the table miss some, one over all misses none."""
+    v = np.random.default_rng(4).standard_normal((7000, 32))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(neighbours.nearest(df, df.where("vec_id % 20 = 0")).collect()):
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 7000, 20):
+        s = v @ v[q]
+        s[q] = -np.inf
+        assert got[q] == np.argsort(-s)[:20].tolist()
+
+
+def test_tile_by_brute_force():
+    """Ties, equal vectors and windows of some blocks only."""
+    rng = np.random.default_rng(2)
+    v = rng.integers(-1, 2, (900, 5)).astype(float)
+    block = np.sort(rng.integers(3, 12, 900))
+    ids = [sorted(rng.choice(10 ** 6, rng.integers(1, 5), replace=False).tolist()) for _ in v]
+    order = rng.permutation(900)
+    rows = neighbours._Rows(pa.table({
+        "low": block[order], "vector": pa.array([v[i].tobytes() for i in order]), "ids": pa.array([ids[i] for i in order], pa.list_(pa.int64()))}))
+    queries, low = rng.integers(-2, 3, (40, 5)).astype(float), np.sort(rng.integers(0, 10, 40))
+    high = np.maximum.accumulate(low + rng.integers(0, 5, 40))
+    got = defaultdict(list)
+    for q, s, i in zip(*rows.nearest(queries, low, high, 6)):
+        got[int(q)].append((float(s), int(i)))
+    for q in range(40):
+        near = sorted((-float(w @ queries[q]), i) for w, b, found in zip(v, block, ids) if low[q] <= b <= high[q] for i in found)
+        assert got[q] == [(-s, i) for s, i in near[:6]]
+
+
+@pytest.mark.parametrize("curves, reach", [(3, 2500), (1, 20_000)])
+def test_a_query_meets_every_block_of_its_window_once(monkeypatch, curves, reach):
+    monkeypatch.setattr(neighbours, "ASKED", 7)
+    n, rng = 20_000, np.random.default_rng(3)
+    windows = neighbours._Windows({0: 0, 1: n // 2, 2: n}, n, curves, reach, span=3)
+    curve = np.repeat(np.arange(curves, dtype="i4"), 40)
+    at = curve * n + rng.integers(0, n + 1, len(curve))
+    place = np.concatenate((np.arange(curves * n), at))
+    query = np.arange(len(place)) >= curves * n
+    part = np.minimum(np.searchsorted([n // 2, n], place, "right"), 2)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (np.concatenate((np.repeat(np.arange(curves, dtype="i4"), n), curve)), part.astype("i4"), place - np.array([0, n // 2, n])[part], query, np.arange(len(place)))]
+        + [pa.array([b""] * len(place)), pa.array([[1]] * len(place))], ["curve", "part", "place", "query", "mark", "vector", "ids"])
+    counts = pa.Table.from_batches(windows.spans([batch.slice(curves * n)]))
+    tiles = windows.deal(dict(zip(counts["span"].to_pylist(), counts["n"].to_pylist())))
+    blocks, asked = defaultdict(set), []
+    for r in pa.Table.from_batches(windows.to_tiles([batch])).to_pylist():
+        assert 0 <= r["tile"] < tiles
+        if r["query"]:
+            asked.append((r["mark"], r["tile"], r["low"], r["high"]))
+        else:
+            assert r["low"] == r["high"] == r["mark"] // neighbours.BLOCK
+            blocks[r["tile"]].add((r["mark"] // n, r["low"]))
+    met = defaultdict(list)
+    for mark, tile, low, high in asked:
+        met[mark] += [b for b in blocks[tile] if low <= b[1] <= high]
+    for mark, c, p in zip(range(curves * n, len(place)), curve.tolist(), at.tolist()):
+        want = {(c, x // neighbours.BLOCK) for x in range(max(p - reach, c * n), min(p + reach, (c + 1) * n - 1) + 1)}
+        assert sorted(met[mark]) == sorted(want)
+
+
 def test_hilbert_curve_is_one_path():
     side = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     order = side[np.argsort(neighbours.hilbert_keys(side, 3))]
