@@ -1,15 +1,19 @@
 """Hot groups, plans, and brute-force checks of the distributed order statistics."""
 
+import datetime
 import random
 import statistics
+from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from check import SF_DIR
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from patronage.functions import columns as C
-from patronage.operators import evaluate, factors, features, order_stats, visits
+from patronage.operators import aggregates, evaluate, factors, features, order_stats, visits
 from patronage.plans import registry
 from patronage.sources import sinks
 
@@ -200,6 +204,69 @@ def test_wide_medians_hold_no_wide_rows_while_they_are_filled(spark):
     assert "pivotfirst" not in plan
 
 
+def test_wide_medians_of_hot_and_light_customers(spark):
+    """Customers inside a partition, at its edges and over many, with nulls, returns, repeated rows and no known date."""
+    rnd, names = random.Random(5), aggregates.GROUP_ATTRIBUTES
+    key = lambda: rnd.choice([None, "a", "a", "b"])
+    history = [(i, 0, "m", i, datetime.date(2000, 1, 1)) for i in range(300)] + [(7, 0, "m", 8, datetime.date(2000, 1, 20))]
+    offers = [(i, key(), key(), key(), 1.0, 1) for i in range(300)]
+    bought = [(150 if i % 3 == 0 else rnd.randrange(290), key(), key(), key(), rnd.choice([None, datetime.date(2000, 1, 10) - datetime.timedelta(rnd.randrange(300))]),
+               rnd.choice([None, rnd.randrange(9)]), rnd.randrange(5), rnd.choice([None, -0.0, float("inf"), float(rnd.randrange(-9, 99))])) for i in range(6000)]
+    frames = (
+        spark.createDataFrame(bought, "id long, category string, company string, brand string, date date, productsize int, purchasequantity int, purchaseamount double"),
+        spark.createDataFrame(history, "id long, chain int, market string, offer long, offerdate date"),
+        spark.createDataFrame(offers, "offer long, category string, company string, brand string, offervalue double, quantity int"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = defaultdict(list)
+        for r in aggregates.group_medians(*(f.repartition(3) for f in frames)).collect():
+            got[r["id"]].append(r.asDict())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    groups = defaultdict(list)
+    for i, *keys, date, size, quantity, amount in bought:
+        for h in history:
+            if h[0] == i:
+                on = {k for k, x, y in zip(names, keys, offers[h[3]][1:4]) if x is not None and x == y}
+                age = (h[4] - date).days if date else None
+                for s, subset in enumerate(aggregates.key_subsets()):
+                    if set(subset) <= on:
+                        groups[i, s, None].append((size, quantity, amount))
+                        if age is None or age >= 0:
+                            groups[i, s, bin_of(age)].append((size, quantity, amount))
+    assert set(got) == {h[0] for h in history} and len(got[7]) == 2 and all(got[i][0]["len_0"] is None for i in range(290, 300))
+    for i in range(290):
+        for s in range(8):
+            for name in (None, *C.RECENCY_NAMES):
+                rows, end = groups[i, s, name], f"_{s}" if name is None else f"_{name}_{s}"
+                for row in got[i]:
+                    assert row[f"len{end}"] == (len(rows) or None)
+                    for j, prefix in enumerate(("ps", "pq", "pa")):
+                        values = [r[j] for r in rows if r[j] is not None]
+                        assert row[f"{prefix}_median{end}"] == (statistics.median(values) if values else None)
+
+
+def bin_of(age):
+    return C.RECENCY_NAMES[-1 if age is None else sum(age >= e for e in C.RECENCY_EDGES)]
+
+
+def test_groups_inside_a_partition_are_whole(spark):
+    sizes = {k: 2000 if k in (0, 40) else 1 + k % 7 for k in range(100)}
+    df = spark.createDataFrame([(k, i) for k, n in sizes.items() for i in range(n)], "k long, x long").repartition(5)
+    named = lambda kind: lambda t: pa.table([t["k"], pa.array([kind] * len(t)), pa.array([TaskContext.get().partitionId()] * len(t), pa.int32())], names=["k", "kind", "part"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = order_stats.whole_groups(df, "k", named("whole"), named("rest"), "k long, kind string, part int", chunk=20).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {k: sum(r["k"] == k for r in rows) for k in sizes} == sizes
+    whole = {r["k"] for r in rows if r["kind"] == "whole"}
+    rest = {(r["k"], r["part"]) for r in rows if r["kind"] == "rest"}
+    parts = {r["part"] for r in rows}
+    assert not whole & {k for k, _ in rest} and len(parts) > 3 and len(whole) > 60
+    assert {0, 40} & {k for k, _ in rest} and all(sum(p == q for _, q in rest) <= 2 for p in parts)
+
+
 def test_only_groups_at_the_edges_are_totalled(spark):
     rows = [(None if k == 0 else k, i) for k, n in ((0, 300), (1, 2), (2, 400), (3, 1), (4, 1), (5, 250)) for i in range(n)] + [(100 + i, 0) for i in range(500)]
     df = spark.createDataFrame(rows, "k int, x int").withColumn("n", F.lit(1).cast("bigint")).repartition(6)
