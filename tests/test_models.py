@@ -67,6 +67,12 @@ def test_bootstrap_is_near_the_area(shop):
     assert mean == pytest.approx(area, abs=0.15)
 
 
+def test_p_values_with_their_facts(spark, shop):
+    rows = {r["feature"]: r for r in registry.queries()["chi_pvalue"](spark, shop.sf_dir).collect()}
+    assert set(rows) == set(stats.CHI_FEATURES)
+    assert all(0 <= r["p_value"] <= 1 and 0 < r["p_simulated"] <= 1 and r["in_range"] and r["trips_decide"] for r in rows.values())
+
+
 def test_factors_reach_every_user(shop):
     pairs = materialise(factors.pair_counts(shop.transactions), "pairs")
     model = factors.als_implicit(pairs)
