@@ -73,6 +73,19 @@ def test_p_values_with_their_facts(spark, shop):
     assert all(0 <= r["p_value"] <= 1 and 0 < r["p_simulated"] <= 1 and r["in_range"] and r["trips_decide"] for r in rows.values())
 
 
+@pytest.mark.parametrize("name", ["ml_logistic", "ml_gaussian_nb"])
+def test_scores_with_their_facts(spark, shop, name):
+    rows = registry.queries()[name](spark, shop.sf_dir).collect()
+    assert sorted(r["id"] for r in rows) == sorted(r["id"] for r in shop.history_test.join(shop.offers, "offer").collect())
+    assert all(0 <= r["score"] <= 1 and r["in_range"] and r["learned"] for r in rows)
+
+
+def test_a_fit_that_ranks_backwards_has_not_learned(spark, shop, monkeypatch):
+    right = models.scores
+    monkeypatch.setattr(models, "scores", lambda model, frame, *keep: right(model, frame, *keep).withColumn("score", 1 - F.col("score")))
+    assert not registry.queries()["ml_logistic"](spark, shop.sf_dir).first()["learned"]
+
+
 def test_factors_reach_every_user(shop):
     pairs = materialise(factors.pair_counts(shop.transactions), "pairs")
     model = factors.als_implicit(pairs)
