@@ -86,6 +86,13 @@ def test_a_fit_that_ranks_backwards_has_not_learned(spark, shop, monkeypatch):
     assert not registry.queries()["ml_logistic"](spark, shop.sf_dir).first()["learned"]
 
 
+def test_extreme_weights_with_their_facts(spark, shop, encoded):
+    rows = registry.queries()["topk_features"](spark, shop.sf_dir).collect()
+    n = min(100, len(encoded[1]))
+    assert sorted(r["side"] for r in rows) == ["bottom"] * n + ["top"] * n
+    assert all(r["n"] == r["n_features"] == n and r["below_the_top"] for r in rows)
+
+
 def test_factors_reach_every_user(shop):
     pairs = materialise(factors.pair_counts(shop.transactions), "pairs")
     model = factors.als_implicit(pairs)
