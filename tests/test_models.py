@@ -93,6 +93,12 @@ def test_extreme_weights_with_their_facts(spark, shop, encoded):
     assert all(r["n"] == r["n_features"] == n and r["below_the_top"] for r in rows)
 
 
+def test_submission_with_its_facts(spark, shop):
+    rows = registry.queries()["fit_predict_submit"](spark, shop.sf_dir).collect()
+    assert sorted(r["id"] for r in rows) == sorted(r["id"] for r in shop.history_test.collect())
+    assert all(0 <= r["repeatProbability"] <= 1 and r["in_range"] for r in rows)
+
+
 def test_factors_reach_every_user(shop):
     pairs = materialise(factors.pair_counts(shop.transactions), "pairs")
     model = factors.als_implicit(pairs)
