@@ -29,6 +29,17 @@ def test_probabilities_and_slots(encoded, shop):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_frames_of_a_fit_carry_no_slot_names(encoded):
+    """A plan holds the schema and goes with every task, so names of all slots would be sent again and again."""
+    (train, test), _ = encoded
+    assert train.schema["features"].metadata == test.schema["features"].metadata == {}
+
+
+def test_sums_are_written_once_for_both_frames(shop):
+    _, test = jobs.model_frames(shop)
+    assert "lineitem" not in test._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_unseen_category_is_all_zeros(spark):
     from pyspark.ml import Pipeline
 
